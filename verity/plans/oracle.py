@@ -294,3 +294,29 @@ summary AS (
   SELECT g.model, g.complexity, g.approach, {outs},
          CAST(coalesce(a.sample_count, 0) AS BIGINT) AS sample_count, g.level_ordinal, g.approach_ordinal
   FROM grid g LEFT JOIN agg a USING (model, complexity, approach))"""
+
+
+def avg_pct6(x: str) -> str:
+    return f"round(avg({x}) * 100, 6)"
+
+
+# The scored-response pipeline (U9 up to H9), with corpus dimensions.
+SCORED_RESPONSES = f"""{SQL_RESPONSES},
+pairs AS (
+  SELECT r.*, c.complexity, c.task_type, c.domain, c.original_complexity, c.query AS reference
+  FROM sql_responses r JOIN corpus c USING (sample_id)
+  WHERE r.error IS NULL),
+{scored_pairs_sql('pairs', 'response', 'reference')}"""
+
+SUMMARY = f"""{SCORED_RESPONSES},
+{key_grid_sql()},
+{summary_sql()}"""
+
+GENERAL_MODELS = ("m0", "m1", "m2")
+
+
+def runs_means(by: str, count: bool = False) -> str:
+    extra = ", count(*) AS count" if count else ""
+    return f"""f AS (SELECT *, CASE WHEN error IS NULL THEN tokens ELSE 0 END AS tok FROM runs),
+means AS (SELECT {by}, {avg6('time_s')} AS time, {avg6('tok')} AS tokens, {avg6('retries')} AS retries{extra}
+          FROM f GROUP BY {by})"""

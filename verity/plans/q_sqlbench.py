@@ -58,3 +58,175 @@ def h9_pair_scores(spark, sf_dir):
         "sample_id", "approach", "exact_match", "execution_match",
         *[B.r6(c).alias(c) for c in _PAIR_COLS[4:]],
     )
+
+
+# --- per-pair scorer queries (sql_pairs fixture: corpus x 4 approaches) ------
+_PAIRS = f"WITH {O.SQL_PAIRS}"
+
+
+@register(
+    "h1_normalize_basic",
+    f"""{_PAIRS}
+SELECT sample_id, approach, {O.norm_basic('generated')} AS gen_basic, {O.norm_basic('reference')} AS ref_basic
+FROM sql_pairs""",
+)
+def h1_normalize_basic(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir)
+    return p.select("sample_id", "approach", S.normalize_basic("generated").alias("gen_basic"),
+                    S.normalize_basic("reference").alias("ref_basic"))
+
+
+@register(
+    "h2_exact_match_basic",
+    f"""{_PAIRS}
+SELECT sample_id, approach, CAST({O.norm_basic('generated')} = {O.norm_basic('reference')} AS DOUBLE) AS exact_basic
+FROM sql_pairs""",
+)
+def h2_exact_match_basic(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir)
+    return p.select("sample_id", "approach", S.exact_match_basic("generated", "reference").alias("exact_basic"))
+
+
+@register(
+    "h3_component_match_basic",
+    f"""{_PAIRS},
+n AS (SELECT sample_id, approach, {O.norm_basic('generated')} AS gb, {O.norm_basic('reference')} AS rb FROM sql_pairs)
+SELECT sample_id, approach, round({O.component_match_basic('gb', 'rb')}, 6) AS component_basic FROM n""",
+)
+def h3_component_match_basic(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir).select(
+        "sample_id", "approach", S.normalize_basic("generated").alias("gb"), S.normalize_basic("reference").alias("rb"))
+    return p.select("sample_id", "approach", B.r6(S.component_match_basic("gb", "rb")).alias("component_basic"))
+
+
+@register(
+    "h6_normalize_advanced",
+    f"""{_PAIRS}
+SELECT sample_id, approach, {O.norm_adv('generated')} AS gen_norm, {O.norm_adv('reference')} AS ref_norm,
+       CAST({O.norm_adv('generated')} = {O.norm_adv('reference')} AS DOUBLE) AS exact_match
+FROM sql_pairs""",
+)
+def h6_normalize_advanced(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir).select(
+        "sample_id", "approach", S.normalize_advanced("generated").alias("gen_norm"),
+        S.normalize_advanced("reference").alias("ref_norm"))
+    return p.withColumn("exact_match", (F.col("gen_norm") == F.col("ref_norm")).cast("double"))
+
+
+_CLAUSE_SQL = " UNION ALL ".join(
+    f"SELECT sample_id, approach, {O.q(name)} AS clause, {O.clause('gen_norm', pat)} AS gen_clause, "
+    f"{O.clause('ref_norm', pat)} AS ref_clause, CASE WHEN {O.clause('ref_norm', pat)} <> '' THEN "
+    f"round({O.clause_score(name, O.clause('gen_norm', pat), O.clause('ref_norm', pat))}, 6) END AS score FROM n"
+    for name, pat, _ in S.CLAUSES
+)
+
+
+@register(
+    "h7_clause_scores",
+    f"""{_PAIRS},
+n AS (SELECT sample_id, approach, {O.norm_adv('generated')} AS gen_norm, {O.norm_adv('reference')} AS ref_norm
+      FROM sql_pairs)
+{_CLAUSE_SQL}""",
+)
+def h7_clause_scores(spark, sf_dir):
+    """H7 per clause: extracted texts and overlap score (feeds A19)."""
+    p = X.sql_pairs(spark, sf_dir).select(
+        "sample_id", "approach", S.normalize_advanced("generated").alias("gen_norm"),
+        S.normalize_advanced("reference").alias("ref_norm"))
+    items = []
+    for name, pat, _ in S.CLAUSES:
+        g, r = S.clause_text("gen_norm", pat), S.clause_text("ref_norm", pat)
+        items.append(F.struct(F.lit(name).alias("clause"), g.alias("gen_clause"), r.alias("ref_clause")))
+    e = p.select("sample_id", "approach", F.explode(F.array(*items)).alias("c")).select(
+        "sample_id", "approach", "c.*")
+    score = F
+    for name, _, _ in S.CLAUSES:
+        score = score.when((F.col("clause") == name) & (F.col("ref_clause") != ""),
+                           S.clause_score(name, F.col("gen_clause"), F.col("ref_clause")))
+    return e.withColumn("score", B.r6(score))
+
+
+@register(
+    "h8_structural_similarity",
+    f"""{_PAIRS},
+n AS (SELECT sample_id, approach, {O.norm_adv('generated')} AS gen_norm, {O.norm_adv('reference')} AS ref_norm
+      FROM sql_pairs)
+SELECT sample_id, approach, round({O.structural()}, 6) AS structural_similarity FROM n""",
+)
+def h8_structural_similarity(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir).select(
+        "sample_id", "approach", S.normalize_advanced("generated").alias("gen_norm"),
+        S.normalize_advanced("reference").alias("ref_norm"))
+    return p.select("sample_id", "approach",
+                    B.r6(S.structural_similarity("gen_norm", "ref_norm")).alias("structural_similarity"))
+
+
+@register(
+    "x1_token_overlap",
+    f"""{_PAIRS},
+n AS (SELECT sample_id, approach, {O.norm_adv('generated')} AS gen_norm, {O.norm_adv('reference')} AS ref_norm
+      FROM sql_pairs),
+t AS (SELECT sample_id, approach,
+             list_distinct({O.words(O.rre('gen_norm', '[(),]', ' '))}) AS g,
+             list_distinct({O.words(O.rre('ref_norm', '[(),]', ' '))}) AS r FROM n)
+SELECT sample_id, approach, round(len(list_intersect(g, r)) / greatest(len(r), 1), 6) AS token_overlap FROM t""",
+)
+def x1_token_overlap(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir).select(
+        "sample_id", "approach", S.normalize_advanced("generated").alias("gen_norm"),
+        S.normalize_advanced("reference").alias("ref_norm"))
+    return p.select("sample_id", "approach", B.r6(S.token_overlap("gen_norm", "ref_norm")).alias("token_overlap"))
+
+
+@register(
+    "x2_jaccard_similarity",
+    f"""{_PAIRS},
+t AS (SELECT sample_id, approach, {O.words(O.norm_basic('generated'))} AS gt,
+             {O.words(O.norm_basic('reference'))} AS rt FROM sql_pairs)
+SELECT sample_id, approach, round({O.jaccard_from('gt', 'rt')}, 6) AS jaccard FROM t""",
+)
+def x2_jaccard_similarity(spark, sf_dir):
+    p = X.sql_pairs(spark, sf_dir)
+    return p.select("sample_id", "approach",
+                    B.r6(S.semantic_similarity("generated", "reference", "jaccard")).alias("jaccard"))
+
+
+_VALID_SQL = (
+    f"(ends_with({O.strip('generated')}, ';') AND ("
+    + " OR ".join(f"contains(upper(generated), {O.q(op.upper())})" for op in S.SQL_OPERATIONS)
+    + ") AND (NOT contains(upper(generated), 'CREATE TABLE') OR contains(generated, '('))"
+    " AND (NOT (contains(upper(generated), 'UPDATE') OR contains(upper(generated), 'DELETE'))"
+    " OR contains(upper(generated), 'WHERE')))"
+)
+_CLEAN_SQL = O.strip(
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(generated, '^```sql\\n', ''), '^```\\n', ''), "
+    "'\\n```$', ''), '\\n', ' ', 'g')"
+).replace("\\n", "' || chr(10) || '")
+
+
+@register(
+    "h10_h11_validate_clean_sql",
+    f"""{_PAIRS}
+SELECT sample_id, approach, {_VALID_SQL} AS is_valid, {_CLEAN_SQL} AS cleaned FROM sql_pairs""",
+)
+def h10_h11_validate_clean_sql(spark, sf_dir):
+    """H10 validity check and H11 cleaning of every generated answer."""
+    p = X.sql_pairs(spark, sf_dir)
+    return p.select("sample_id", "approach", S.is_valid_sql("generated").alias("is_valid"),
+                    S.clean_sql("generated").alias("cleaned"))
+
+
+@register(
+    "p9_infer_operation",
+    f"""WITH {O.CORPUS}
+SELECT sample_id, CASE WHEN starts_with(upper({O.strip('query')}), 'SELECT') THEN 'select'
+  WHEN starts_with(upper({O.strip('query')}), 'INSERT') THEN 'insert'
+  WHEN starts_with(upper({O.strip('query')}), 'UPDATE') THEN 'update'
+  WHEN starts_with(upper({O.strip('query')}), 'DELETE') THEN 'delete'
+  WHEN starts_with(upper({O.strip('query')}), 'CREATE') THEN 'create'
+  WHEN starts_with(upper({O.strip('query')}), 'ALTER') THEN 'alter' ELSE 'select' END AS operation
+FROM corpus""",
+)
+def p9_infer_operation(spark, sf_dir):
+    c = X.corpus(spark, sf_dir)
+    return c.select("sample_id", S.infer_operation("query").alias("operation"))
