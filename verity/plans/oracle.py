@@ -12,7 +12,7 @@ from __future__ import annotations
 from verity.functions.sqltext import BASIC_CLAUSES, CLAUSES, FLOAT_MIN, OPERATORS, STRUCTURES
 from verity.sources.fixtures import (
     APPROACHES, ATTEMPT_RESPONSES, COMPLEXITY_LEVELS, COMPLEXITY_MAPPING, CORPUS_LABELS, MODELS, PART_DDL,
-    TASKS, TEMPLATES,
+    TASKS, TEMPLATES, REQUEST_TASKS, REQUEST_MODELS, REQUEST_LANGUAGES, REQUEST_OPERATIONS,
 )
 
 
@@ -320,3 +320,19 @@ def runs_means(by: str, count: bool = False) -> str:
     return f"""f AS (SELECT *, CASE WHEN error IS NULL THEN tokens ELSE 0 END AS tok FROM runs),
 means AS (SELECT {by}, {avg6('time_s')} AS time, {avg6('tok')} AS tokens, {avg6('retries')} AS retries{extra}
           FROM f GROUP BY {by})"""
+
+
+def _lst_null(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else q(v) for v in values) + "]"
+
+
+REQUESTS = f"""requests AS (
+  SELECT conv_id * 100000 + turn AS request_id,
+         {lst(REQUEST_TASKS)}[conv_id % 6 + 1] AS task_type,
+         CASE WHEN turn % 7 <> 3 THEN text END AS text,
+         {_lst_null(REQUEST_LANGUAGES)}[turn % 4 + 1] AS target_language,
+         {_lst_null(REQUEST_MODELS)}[conv_id % 4 + 1] AS model,
+         {_lst_null(REQUEST_OPERATIONS)}[turn % 4 + 1] AS operation,
+         CASE WHEN conv_id % 5 <> 0 THEN '2024-01-01' END AS date,
+         CASE WHEN conv_id % 7 <> 0 THEN '{{}}' END AS schema_json
+  FROM conversations)"""

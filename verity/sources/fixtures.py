@@ -210,3 +210,26 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("bigint").alias("tokens"),
         "user_id",
     )
+
+
+# Request-table choices of our own (fixture values, not reference values).
+REQUEST_TASKS = ("translation", "sentiment", "poem", "json", "sql", "summary")
+REQUEST_MODELS = ("phi3", "llama2", None, "mistral")
+REQUEST_LANGUAGES = ("german", "Spanish", "french", None)
+REQUEST_OPERATIONS = ("select", "UPDATE", "drop", None)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per conversation turn, with missing and unsupported field
+    values spread by fixed expressions over (conv_id, turn)."""
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("request_id"),
+        _pick(REQUEST_TASKS, F.col("conv_id") % 6).alias("task_type"),
+        F.when(F.col("turn") % 7 != 3, F.col("text")).alias("text"),
+        _pick(REQUEST_LANGUAGES, F.col("turn") % 4).alias("target_language"),
+        _pick(REQUEST_MODELS, F.col("conv_id") % 4).alias("model"),
+        _pick(REQUEST_OPERATIONS, F.col("turn") % 4).alias("operation"),
+        F.when(F.col("conv_id") % 5 != 0, F.lit("2024-01-01")).alias("date"),
+        F.when(F.col("conv_id") % 7 != 0, F.lit("{}")).alias("schema_json"),
+    )
