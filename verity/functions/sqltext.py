@@ -106,16 +106,28 @@ def word_count(col) -> Column:
 
 # --- H1 ---------------------------------------------------------------------
 def normalize_basic(col) -> Column:
-    """H1: lower, collapse whitespace, trim, drop one trailing ``;``, space the
-    comparison operators in the fixed order (later rules can no longer match)."""
+    """H1: lower, collapse whitespace, trim, drop one trailing ``;``, space
+    ``=``, ``>``, ``<`` in that order.
+
+    The reference also spaces ``>=``, ``<=``, ``<>`` and ``!=`` afterwards, but
+    those rules can never match: once the first three ran, every ``>`` and
+    ``<`` is followed by a blank and every ``=`` preceded by one (so
+    ``a>=5`` -> ``a > = 5``). They are omitted as provable no-ops."""
     q = F.lower(_c(col))
     q = strip(F.regexp_replace(q, U + r"\s+", " "))
     q = F.regexp_replace(q, ";$", "")
-    for op in OPERATORS:  # = < > ! are literals in Java regex
+    for op in OPERATORS[:3]:  # = < > are literals in Java regex
         q = F.regexp_replace(q, U + r"\s*" + op + r"\s*", f" {op} ")
     return q
 
 
+def single_spaced_words(col) -> Column:
+    """Tokens of a stripped, single-blank-separated string (normal forms,
+    clause texts): a plain split, no per-element lambda."""
+    c = _c(col)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " ", -1))
+
+
 # --- H6 ---------------------------------------------------------------------
 def normalize_advanced(col) -> Column:
     """H6: empty/null -> ''; lower + strip; collapse whitespace; drop one
@@ -167,8 +179,10 @@ def clause_text(norm, pattern: str) -> Column:
 
 
 def clause_score(name: str, g: Column, r: Column) -> Column:
-    """Overlap of one clause with the reference clause (reference present)."""
-    tok_g, tok_r = F.array_distinct(words(g)), F.array_distinct(words(r))
+    """Overlap of one clause with the reference clause (reference present).
+    Clause texts are stripped slices of the single-spaced normal form, so a
+    plain split on blanks gives Python's ``split()`` tokens."""
+    tok_g, tok_r = F.array_distinct(single_spaced_words(g)), F.array_distinct(single_spaced_words(r))
     tok = F.size(F.array_intersect(tok_g, tok_r)) / F.size(tok_r)
     if name != "select_cols":
         return tok
@@ -243,14 +257,16 @@ def jaccard(gen_tokens, ref_tokens) -> Column:
 
 # --- H5 ---------------------------------------------------------------------
 def ngrams(tokens, n: int) -> Column:
-    """Space-joined n-grams of a token array (empty when too short)."""
+    """Space-joined n-grams of a token array (empty when too short). Tokens
+    hold no blanks, so the joined string identifies the n-gram. (Measured
+    faster than ``arrays_zip`` of shifted slices, whose struct elements make
+    the later sort and intersect dearer.)"""
     tokens = _c(tokens)
+    if n == 1:
+        return tokens
     return F.when(
         F.size(tokens) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - n + 1),
-            lambda i: F.array_join(F.slice(tokens, i, n), " "),
-        ),
+        F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -303,7 +319,7 @@ def bleu(gen_tokens, ref_tokens) -> Column:
 
 def semantic_similarity(gen, ref, method: str = "bleu") -> Column:
     """H5 / X2 on the basic normal form's whitespace tokens."""
-    g, r = words(normalize_basic(gen)), words(normalize_basic(ref))
+    g, r = single_spaced_words(normalize_basic(gen)), single_spaced_words(normalize_basic(ref))
     if method == "bleu":
         return bleu(g, r)
     if method == "jaccard":

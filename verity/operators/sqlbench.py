@@ -66,8 +66,8 @@ def score_pairs(
         "*",
         S.normalize_advanced(gen).alias("gen_norm"),
         S.normalize_advanced(ref).alias("ref_norm"),
-        S.words(S.normalize_basic(gen)).alias("_gt"),
-        S.words(S.normalize_basic(ref)).alias("_rt"),
+        S.single_spaced_words(S.normalize_basic(gen)).alias("_gt"),
+        S.single_spaced_words(S.normalize_basic(ref)).alias("_rt"),
         tokens.alias("_ntok"),
     )
     b = a.select(
