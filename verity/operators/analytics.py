@@ -202,7 +202,7 @@ def few_shot_examples(corpus: DataFrame, levels: Sequence[str] = ("simple", "med
         simple = (c.filter(F.col("complexity") == levels[0]).withColumn("_rn", F.row_number().over(w))
                   .filter((F.col("_rn") > n) & (F.col("_rn") <= k)).withColumn("slot", F.col("_rn")))
         picked = picked.unionByName(simple, allowMissingColumns=True)
-    return picked.select("slot", "sample_id", "complexity", "question", "query")
+    return picked.select("slot", "sample_id", "complexity", "question", "query", "table_info")
 
 
 def benchmark_grid(spark: SparkSession, samples: DataFrame, models: Sequence[str],

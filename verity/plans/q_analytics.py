@@ -380,7 +380,7 @@ FROM firsts ORDER BY lvl LIMIT 3""")
 def w3_few_shot_examples(spark, sf_dir):
     """The few-shot examples (first item of each level, level order, up
     to 3; topped up from the simple level when short)."""
-    return A.few_shot_examples(X.corpus(spark, sf_dir))
+    return A.few_shot_examples(X.corpus(spark, sf_dir)).drop("table_info")
 
 
 @register("p11_quick_run", f"""WITH {O.SQL_RESPONSES},

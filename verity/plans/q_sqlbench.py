@@ -230,3 +230,93 @@ FROM corpus""",
 def p9_infer_operation(spark, sf_dir):
     c = X.corpus(spark, sf_dir)
     return c.select("sample_id", S.infer_operation("query").alias("operation"))
+
+
+# --- prompts (P12-P16) ------------------------------------------------------
+from verity.functions import prompts as PR  # noqa: E402
+from verity.operators import analytics as AN  # noqa: E402
+
+
+def _sql_fill(template: str, **exprs) -> str:
+    """DuckDB concatenation for a ``{name}`` template (null -> '')."""
+    out, rest = [], template
+    while "{" in rest:
+        i, j = rest.index("{"), rest.index("}", rest.index("{"))
+        name = rest[i + 1:j]
+        if name not in exprs:
+            out.append(O.q(rest[:j + 1]))
+            rest = rest[j + 1:]
+            continue
+        out += [O.q(rest[:i]), f"coalesce(CAST({exprs[name]} AS VARCHAR), '')"]
+        rest = rest[j + 1:]
+    out.append(O.q(rest))
+    return "(" + " || ".join(out) + ")"
+
+
+_OPS_SQL = "CASE lower(op) " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in PR.OPERATION_SENTENCES) + " END"
+_OP_OF = ("CASE " + " ".join(f"WHEN starts_with(upper({O.strip('query')}), {O.q(o.upper())}) THEN {O.q(o)}"
+                            for o in S.SQL_OPERATIONS) + " ELSE 'select' END")
+_PROMPTS_SQL = {
+    "raw": _sql_fill(PR.SQL_RAW, table_info="table_info", question="question"),
+    "fine_tuned": _sql_fill(PR.SQL_FINE_TUNED, table_info="table_info", question="question"),
+    "few_shot": f"({O.q(PR.SQL_FEW_SHOT_HEAD)} || coalesce(ex.examples, '') || "
+                f"{_sql_fill(PR.SQL_FEW_SHOT_TAIL, table_info='table_info', question='question')})",
+    "controlled": _sql_fill(PR.CONTROLLED, operation_sentence=_OPS_SQL, table_info="table_info",
+                            question="question"),
+}
+
+
+@register(
+    "p12_p15_sql_prompts",
+    f"""WITH {O.CORPUS},
+firsts AS (SELECT *, list_position({O.lst(X.COMPLEXITY_LEVELS)}, complexity) AS lvl FROM (
+  SELECT *, row_number() OVER (PARTITION BY complexity ORDER BY ordinal) AS rn FROM corpus) WHERE rn = 1
+  AND complexity IN {tuple(X.COMPLEXITY_LEVELS)}),
+picked AS (SELECT * FROM firsts ORDER BY lvl LIMIT 3),
+ex AS (SELECT string_agg({_sql_fill(PR.SQL_FEW_SHOT_EXAMPLE, table_info='table_info', question='question', query='query')},
+       '' ORDER BY lvl) AS examples FROM picked),
+c AS (SELECT corpus.*, {_OP_OF} AS op FROM corpus)
+{' UNION ALL '.join(
+    f"SELECT sample_id, '{a}' AS approach, sha256({e}) AS prompt_sha, {O.wc(e)} AS prompt_words FROM c CROSS JOIN ex"
+    for a, e in _PROMPTS_SQL.items())}""",
+)
+def p12_p15_sql_prompts(spark, sf_dir):
+    """P12-P15 (+W3): the prompt of every sample under each SQL approach,
+    as the replay key (sha-256) and its word count. The few-shot block is a
+    one-row table (three examples), broadcast against the corpus."""
+    c = X.corpus(spark, sf_dir)
+    block = PR.few_shot_block(AN.few_shot_examples(c))
+    j = c.withColumn("op", S.infer_operation("query")).crossJoin(F.broadcast(block))
+    outs = []
+    for a in X.APPROACHES:
+        p = PR.sql_prompt(a, F.col("table_info"), F.col("question"), F.col("op"), F.col("examples"))
+        outs.append(j.select("sample_id", F.lit(a).alias("approach"), F.sha2(p, 256).alias("prompt_sha"),
+                             S.word_count(p).alias("prompt_words")))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def _task_prompt_sql(table, approach):
+    arms = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in table)
+    lang = "CASE WHEN lower(coalesce(target_language, 'german')) IN ('german', 'spanish') " \
+           "THEN lower(coalesce(target_language, 'german')) ELSE 'german' END"
+    key = f"CASE WHEN task_type = 'translation' THEN 'translation:' || {lang} ELSE task_type END"
+    return (f"SELECT request_id, '{approach}' AS approach, sha256((CASE {key} {arms} END) || coalesce(text, '')) "
+            f"AS prompt_sha FROM requests")
+
+
+@register(
+    "p16_task_prompts",
+    f"WITH {O.REQUESTS}\n{_task_prompt_sql(PR.TASK_RAW, 'raw')} UNION ALL "
+    f"{_task_prompt_sql(PR.TASK_FINE_TUNED, 'fine_tuned')}",
+)
+def p16_task_prompts(spark, sf_dir):
+    """P12/P14/P16 general-benchmark prompts per request (null for tasks
+    without a prompt, e.g. poem)."""
+    r = X.requests(spark, sf_dir)
+    outs = [r.select("request_id", F.lit(a).alias("approach"),
+                     F.sha2(PR.task_prompt(a, F.col("task_type"), F.col("text"), F.col("target_language")), 256)
+                     .alias("prompt_sha")) for a in ("raw", "fine_tuned")]
+    return outs[0].unionByName(outs[1])
