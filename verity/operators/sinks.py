@@ -46,10 +46,12 @@ def report_lines(df: DataFrame, title: str, label: str, order: list[str]) -> Dat
         "| %s | %s | %.1f%% | %.1f%% | %.1f | %.1f |", F.col(label), F.col("approach"), F.col("exact_match_pct"),
         F.col("execution_match_pct"), F.col("time_ms"), F.col("tokens")).alias("value"))
     head = df.sparkSession.createDataFrame(
-        [(f"# {title}",), ("",), (f"| {label} | Approach | Exact Match | Execution Match | Time (ms) | Tokens |",),
-         ("|---|---|---|---|---|---|",)], "value string")
-    ordered = body.orderBy(*order).select("value")
-    return head.unionByName(ordered)
+        [(0, i, v) for i, v in enumerate([f"# {title}", "", f"| {label} | Approach | Exact Match | Execution Match | "
+                                          "Time (ms) | Tokens |", "|---|---|---|---|---|---|"])],
+        "_grp int, _i int, value string")
+    both = head.unionByName(body.withColumn("_grp", F.lit(1)), allowMissingColumns=True)
+    # A global sort, then coalesce(1), keeps the order in the written file.
+    return both.orderBy("_grp", "_i", *order).select("value")
 
 
 def write_report(lines: DataFrame, path: str) -> None:
