@@ -137,7 +137,7 @@ def h7_clause_scores(spark, sf_dir):
     for name, pat, _ in S.CLAUSES:
         g, r = S.clause_text("gen_norm", pat), S.clause_text("ref_norm", pat)
         items.append(F.struct(F.lit(name).alias("clause"), g.alias("gen_clause"), r.alias("ref_clause")))
-    e = p.select("sample_id", "approach", F.explode(F.array(*items)).alias("c")).select(
+    e = p.select("sample_id", "approach", F.explode_outer(F.array(*items)).alias("c")).select(
         "sample_id", "approach", "c.*")
     score = F
     for name, _, _ in S.CLAUSES:
