@@ -131,11 +131,11 @@ def _space_gaps(col: Column) -> Column:
     return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, " +", -1)) - 1)
 
 
-def output_tokens(date: Column, users_col: str) -> Column:
+def output_tokens(date: Column, users_col) -> Column:
     """Whitespace words of the Python ``str()`` of {date, users} without
     building the string: 4 + 13 per user + (users - 1) separators + 2k - 1
     per non-empty map of k items + blanks inside the date, names, map keys."""
-    u = F.col(users_col)
+    u = _c(users_col)
     n = F.size(u)
 
     def per_user(x):

@@ -104,12 +104,17 @@ def clean_translation(col) -> Column:
 def reassemble(pieces_col: str) -> Column:
     """Concatenate translated pieces with no separator, appending "."
     to a piece that does not end like a sentence."""
+    return reassemble_expr(F.col(pieces_col))
+
+
+def reassemble_expr(pieces: Column) -> Column:
+    """``reassemble`` over an array expression."""
     def one(p):
         ends = F.lit(False)
         for e in SENTENCE_ENDINGS:
             ends = ends | p.endswith(e)
         return F.when(ends, p).otherwise(F.concat(p, F.lit(".")))
-    return F.array_join(F.transform(F.col(pieces_col), one), "")
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def nonblank_lines(col) -> Column:

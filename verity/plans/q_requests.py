@@ -190,3 +190,13 @@ def u5_poem_attempts(spark, sf_dir):
     attempts of one request."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     return RP.select_poem(conv.select("conv_id", "turn", "text"), "conv_id", ["turn"])
+
+
+@register("u6_u8_request_dispatch")
+def u6_u8_request_dispatch(spark, sf_dir):
+    """Every request routed to its controller (translation, sentiment,
+    JSON, SQL, poem; unknown -> error), with output, status and tokens (echo
+    answers stand in for the model). Rows-only: the JSON branch uses the
+    look-ahead block pattern; each branch is oracle-checked on its own."""
+    from verity.operators.dispatch import dispatch
+    return dispatch(X.requests(spark, sf_dir))
