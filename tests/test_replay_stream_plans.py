@@ -90,3 +90,24 @@ def test_filter_and_projection_reach_the_scan(spark):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
+
+
+def test_scoring_stream_equals_batch(spark, tmp_path):
+    from verity.operators.sqlbench import score_pairs
+    from verity.streaming.usage import run_scoring_stream
+    pairs = X.sql_pairs(spark, SMALL).select("sample_id", "approach", "generated", "reference")
+    src = str(tmp_path / "pairs")
+    pairs.write.parquet(src)
+    q = run_scoring_stream(spark, src, pairs.schema, str(tmp_path / "scored"), str(tmp_path / "ck"))
+    q.awaitTermination(300)
+    cols = ["sample_id", "approach", "exact_match", "execution_match"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "scored")).select(cols).collect()))
+    want = sorted(map(tuple, score_pairs(pairs).select(cols).collect()))
+    assert got == want and len(got) == 800
+
+
+def test_general_benchmark_job(spark):
+    out = A.run_general_benchmark(X.runs(spark, SMALL), ("m0", "m1", "m2"))
+    assert out["approaches"].count() == 12
+    assert out["best_performing"].count() == 12
+    assert out["improvement_percentages"].count() == 9

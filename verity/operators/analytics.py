@@ -221,3 +221,21 @@ def replay(calls: DataFrame, recorded: DataFrame, keys: Sequence[str]) -> DataFr
     j = calls.join(r, list(keys), "left")
     err = F.when(F.col("_hit").isNull(), F.lit("no response")).otherwise(F.col("error"))
     return j.select(*keys, "response", err.alias("error"))
+
+
+def run_general_benchmark(runs: DataFrame, models: Sequence[str]) -> dict[str, DataFrame]:
+    """The general benchmark's metric tables from one fact table —
+    per-approach means (A2), per-task means (A3), input-length impact (A4),
+    best models (A5, A6) and improvements over raw (A7). The fact table is
+    read once per output; persist it first when all are materialised."""
+    approach = model_means(runs, ("model", "approach"))
+    task = model_means(runs, ("model", "task_type", "approach"), count=True)
+    return {
+        "approaches": approach,
+        "task_specific": task,
+        "input_length_impact": model_means(runs, ("model", "input_length", "approach")).select(
+            "model", "input_length", "approach", "time", "tokens"),
+        "best_performing": best_model(approach, models, ["approach"], GENERAL_METRICS),
+        "task_specific_best": best_model(task, models, ["task_type", "approach"], ["time"]),
+        "improvement_percentages": improvements_vs_raw(approach),
+    }

@@ -72,8 +72,9 @@ def _pick(values, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 + P7 + P8: the text-to-SQL corpus, one row per part."""
+def corpus(spark: SparkSession, sf_dir: str, extra=()) -> DataFrame:
+    """S2 + P7 + P8: the text-to-SQL corpus, one row per part (``extra``
+    part columns are carried along from the same scan)."""
     p = table(spark, sf_dir, "part")
     size = p.p_size.cast("string")
     query = F.when(p.p_partkey % 4 == 0, F.format_string(TEMPLATES[0].replace("{n}", "%s"), size))
@@ -94,6 +95,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Tasks of type "), p.p_type).alias("task_description"),
         complexity_of(label).alias("complexity"),
         p.p_partkey.alias("ordinal"),
+        *extra,
     )
 
 
@@ -138,10 +140,10 @@ def sql_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded benchmark responses per (model, approach, sample): the
     generated text shifts with the model, time/tokens are fixed expressions,
     some calls failed and model ``m1`` lacks every 23rd sample."""
-    c = spread(corpus(spark, sf_dir).select("sample_id", "question", "query"))
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), "p_retailprice")
+    c = spread(corpus(spark, sf_dir, extra=("p_retailprice",)).select("sample_id", "question", "query",
+                                                                     "p_retailprice"))
     models = spark.createDataFrame([(m, i) for i, m in enumerate(MODELS)], "model string, model_ordinal int")
-    j = c.join(p, "sample_id").crossJoin(F.broadcast(models)).crossJoin(F.broadcast(_approaches(spark)))
+    j = c.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(_approaches(spark)))
     j = j.filter(~((j.model_ordinal == 1) & (j.sample_id % 23 == 0)))
     change = (F.floor(j.sample_id / 4) + j.approach_ordinal + j.model_ordinal) % 8
     gen = _variant(j.query, change)
