@@ -111,3 +111,14 @@ def test_general_benchmark_job(spark):
     assert out["approaches"].count() == 12
     assert out["best_performing"].count() == 12
     assert out["improvement_percentages"].count() == 9
+
+
+def test_few_shot_top_up_brute_force(spark):
+    rows = [(i, "simple" if i < 5 else "complex", f"q{i}", f"s{i}", "t", i) for i in range(7)]
+    c = spark.createDataFrame(rows, "sample_id long, complexity string, question string, query string, "
+                                    "table_info string, ordinal long")
+    got = [(r.slot, r.sample_id) for r in A.few_shot_examples(c).orderBy("slot").collect()]
+    # reference: firsts of simple, complex -> [0, 5]; then simple[len=2] -> 2
+    assert got == [(1, 0), (2, 5), (3, 2)]
+    only = c.filter("complexity = 'simple'")
+    assert [r.sample_id for r in A.few_shot_examples(only).orderBy("slot").collect()] == [0, 1, 2]

@@ -187,22 +187,30 @@ def overall_improvement(summary: DataFrame) -> DataFrame:
 
 def few_shot_examples(corpus: DataFrame, levels: Sequence[str] = ("simple", "medium", "complex", "extra"),
                       k: int = 3) -> DataFrame:
-    """First sample of each level (``row_number() = 1`` per level is a
-    WindowGroupLimit, so each map task ships one row per level), in level
-    order, up to ``k``; when fewer levels exist, topped up with the simple
-    level's items at the current list length (as the reference does)."""
+    """First sample of each level in level order, up to ``k``; when
+    fewer levels exist, topped up with the simple level's items at the
+    current list length (as the reference does: ``simple[len(examples)]``).
+
+    ``row_number() <= k`` per level is a WindowGroupLimit (each map task
+    ships at most k rows per level). The at most ``len(levels) * k``
+    candidates are then ranked in one small window: no driver round trip."""
     w = Window.partitionBy("complexity").orderBy("ordinal")
-    c = corpus.filter(F.col("complexity").isin(list(levels)))
-    firsts = (c.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-              .withColumn("_lvl", F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("complexity")))
-              .orderBy("_lvl").limit(k))
-    n = firsts.count()  # at most k rows
-    picked = firsts.withColumn("slot", F.row_number().over(Window.orderBy("_lvl")))
-    if n < k:
-        simple = (c.filter(F.col("complexity") == levels[0]).withColumn("_rn", F.row_number().over(w))
-                  .filter((F.col("_rn") > n) & (F.col("_rn") <= k)).withColumn("slot", F.col("_rn")))
-        picked = picked.unionByName(simple, allowMissingColumns=True)
-    return picked.select("slot", "sample_id", "complexity", "question", "query", "table_info")
+    lvl = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("complexity"))
+    top = (corpus.filter(F.col("complexity").isin(list(levels)))
+           .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).withColumn("_lvl", lvl))
+    firsts = top.filter("_rn = 1")
+    n_firsts = F.least(F.count(F.when(F.col("_rn") == 1, 1)).over(Window.partitionBy()), F.lit(k))
+    # a first of its level takes slot = its rank among firsts; a simple item
+    # of rank r > 1 fills slot r once the firsts are exhausted (r > n_firsts)
+    ranked = top.withColumn("_n", n_firsts).withColumn(
+        "_first_slot", F.when(F.col("_rn") == 1, F.row_number().over(
+            Window.partitionBy((F.col("_rn") == 1)).orderBy("_lvl"))))
+    pick = ranked.filter(
+        ((F.col("_rn") == 1) & (F.col("_first_slot") <= k))
+        | ((F.col("complexity") == levels[0]) & (F.col("_rn") > F.col("_n")) & (F.col("_rn") <= k)))
+    slot = F.when((F.col("_rn") == 1) & (F.col("_first_slot") <= k), F.col("_first_slot")).otherwise(F.col("_rn"))
+    del firsts
+    return pick.select(slot.alias("slot"), "sample_id", "complexity", "question", "query", "table_info")
 
 
 def benchmark_grid(spark: SparkSession, samples: DataFrame, models: Sequence[str],
