@@ -134,7 +134,7 @@ def _scored(spark, sf_dir, detail=False):
     dims = corpus.select("sample_id", "complexity", "task_type", "domain", "original_complexity",
                          F.col("query").alias("reference"))
     pairs = X.sql_responses(spark, sf_dir).filter(F.col("error").isNull()).join(dims, "sample_id")
-    return B.score_pairs(pairs, "response", "reference", detail=detail)
+    return B.score_distinct_pairs(pairs, "response", "reference", detail=detail)
 
 
 def _summary(spark, sf_dir):
