@@ -14,8 +14,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     where scans have thousands of splits, this adds no shuffle. Call it on
     scan-side plans only: the partition count of a plain scan is known from
     its file splits without running anything."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave the plan as is
         return df
     return df.repartition(target)
 
