@@ -109,3 +109,10 @@ def test_no_python_udf_in_scoring_plan(spark):
     from verity.sources import fixtures as X
     plan = B.score_pairs(X.sql_pairs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_token_counter_falls_back_without_vocabulary(spark):
+    from verity.functions.tokens import bpe_available, token_counter
+    df = spark.createDataFrame([("select a from t",)], "q string")
+    n = df.select(token_counter("q", prefer_bpe=True)).first()[0]
+    assert n == 4 if not bpe_available() else n > 0

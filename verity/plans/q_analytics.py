@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from verity.operators import analytics as A
 from verity.operators import sqlbench as B
-from verity.operators.partitioning import bounded_broadcast
 from verity.plans import oracle as O
 from verity.plans.catalog import register
 from verity.sources import fixtures as X

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verity.functions import sqltext as S
-from verity.functions import text as T
 from verity.operators import replay as RP
 from verity.operators import requests as RQ
 from verity.plans import oracle as O
