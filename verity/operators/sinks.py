@@ -42,9 +42,13 @@ def report_lines(df: DataFrame, title: str, label: str, order: list[str]) -> Dat
     """A Markdown table (one text row per summary row, with header rows)
     from a frame with ``label``, approach, exact_match_pct,
     execution_match_pct, time_ms and tokens."""
-    body = df.select(*order, F.format_string(
-        "| %s | %s | %.1f%% | %.1f%% | %.1f | %.1f |", F.col(label), F.col("approach"), F.col("exact_match_pct"),
-        F.col("execution_match_pct"), F.col("time_ms"), F.col("tokens")).alias("value"))
+    def f1(c):  # %.1f by exact half-up decimal rounding
+        return F.round(F.col(c).cast("decimal(24,6)"), 1).cast("string")
+
+    body = df.select(*order, F.concat(
+        F.lit("| "), F.col(label), F.lit(" | "), F.col("approach"), F.lit(" | "), f1("exact_match_pct"),
+        F.lit("% | "), f1("execution_match_pct"), F.lit("% | "), f1("time_ms"), F.lit(" | "), f1("tokens"),
+        F.lit(" |")).alias("value"))
     head = df.sparkSession.createDataFrame(
         [(0, i, v) for i, v in enumerate([f"# {title}", "", f"| {label} | Approach | Exact Match | Execution Match | "
                                           "Time (ms) | Tokens |", "|---|---|---|---|---|---|"])],

@@ -421,3 +421,22 @@ def j7_replay_join(spark, sf_dir):
     no recording gets error 'no response'."""
     grid = A.benchmark_grid(spark, X.corpus(spark, sf_dir), X.MODELS).drop("complexity")
     return A.replay(grid, X.sql_responses(spark, sf_dir), ["model", "sample_id", "approach"])
+
+
+def _f1sql(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(24,6)), 1) AS VARCHAR)"
+
+
+@register("s11_task_type_report", f"""{_SC},
+r AS ({_by_dim_sql('task_type')})
+SELECT '# Performance Analysis by SQL Task Type' AS value UNION ALL SELECT ''
+UNION ALL SELECT '| task_type | Approach | Exact Match | Execution Match | Time (ms) | Tokens |'
+UNION ALL SELECT '|---|---|---|---|---|---|'
+UNION ALL SELECT '| ' || task_type || ' | ' || approach || ' | ' || {_f1sql('exact_match_pct')} || '% | '
+       || {_f1sql('execution_match_pct')} || '% | ' || {_f1sql('time_ms')} || ' | ' || {_f1sql('tokens')} || ' |' FROM r""")
+def s11_task_type_report(spark, sf_dir):
+    """The by-task-type report (A16) as Markdown lines, ready for
+    ``sinks.write_report`` (one small file)."""
+    from verity.operators.sinks import report_lines
+    m = _by_dim(_scored(spark, sf_dir), "task_type")
+    return report_lines(m, "Performance Analysis by SQL Task Type", "task_type", ["task_type", "model", "approach"])

@@ -320,3 +320,20 @@ def p16_task_prompts(spark, sf_dir):
                      F.sha2(PR.task_prompt(a, F.col("task_type"), F.col("text"), F.col("target_language")), 256)
                      .alias("prompt_sha")) for a in ("raw", "fine_tuned")]
     return outs[0].unionByName(outs[1])
+
+
+@register(
+    "h29_explain_pair",
+    f"""{_PAIRS},
+{O.scored_pairs_sql('sql_pairs', 'generated', 'reference')}
+SELECT sample_id, approach, gen_norm, ref_norm, gen_norm = ref_norm AS exact,
+       round(component_match, 6) AS component_match, round(structural_similarity, 6) AS structural_similarity
+FROM scored""",
+)
+def h29_explain_pair(spark, sf_dir):
+    """Normal forms, exact flag, component and structural scores of
+    every pair side by side (the reference prints these for one pair)."""
+    s = B.score_distinct_pairs(X.sql_pairs(spark, sf_dir))
+    return s.select("sample_id", "approach", "gen_norm", "ref_norm", (F.col("gen_norm") == F.col("ref_norm")).alias("exact"),
+                    B.r6("component_match").alias("component_match"),
+                    B.r6("structural_similarity").alias("structural_similarity"))
