@@ -186,9 +186,11 @@ t AS (SELECT sample_id, approach, {O.words(O.norm_basic('generated'))} AS gt,
 SELECT sample_id, approach, round({O.jaccard_from('gt', 'rt')}, 6) AS jaccard FROM t""",
 )
 def x2_jaccard_similarity(spark, sf_dir):
-    p = X.sql_pairs(spark, sf_dir)
-    return p.select("sample_id", "approach",
-                    B.r6(S.semantic_similarity("generated", "reference", "jaccard")).alias("jaccard"))
+    """X2 over staged token columns (each token array built once per row)."""
+    p = X.sql_pairs(spark, sf_dir).select(
+        "sample_id", "approach", S.single_spaced_words(S.normalize_basic("generated")).alias("gt"),
+        S.single_spaced_words(S.normalize_basic("reference")).alias("rt"))
+    return p.select("sample_id", "approach", B.r6(S.jaccard("gt", "rt")).alias("jaccard"))
 
 
 _VALID_SQL = (
