@@ -29,3 +29,18 @@ def test_dispatch_routes_and_counts(spark):
             lang = (r.target_language or "german").lower()
             if lang not in {"german", "spanish"}:
                 assert o.output.startswith("Unsupported language") and o.status == "success"
+
+
+def test_report_by_and_models(spark):
+    import pytest
+    from verity.operators import analytics as A
+    from verity.operators.requests import available_models, registry
+    from verity.plans import q_analytics as QA
+    scored = QA._scored(spark, SMALL)
+    by_task = A.report_by(scored, "task_type").collect()
+    want = {(r.model, r.task_type, r.approach): r.exact_match_pct for r in QA._by_dim(scored, "task_type").collect()}
+    assert {(r.model, r.task_type, r.approach): r.exact_match_pct for r in by_task} == want
+    assert A.report_by(scored, "domain").select("domain").distinct().count() <= 10
+    with pytest.raises(ValueError):
+        A.report_by(scored, "weekday")
+    assert [r.model_key for r in available_models(registry(spark, [("m0", "phi3")])).collect()] == ["m0"]

@@ -247,3 +247,25 @@ def run_general_benchmark(runs: DataFrame, models: Sequence[str]) -> dict[str, D
         "task_specific_best": best_model(task, models, ["task_type", "approach"], ["time"]),
         "improvement_percentages": improvements_vs_raw(approach),
     }
+
+
+ANALYSIS_TYPES = {"task_type": "task_type", "domain": "domain", "complexity": "original_complexity"}
+
+
+def report_by(scored: DataFrame, analysis_type: str, first_domains: int = 10) -> DataFrame:
+    """P10: the analysis report chosen by ``analysis_type`` (task_type,
+    domain or complexity = original complexity); anything else raises
+    ``ValueError`` (the reference answers 400). The domain report keeps the
+    first ``first_domains`` domains alphabetically (T3), a bounded broadcast."""
+    if analysis_type not in ANALYSIS_TYPES:
+        raise ValueError(f"Invalid analysis type: {analysis_type}")
+    dim = ANALYSIS_TYPES[analysis_type]
+    if analysis_type == "domain":
+        top = scored.select("domain").distinct().orderBy("domain").limit(first_domains)
+        scored = scored.join(F.broadcast(top), "domain", "left_semi")
+    return scored.groupBy("model", dim, "approach").agg(
+        r6(F.avg("exact_match") * 100).alias("exact_match_pct"),
+        r6(F.avg("execution_match") * 100).alias("execution_match_pct"),
+        r6(avg6("time_s") * 1000).alias("time_ms"),
+        avg6("tokens_total").alias("tokens"),
+    )

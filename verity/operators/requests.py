@@ -85,3 +85,8 @@ def latest_status(events: DataFrame, key: str, status: Column, order: Sequence[s
     """Latest status per job = ``max_by(status, order)`` (a partial
     aggregation, no window over a job's whole history)."""
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"))
+
+
+def available_models(reg: DataFrame) -> DataFrame:
+    """The registry's model keys."""
+    return reg.select("model_key")
