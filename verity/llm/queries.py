@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verity.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts
+from verity.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity
 from verity.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +26,30 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``. One of at most 40 words that
+    names a licence stands for a licence file: in English at the source's root,
+    else in its language's directory."""
+    docs = table(spark, sf_dir, "documents")
+    short = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) <= 40
+    folder = F.when(short & (F.col("lang") == "en"), F.col("source")).otherwise(F.concat_ws("/", "source", "lang"))
+    files = docs.select("doc_id", "text", F.concat_ws("/", folder, F.col("doc_id").cast("string")).alias("path"), short.alias("short"))
+    return licenses.licensed(files, is_license_file=F.col("short"), carry=["doc_id"])
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a key for tests; production reads it from the job's secrets."""
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), b"verity test key")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -41,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_license_scan": op4_license_scan,
+    "op5_pseudonyms": op5_pseudonyms,
+    "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
