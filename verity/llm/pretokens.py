@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20  # characters handled at once
+BLOCK = 1 << 18  # characters handled at once
 _ODD = re.compile("[İ-\U0010ffff]")
 _GAP, _LETTER, _DIGIT, _MARK = 0, 1, 2, 3
 

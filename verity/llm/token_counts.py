@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.llm.pretokens import Encoder, PreTokens, blocks, word_at
-from verity.llm.shared import written
+from verity.llm.shared import few_rows, written
 
 COMMON = 1_000_000
 LIMIT = 2048
-FLUSH = 400_000
+FLUSH = 150_000
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def _count_words(path: str):
             words.clear()
             return out
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for _, parts in blocks(batch.column(0).to_pylist()):
                 units, starts, ends, _, hashes = tokens.split(parts)
                 found, first, times = np.unique(_signed(hashes), return_index=True, return_counts=True)
@@ -84,7 +84,7 @@ def _frequencies(path: str, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = PreTokens(path)
         known, pieces = common.value
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = [t.encode("utf-8", "surrogatepass") for t in texts]
