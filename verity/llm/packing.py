@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.llm.pretokens import Encoder, PreTokens, blocks, scramble, word_at
-from verity.llm.shared import partitions, written
+from verity.llm.shared import few_rows, partitions, written
 
 LENGTH = 4096
 END_ID = 2
-REMEMBER = 500_000
+REMEMBER = 250_000
 FEATURES, DIMENSIONS, BITS = 256, 3, 16
 SAMPLE = 40  # sampled documents for each range
 
@@ -126,7 +126,7 @@ def _tokenised(path: str, end_id: int):
                 pa.array([len(b) // kind.itemsize for _, b, _ in rows], pa.int64()), pa.array([b for _, b, _ in rows], pa.binary())],
                 names=["doc_id", "key", "doc_tokens", "ids"])
 
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, rows, held = batch.column("doc_id").to_pylist(), [], 0
             open_at, open_bytes, open_vector = -1, [], np.zeros(FEATURES)
             for numbers, parts in blocks(batch.column("text").to_pylist()):
@@ -171,7 +171,7 @@ def _id_last():
 def _pieces(base: dict[int, int], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, at = None, 0
-        for batch in batches:
+        for batch in few_rows(batches):
             out: list[tuple] = []
             for part, doc_id, size, coded in zip(*(batch.column(c) for c in ("range", "doc_id", "doc_tokens", "ids"))):
                 part, doc_id, size, coded = part.as_py(), doc_id.as_py(), size.as_py(), coded.as_py()
