@@ -1,8 +1,8 @@
 """Exact dedup by content sort.
 
-Sampled splitters range-partition the normalised bytes (ties broken by
-identifier, so one text that makes up a third of all rows spreads over many
-partitions), an external sort puts equals next to each other, and each row's
+Sampled splitters range-partition the normalised bytes (their first ``HEAD``,
+then the digest of all; ties are broken by identifier, so one text that makes up
+a third of all rows spreads over many partitions), an external sort puts equals next to each other, and each row's
 full text is compared with its neighbour's. Runs that cross a partition's edge
 are joined through a table of two rows a partition.
 
@@ -14,7 +14,6 @@ table; further columns are passed through whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verity.llm.shared import SPACE, partitions, text_or_empty, written
+from verity.llm.shared import SPACE, few_rows, partitions, text_or_empty, written
+
+HEAD = 64  # bytes of a text by which it is dealt out
 
 _RUN = T.StructType([
     T.StructField("_id", T.LongType()), T.StructField("_row", T.StringType()), T.StructField("_part", T.IntegerType()),
@@ -33,20 +34,19 @@ _RUN = T.StructType([
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, before, sha, run = TaskContext.get().partitionId(), None, "", -1
-    for batch in batches:
-        runs, firsts, shas = [], [], []
+    part, before, run = TaskContext.get().partitionId(), None, -1
+    for batch in few_rows(batches):
+        runs, firsts = [], []
         for body in batch.column("_body"):
             body = body.as_py()
             first = body != before
             if first:
-                before, sha, run = body, hashlib.sha256(body).hexdigest(), run + 1
+                before, run = body, run + 1
             runs.append(run)
             firsts.append(first)
-            shas.append(sha)
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_row"), pa.array([part] * len(runs), pa.int32()),
-             pa.array(runs, pa.int64()), pa.array(firsts, pa.bool_()), pa.array(shas, pa.string())],
+             pa.array(runs, pa.int64()), pa.array(firsts, pa.bool_()), batch.column("_sha")],
             names=_RUN.names)
 
 
@@ -56,10 +56,13 @@ def sorted_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     at the run's first row and the text's ``_sha``. Written, as range bounds
     are sampled anew by every job."""
     body = F.regexp_replace(text_or_empty(text), SPACE, " ").cast("binary")
+    # Splitters travel to the driver: they are the first bytes and the digest of
+    # a text, never the whole of it. Rows are still compared whole.
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), body.alias("_body"),
                        (F.col(row) if row else F.lit(None)).cast("string").alias("_row"))
-    order = [F.col("_body"), F.col("_id").asc_nulls_last()]
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"_head": F.substring("_body", 1, HEAD), "_sha": F.sha2("_body", 256)})
+    number = F.col("_id").asc_nulls_last()
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "_head", "_sha", number).sortWithinPartitions("_head", "_sha", "_body", number)
     return written(ordered.mapInArrow(_compare_neighbours, _RUN), "runs")
 
 
