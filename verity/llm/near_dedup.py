@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from verity.llm.components import components
 from verity.llm.pretokens import scramble
-from verity.llm.shared import SPACE, text_or_empty, written
+from verity.llm.shared import SPACE, few_rows, text_or_empty, written
 from verity.llm.words import shingles, strips, word_hashes
 
 SIMILARITY = 0.8
@@ -94,7 +94,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         ids, nodes = batch.column("doc_id"), batch.column("node")
         for numbers, words in word_hashes(batch.column("text").to_pylist()):
             sets = [strips(shingles(w)) for w in words]
@@ -109,7 +109,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         for numbers, words in word_hashes(batch.column("text").to_pylist()):
             at = pa.array(numbers, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.array([np.sort(strips(shingles(w))).tobytes() for w in words], pa.binary())],
@@ -117,7 +117,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         values = []
         for x, y in zip(batch.column("x"), batch.column("y")):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verity.llm.shared import few_rows
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -189,7 +191,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
         spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in few_rows(batches):
             done = [(None, []) if t is None else names.replaced(t) for t in batch.column("text").to_pylist()]
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for _, s in done]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t for t, _ in done], pa.string()),

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verity.llm.shared import few_rows
+
 TRAINING_ROWS = 30_000
 STEMS = 96
 STEM_LENGTHS = range(4, 10)
@@ -139,7 +141,7 @@ class Grammar:
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and other texts hold each word beginning; the null one counts texts."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
+    for batch in few_rows(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = set(_WORD.findall((text or "").lower()))
             counts[toxic].update({w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k})
@@ -179,7 +181,7 @@ def learn_arcs(rows: DataFrame, stems: int = STEMS) -> dict[str, float]:
 
 def _with_features(grammar: Grammar, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [grammar.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "found"])
     return run

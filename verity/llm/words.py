@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from verity.llm.pretokens import Hasher, blocks, scramble
+from verity.llm.pretokens import BLOCK, Hasher, blocks, scramble
 
 SHINGLE = 5
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,7 +23,7 @@ def _part_words(hasher: Hasher, parts: list[str]) -> tuple[np.ndarray, np.ndarra
     return hasher(units, starts, ends), np.diff(np.searchsorted(starts, begins))
 
 
-def word_hashes(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def word_hashes(texts: list[str], most: int = BLOCK) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """(numbers of texts, word hashes of each): whole texts, in groups of about ``most`` characters."""
     hasher, open_at, open_parts, numbers, groups, held = Hasher(), -1, [], [], [], 0
     for some, parts in blocks(texts, most):
