@@ -15,11 +15,15 @@ Links are found in every bucket of a band without listing all its pairs:
 
 - texts that are equal word for word are one node from the start;
 - in buckets of up to ``SMALL`` nodes all pairs are compared;
-- in larger ones every node is compared to one leader, the linked ones are
-  merged, and the rest meets other leaders in later rounds;
-- what a bucket then still holds of different components is compared pair by
-  pair, unless signatures agree in less than 60 % of coordinates (at similarity
-  0.8, a chance below 1 in 10 million).
+- in larger ones every node is compared to the bucket's leader, the node that
+  shares buckets with most others (the text that copies were made from, if it is
+  there), and what is linked is merged;
+- larger buckets that still hold several components go through up to ``MEETINGS``
+  further rounds, in which every node meets a leader drawn anew in each of them.
+
+So a round is linear in the rows of such buckets, where all their pairs would be
+quadratic. A link can be missed only between nodes that share no small bucket,
+and only if none of the leaders that they meet ties their components together.
 
 A comparison is the exact weighted Jaccard similarity of the shingles. Classes
 are the connected components of links of 0.8 or more.
@@ -49,8 +53,7 @@ from verity.llm.words import shingles, strips, word_hashes
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SMALL = 8
-LEADER_ROUNDS = 3
-AGREEMENT = 0.6
+MEETINGS = 2
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _CELL, _DART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -102,10 +105,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signatures = dart_signatures(np.concatenate(sets), owner, len(sets))
             at = pa.array(numbers, pa.int64())
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            # A coordinate is compared by 16 bits of its dart, a band by 64.
-            marks = (signatures & np.uint64(0xFFFF)).astype(np.int64).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([ids.take(at), nodes.take(at), lists(band_keys(signatures).view(np.int64)), lists(marks),
-                                              pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "bands", "marks", "size"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), nodes.take(at), lists(band_keys(signatures).view(np.int64)),
+                                              pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "bands", "size"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +138,10 @@ def _pairs(rows: DataFrame, buckets: DataFrame, salt: int) -> DataFrame:
     root; ``buckets``: key, n, leader."""
     at = rows.join(buckets, "key")
     star = at.where((F.col("n") > SMALL) & (F.col("root") != F.col("leader.root"))).select(
-        F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+        "key", "node", F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
     if salt:
-        return star.distinct()
+        return star.select("a", "b").distinct()
+    star = star.select("a", "b")
     small = at.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # SMALL nodes at most
     each = small.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, SMALL)).alias("b"))
     return star.unionByName(each).distinct()
@@ -147,16 +149,19 @@ def _pairs(rows: DataFrame, buckets: DataFrame, salt: int) -> DataFrame:
 
 def _buckets(rows: DataFrame, salt: int) -> DataFrame:
     """Buckets of more than one component: their number of nodes and a leader."""
-    order = F.xxhash64("node", F.lit(salt)) if salt else F.lit(0)
+    order = F.xxhash64("node", F.lit(salt)) if salt else -F.col("met")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
                                    F.min(F.struct(order.alias("o"), "node", "root")).alias("leader")).where("least <> most").select("key", "n", "leader")
 
 
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """The links (a, b) between nodes that classes need, each of ``SIMILARITY`` or more."""
-    nodes = signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    nodes = signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"), F.col("node").alias("root"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    busy = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("in_it")).where("in_it > 1"), "key"), "busy")
+    met = busy.groupBy("node").agg(F.sum("in_it").alias("met"))
+    rows = busy.select("key", "node", F.col("node").alias("root")).join(met, "node")
     shared = written(rows.join(_buckets(rows, 0), "key"), "buckets")
     rows = shared.select("key", "node", "root")
     # Only texts that share a bucket are read again, one for each node.
@@ -172,20 +177,13 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
     links = compared(_pairs(rows, shared.select("key", "n", "leader").distinct(), 0))
     large = shared.where(F.col("n") > SMALL).select("key", "node")
-    for salt in range(1, LEADER_ROUNDS + 1):
+    for salt in range(1, MEETINGS + 1):
         rooted = _rooted(large, links)
-        buckets = _buckets(rooted, salt)
-        pairs = written(_pairs(rooted, buckets, salt), "pairs")
-        if pairs.isEmpty():
-            return links
-        links = links.unionByName(compared(pairs))
-    rooted = _rooted(large, links)
-    left = rooted.join(_buckets(rooted, 0).select("key"), "key").join(nodes.select("node", "marks"), "node")
-    p, q = left.alias("p"), left.alias("q")
-    agreed = F.size(F.filter(F.zip_with("p.marks", "q.marks", lambda x, y: x == y), lambda e: e))
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))).where(
-        agreed >= AGREEMENT * BANDS * ROWS).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    return links.unionByName(compared(rest))
+        found = compared(_pairs(rooted, _buckets(rooted, salt), salt))
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+    return links
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -201,7 +199,7 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def _classes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), node_of(f"`{text}`").alias("node"), text_or_empty(f"`{text}`").alias("text"))
-    signed = written(read.mapInArrow(_signed, "doc_id long, node binary, bands array<long>, marks array<short>, size long"), "signed")
+    signed = written(read.mapInArrow(_signed, "doc_id long, node binary, bands array<long>, size long"), "signed")
     roots = components(near_links(read, signed))
     rows = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     classes = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.count("*").alias("class_size"))
