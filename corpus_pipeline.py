@@ -2,7 +2,9 @@
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is
 written as Parquet in the shared folder and read again as the next one's
-``docs``. All but the last return the columns of ``documents``:
+``docs``. When a stage starts, the tables that the stage before it wrote for its
+own use are deleted: its result is written by then. All but the last return the
+columns of ``documents``:
 
 1. quality rules: documents that the rules reject go;
 2. exact dedup: one row of each group of equal texts stays, the smallest doc_id's;
@@ -16,31 +18,51 @@ of ``run``; tests/llm holds the stages against brute-force versions instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verity.llm import exact_dedup, mixing, near_dedup, packing, quality
 from verity.llm.queries import TOKENIZER
-from verity.llm.shared import written
+from verity.llm.shared import cleared, noting, written
 from verity.sources.tables import table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_OWN_TABLES: list[str] = []
+
+
+def stage(build: Stage) -> Stage:
+    @wraps(build)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        cleared(spark, _OWN_TABLES)
+        with noting(_OWN_TABLES):
+            return build(spark, docs, sf_dir)
+    return run
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs)
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_copies(docs)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@stage
 def packing_in_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path(TOKENIZER))
 
@@ -58,6 +80,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, build in STAGES:
+        docs = written(build(spark, docs, sf_dir), name)
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,12 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later
     steps see one fixed set of rows, compute nothing twice, and survive the
-    loss of executors. The folder is the caller's to clear after the job."""
+    loss of executors. The folder is the caller's to clear after the job;
+    ``noting`` says which folders those are."""
     path = f"{shared_folder(df.sparkSession)}/verity-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if _NOTED.get() is not None:
+        _NOTED.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Adds the folders of tables written meanwhile to ``paths``."""
+    token = _NOTED.set(paths)
+    try:
+        yield
+    finally:
+        _NOTED.reset(token)
+
+
+def cleared(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the folders, which no table still to be read may come from."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that a Python worker holds the
     texts of a slice and not of a whole Arrow batch as objects."""
