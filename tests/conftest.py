@@ -10,9 +10,9 @@ MEDIUM = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from verity.session import checkpoint_dir, local_session
 
-    s = local_session(shuffle_partitions=8)
+    s = local_session(shuffle_partitions=8, checkpoint=str(tmp_path_factory.mktemp("shared")))
     checkpoint_dir(s)
     yield s

@@ -1,6 +1,8 @@
 """Every registered query against its DuckDB oracle on sf0.001 (row count,
 column names and an order-insensitive value digest) — the driver's gate."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -26,12 +28,13 @@ def test_entry_smoke(spark):
     assert df.count() == 32
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# The training-data queries have tests of their own in tests/llm.
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "pipeline" and not re.match(r"op\d+_", n)))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
-        assert len(rows) >= 0
+        assert rows and len(df.columns) == len(set(df.columns))
         return
     rel = duck.sql(ORACLES[name])
     orows = rel.fetchall()

@@ -73,12 +73,18 @@ def sentiment_label(col) -> Column:
     return out
 
 
+def sentence_labels(sentences_col: str) -> Column:
+    """The label of each sentence (a lexical stand-in for a model's answer);
+    unlabelled sentences are neutral."""
+    return F.transform(F.col(sentences_col), lambda s: F.coalesce(sentiment_label(s), F.lit("neutral")))
+
+
 def sentiment_counts(sentences_col: str, labels: Column | None = None) -> list[Column]:
     """positive/negative/neutral counts over a staged sentence array.
     ``labels`` defaults to labelling each sentence itself (a lexical stand-in
     for a model's answer); unlabelled sentences count as neutral."""
-    lab = labels if labels is not None else F.transform(
-        F.col(sentences_col), lambda s: F.coalesce(sentiment_label(s), F.lit("neutral")))
+    lab = labels if labels is not None else sentence_labels(sentences_col)
+
     def count(v):
         return F.size(F.filter(lab, lambda x: x == v)).cast("bigint").alias(v)
 

@@ -81,7 +81,7 @@ def improvements_vs_raw(means: DataFrame) -> DataFrame:
 def with_grid(agg: DataFrame, grid: DataFrame, keys: Sequence[str], fill: Sequence[str]) -> DataFrame:
     """Complete key grid, missing cells filled with 0 (A1, A21). The grid is
     a literal product of argument lists, bounded by construction."""
-    out = F.broadcast(grid).join(agg, list(keys), "left")
+    out = grid.join(agg, list(keys), "left")
     return out.select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in fill])
 
 

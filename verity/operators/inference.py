@@ -14,17 +14,36 @@ import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-RESPONSE_FIELDS = "response string, time_s double, error string"
+RESPONSE_FIELDS = "response string, time_s double, error string, tokens long"
+
+
+def _answers(client: Callable[[list[str]], list[str]], prompts: list[str]) -> list[tuple[str | None, float, str | None]]:
+    """(answer, seconds, error) of each prompt. If the batch fails, or the
+    client returns another number of answers, the prompts go one by one, so
+    that only those fail that fail alone."""
+    t0 = time.perf_counter()
+    try:
+        answers = list(client(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+    except Exception as ex:  # noqa: BLE001 - becomes the row's error
+        if len(prompts) == 1:
+            return [(None, time.perf_counter() - t0, str(ex))]
+        return [_answers(client, [p])[0] for p in prompts]
+    each = (time.perf_counter() - t0) / max(len(prompts), 1)
+    return [(a, each, None) for a in answers]
 
 
 def generate(df: DataFrame, prompt: str, client_factory: Callable[[], Callable[[list[str]], list[str]]],
              batch_rows: int = 64) -> DataFrame:
-    """Add ``response``, ``time_s`` (per batch, spread over its rows) and
-    ``error`` to every row by calling the client on Arrow batches."""
+    """Add ``response``, ``time_s`` (a batch's time spread over its rows, or the
+    row's own if it went alone), ``error`` and ``tokens`` (white-space words of
+    prompt and response) to every row by calling the client on Arrow batches."""
     import pandas as pd
 
-    schema = f"{df.schema.simpleString()[len('struct<'):-1].replace(':', ' ')}, {RESPONSE_FIELDS}"
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(RESPONSE_FIELDS).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
@@ -32,13 +51,9 @@ def generate(df: DataFrame, prompt: str, client_factory: Callable[[], Callable[[
             for start in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[start:start + batch_rows].copy()
                 prompts = part[prompt].fillna("").tolist()
-                t0 = time.perf_counter()
-                try:
-                    answers, errors = list(client(prompts)), [None] * len(prompts)
-                except Exception as ex:  # noqa: BLE001 - one bad batch must not fail the task
-                    answers, errors = [None] * len(prompts), [str(ex)] * len(prompts)
-                elapsed = (time.perf_counter() - t0) / max(len(prompts), 1)
-                part["response"], part["time_s"], part["error"] = answers, elapsed, errors
+                done = _answers(client, prompts)
+                part["response"], part["time_s"], part["error"] = ([d[i] for d in done] for i in range(3))
+                part["tokens"] = [len(p.split()) + len((d[0] or "").split()) for p, d in zip(prompts, done)]
                 yield part
 
     return df.mapInPandas(run, schema)

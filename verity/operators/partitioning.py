@@ -1,9 +1,8 @@
-"""Partitioning helpers: spreading CPU-heavy rows and size-checked broadcast."""
+"""Partitioning helper: spreading CPU-heavy rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -14,18 +13,5 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     where scans have thousands of splits, this adds no shuffle. Call it on
     scan-side plans only: the partition count of a plain scan is known from
     its file splits without running anything."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave the plan as is
-        return df
-    return df.repartition(target)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows
-    (a ``limit(max_rows + 1)`` count, cheap on a small side); otherwise return
-    it unhinted so the planner (and AQE at run time) picks a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verity.functions import sqltext as S
-from verity.operators.partitioning import bounded_broadcast
 
 # FIXED VALUES — defaults, supported sets and routing of the reference.
 # Defaults: model phi3, target_language german, operation select.
@@ -26,7 +25,6 @@ LANGUAGES = ("german", "spanish")
 ROUTES = (("translation", "TranslationController"), ("sentiment", "SentimentController"),
           ("poem", "PoemController"), ("json", "JSONController"), ("sql", "SQLController"))
 JSON_REQUIRED = (("text", "text"), ("date", "date"), ("schema", "schema_json"))
-REGISTRY_MAX_ROWS = 100_000
 
 
 def missing_fields(required: Sequence[tuple[str, str]] = JSON_REQUIRED) -> Column:
@@ -73,9 +71,8 @@ def registry(spark: SparkSession, entries: Sequence[tuple[str, str]]) -> DataFra
 def lookup_model(df: DataFrame, reg: DataFrame, key: str = "model", strict: bool = False) -> DataFrame:
     """Attach ``model_name`` from the registry. Lenient: an unknown
     key maps to itself. Strict: it stays null (the caller fails the request).
-    The registry is broadcast after a row-count check."""
-    r = bounded_broadcast(reg, REGISTRY_MAX_ROWS)
-    j = df.join(r, F.col(key) == r.model_key, "left").drop("model_key")
+    The registry carries no hint: the planner broadcasts it by measured bytes."""
+    j = df.join(reg, F.col(key) == reg.model_key, "left").drop("model_key")
     if strict:
         return j
     return j.withColumn("model_name", F.coalesce(F.col("model_name"), F.col(key)))

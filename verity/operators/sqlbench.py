@@ -180,7 +180,9 @@ def summarize(scored: DataFrame, grid: DataFrame, drop_errors: bool = True) -> D
         *[F.avg(c).alias(c) for c in SCORE_COLUMNS],
         F.count(F.lit(1)).alias("sample_count"),
     )
-    out = F.broadcast(grid).join(agg, keys, "left")
+    # The aggregate, one row a key, is the side that may be broadcast; the
+    # grid is the preserved side of the outer join, which cannot be.
+    out = grid.join(agg, keys, "left")
     return out.select(
         *keys,
         *[r6(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in SUMMARY_METRICS],

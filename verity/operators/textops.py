@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.functions import text as T
-from verity.operators.partitioning import bounded_broadcast
-
-DICTIONARY_MAX_ROWS = 5_000_000
 
 
 def sentiment_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """A12 with A24: per row, sentence labels counted by class plus tokens.
-    The sentence array is staged as a column so the label lambda never
-    re-splits the text."""
+    Sentences and their labels are staged as columns, so the text is split
+    and every sentence labelled once, not once for each class."""
     s = df.select(key, T.split_sentences(text).alias("sentences"))
+    s = s.select(key, "sentences", T.sentence_labels("sentences").alias("labels"))
     tokens = T.token_count(F.array_join("sentences", "")) + T.token_count(F.lit(T.SENTIMENT_RESPONSE))
-    return s.select(key, *T.sentiment_counts("sentences"), tokens.alias("tokens_used"))
+    return s.select(key, *T.sentiment_counts("sentences", F.col("labels")), tokens.alias("tokens_used"))
 
 
 def translate_sentences(df: DataFrame, key: str, text: str, translate=None) -> DataFrame:
@@ -55,13 +53,12 @@ def drop_dictionary_words(df: DataFrame, key: str, text: str, dictionary: DataFr
     Rows are hash-partitioned by ``key`` once (the raw texts, not the
     exploded words); the explode and the dictionary join keep that
     partitioning, so the regrouping by ``key`` needs no second shuffle. The
-    dictionary is broadcast only after its row count is checked, otherwise
-    the join is a shuffle join. ``posexplode_outer`` keeps texts with no
+    dictionary carries no hint: the planner broadcasts it by measured bytes
+    or joins by a shuffle. ``posexplode_outer`` keeps texts with no
     words; a text's words are one group, bounded by the text itself."""
     d = df.select(key, text).repartition(key)
     w = d.select(key, F.posexplode_outer(T.words(T.letters_only(text))).alias("pos", "w"))
-    dic = bounded_broadcast(dictionary.select(F.col("word").alias("_lw"), F.lit(True).alias("_hit")),
-                            DICTIONARY_MAX_ROWS)
+    dic = dictionary.select(F.col("word").alias("_lw"), F.lit(True).alias("_hit"))
     j = w.join(dic, F.lower(w.w) == dic._lw, "left")
     kept = F.when(F.col("w").isNotNull() & F.col("_hit").isNull(), F.struct("pos", "w"))
     g = j.groupBy(key).agg(F.sort_array(F.collect_list(kept)).alias("_k"))

@@ -108,11 +108,11 @@ def s1b_strict_lookup(spark, sf_dir):
 @register("s9_w4_latest_run_per_kind", """SELECT event_type AS kind, max(strftime(ts, '%Y%m%d_%H%M%S')) AS latest_run_id
 FROM events GROUP BY event_type""")
 def s9_w4_latest_run_per_kind(spark, sf_dir):
-    """Newest run id per artefact kind, from the run-id string (never
-    a file time); a max aggregation instead of a full window per kind."""
+    """Newest run id per artefact kind, from the run's time (never
+    a file time); one row a kind is formatted, after the max."""
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(F.col("event_type").alias("kind")).agg(
-        F.max(F.date_format("ts", "yyyyMMdd_HHmmss")).alias("latest_run_id"))
+        F.max("ts").alias("last")).select("kind", F.date_format("last", "yyyyMMdd_HHmmss").alias("latest_run_id"))
 
 
 _STATUS = (("view", "running"), ("click", "running"), ("signup", "running"), ("purchase", "completed"),

@@ -2,19 +2,19 @@
 
 Library code never creates a session; these helpers are for tests, the bench
 and local runs. ``checkpoint_dir`` reads the cluster's shared folder from the
-session and only sets a scratch one when none is configured (tests, local).
+session.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "verity") -> SparkSession:
-    spark = (
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "verity",
+                  checkpoint: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -29,27 +29,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ver
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("VERITY_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    When unset (tests, a laptop) a scratch folder is created and registered, so
-    ``DataFrame.checkpoint()`` works; on a cluster the configured shared folder
-    is always used as is.
-    """
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``),
+    registered for ``DataFrame.checkpoint()``. There is no fallback: a folder
+    of one machine would be lost with it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    path = tempfile.mkdtemp(prefix="verity-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not configured:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 # Settings we recommend for a large cluster run (100 TB class); the library
