@@ -26,12 +26,25 @@ def r2_usage_per_window(spark, sf_dir):
     return usage_per_window(X.request_log(spark, sf_dir))
 
 
-@register("u1_batch_inference")
+def picky_client_factory():
+    """A client without a network: it echoes, and refuses every batch that
+    holds a prompt whose length is a multiple of five."""
+    def client(prompts):
+        if any(len(p) % 5 == 0 for p in prompts):
+            raise ValueError("refused")
+        return list(prompts)
+    return client
+
+
+@register("u1_batch_inference", f"""WITH {O.RECORDED}
+SELECT conv_id, turn, CASE WHEN length(coalesce(prompt, '')) % 5 <> 0 THEN prompt END AS response,
+       CASE WHEN length(coalesce(prompt, '')) % 5 = 0 THEN 'refused' END AS error
+FROM recorded_responses""")
 def u1_batch_inference(spark, sf_dir):
     """Every recorded user prompt sent through ``mapInPandas`` to a client
-    made once per partition (echo client here; no network)."""
+    made once per partition; only the prompts that it refuses fail."""
     r = X.recorded_responses(spark, sf_dir).select("conv_id", "turn", "prompt")
-    g = INF.generate(r, "prompt", INF.echo_client_factory)
+    g = INF.generate(r, "prompt", picky_client_factory)
     return g.select("conv_id", "turn", "response", F.col("error"))
 
 
