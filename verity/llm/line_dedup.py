@@ -24,7 +24,7 @@ empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.llm.shared import WORD, written
@@ -38,15 +38,14 @@ MIN_TOKENS = 3
 
 def line_table(docs: DataFrame) -> DataFrame:
     """One row per line of ``MIN_TOKENS`` tokens or more: its text's mark, its
-    place, its leaf and the hashes of its tokens, variable fields as one."""
+    place, its leaf, the template of its own tokens, and short hashes of the
+    tokens, variable fields as one. Short hashes are only held against the few
+    constant tokens of one place of one leaf."""
     lines = docs.select("mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     tokens = lines.select("mark", "at", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("words")).where(F.size("words") >= MIN_TOKENS)
-    hashed = tokens.select("mark", "at", F.transform("words", lambda w: F.when(w.rlike("[0-9]"), F.lit(0).cast("long")).otherwise(F.xxhash64(w))).alias("tokens"))
-    return hashed.select("mark", "at", "tokens", F.xxhash64(F.size("tokens"), *[F.get("tokens", F.lit(i)) for i in range(DEPTH)]).alias("leaf"))
-
-
-def _own(tokens: Column) -> Column:
-    return F.xxhash64(F.lit("own"), tokens)
+    masked = tokens.select("mark", "at", F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "0").otherwise(w)).alias("words"))
+    return masked.select("mark", "at", F.transform("words", lambda w: F.hash(w)).alias("tokens"), F.xxhash64(F.lit("own"), "words").alias("own"),
+                         F.xxhash64(F.size("words"), *[F.get("words", F.lit(i)) for i in range(DEPTH)]).alias("leaf"))
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -60,10 +59,10 @@ def templates(lines: DataFrame) -> DataFrame:
     constants = places.groupBy("leaf").agg(F.collect_list(F.xxhash64("place", "token")).alias("constants"))
     known = busy.join(constants, "leaf", "left")
     opened = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", F.xxhash64(i, t)), t))
-    told = known.select("mark", "at", "tokens", "leaf", opened.alias("opened"))
+    told = known.select("mark", "at", "tokens", "own", "leaf", opened.alias("opened"))
     alike = F.size(F.array_compact("opened")) >= ALIKE * F.size("tokens")
-    return told.select("mark", "at", F.when(alike, F.xxhash64(F.lit("open"), "leaf", F.transform("opened", lambda t: F.coalesce(t, F.lit(-1).cast("long"))))).otherwise(
-        _own(F.col("tokens"))).alias("template"))
+    return told.select("mark", "at", F.when(alike, F.xxhash64(F.lit("open"), "leaf", F.transform("opened", lambda t: F.coalesce(t.cast("long"), F.lit(1 << 40))))).otherwise(
+        F.col("own")).alias("template"))
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
