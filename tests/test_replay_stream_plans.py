@@ -48,7 +48,7 @@ def test_poem_attempts_brute_force(spark):
 
 def test_running_count_matches_window(spark):
     log = X.request_log(spark, SMALL).select("event_id", "model")
-    two = A.running_count(log, "model", "event_id", bucket_rows=64).collect()
+    two = A.running_count(log, "model", "event_id", bucket_rows=16, buckets=4).collect()
     pdf = log.toPandas().sort_values("event_id")
     pdf["want"] = pdf.groupby("model").cumcount() + 1
     want = dict(zip(pdf.event_id, pdf.want))

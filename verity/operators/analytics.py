@@ -4,7 +4,7 @@ All aggregations group on low-cardinality keys (model, approach, task, level),
 so they are partial (map-side) aggregations: a key holding a third of the
 rows is combined inside each map task and ships one row per task. Windows run
 only on aggregated rows (a handful per key), never on the fact rows, except
-``running_count`` which is a two-level prefix sum for exactly that reason.
+``running_count`` which is a three-level prefix sum for exactly that reason.
 """
 
 from __future__ import annotations
@@ -93,20 +93,26 @@ def literal_grid(spark: SparkSession, names: Sequence[str], *axes: Sequence[str]
 
 
 def running_count(df: DataFrame, part: str, order: str, value: Column | None = None,
-                  bucket_rows: int = 1 << 20) -> DataFrame:
+                  bucket_rows: int = 1 << 20, buckets: int = 4096) -> DataFrame:
     """Running sum of ``value`` (default 1 per row) within ``part`` in
     ``order`` (an integral, unique order key), without putting a whole
     partition key into one task.
 
-    Two levels: totals per (part, order // bucket_rows) are aggregated
-    map-side; a window over those few bucket totals gives each bucket's
-    offset; the offsets are joined back and a window per (part, bucket) adds
-    the in-bucket prefix. A hot ``part`` spreads over its buckets."""
+    Three levels: totals per bucket (part, order // bucket_rows) are aggregated
+    map-side, and those per group of ``buckets`` buckets; a window over a part's
+    few group totals, one over the bucket totals in each group, and one per
+    bucket add up to the running sum. A hot ``part`` spreads over its groups
+    and buckets."""
     v = value if value is not None else F.lit(1)
     d = df.withColumn("_v", v.cast("bigint")).withColumn("_b", F.floor(F.col(order) / bucket_rows))
-    totals = d.groupBy(part, "_b").agg(F.sum("_v").alias("_t"))
-    wb = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wb), F.lit(0))).drop("_t")
+    totals = d.groupBy(part, "_b").agg(F.sum("_v").alias("_t")).withColumn("_g", F.floor(F.col("_b") / buckets))
+    before = (Window.unboundedPreceding, -1)
+    wg = Window.partitionBy(part).orderBy("_g").rowsBetween(*before)
+    groups = totals.groupBy(part, "_g").agg(F.sum("_t").alias("_gt")).select(
+        part, "_g", F.coalesce(F.sum("_gt").over(wg), F.lit(0)).alias("_goff"))
+    wb = Window.partitionBy(part, "_g").orderBy("_b").rowsBetween(*before)
+    offsets = totals.join(groups, [part, "_g"]).select(
+        part, "_b", (F.col("_goff") + F.coalesce(F.sum("_t").over(wb), F.lit(0))).alias("_off"))
     wi = Window.partitionBy(part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return d.join(offsets, [part, "_b"]).withColumn(
         "running", F.col("_off") + F.sum("_v").over(wi)).drop("_v", "_b", "_off")

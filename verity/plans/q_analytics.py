@@ -120,7 +120,7 @@ SELECT event_id, model, count(*) OVER (PARTITION BY model ORDER BY event_id
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS retries FROM request_log""")
 def w2_running_retry_count(spark, sf_dir):
     """A controller shared by every call of a task counts all earlier
-    outputs: running count - 1 per task in call order (two-level prefix sum,
+    outputs: running count - 1 per task in call order (three-level prefix sum,
     so one busy task type never sits whole in one task)."""
     log = X.request_log(spark, sf_dir).select("event_id", "model")
     r = A.running_count(log, "model", "event_id", bucket_rows=1024)
@@ -325,15 +325,14 @@ def a13_domain_counts(spark, sf_dir):
 
 
 @register("a14_corpus_metadata", f"""{_C}
-SELECT list_sort(list_distinct(list(original_complexity))) AS complexity_types,
-       list_sort(list_distinct(list(task_type))) AS task_types,
-       list_sort(list_distinct(list(domain))) AS domains FROM corpus""")
+SELECT DISTINCT 'complexity_types' AS kind, original_complexity AS label FROM corpus UNION ALL
+SELECT DISTINCT 'task_types', task_type FROM corpus UNION ALL SELECT DISTINCT 'domains', domain FROM corpus""")
 def a14_corpus_metadata(spark, sf_dir):
-    """Sorted distinct labels; ``collect_set`` is partial, so each task
-    ships only its distinct values (bounded by the label vocabulary)."""
-    c = X.corpus(spark, sf_dir)
-    return c.agg(*[F.sort_array(F.collect_set(k)).alias(n) for k, n in
-                   (("original_complexity", "complexity_types"), ("task_type", "task_types"), ("domain", "domains"))])
+    """Distinct labels as (kind, label) rows, so that no row holds a whole
+    vocabulary; one scan, combined map-side."""
+    kinds = (("complexity_types", "original_complexity"), ("task_types", "task_type"), ("domains", "domain"))
+    labels = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("label")) for k, c in kinds])
+    return X.corpus(spark, sf_dir).select(F.explode(labels).alias("x")).select("x.*").distinct()
 
 
 @register("a15_corpus_stats", f"""{_C}

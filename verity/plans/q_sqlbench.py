@@ -289,15 +289,12 @@ def p12_p15_sql_prompts(spark, sf_dir):
     c = X.corpus(spark, sf_dir)
     block = PR.few_shot_block(AN.few_shot_examples(c))
     j = c.withColumn("op", S.infer_operation("query")).crossJoin(F.broadcast(block))
-    outs = []
-    for a in X.APPROACHES:
-        p = PR.sql_prompt(a, F.col("table_info"), F.col("question"), F.col("op"), F.col("examples"))
-        outs.append(j.select("sample_id", F.lit(a).alias("approach"), F.sha2(p, 256).alias("prompt_sha"),
-                             S.word_count(p).alias("prompt_words")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    prompts = F.array(*[F.struct(
+        F.lit(a).alias("approach"),
+        PR.sql_prompt(a, F.col("table_info"), F.col("question"), F.col("op"), F.col("examples")).alias("prompt"))
+        for a in X.APPROACHES])
+    return j.select("sample_id", F.explode(prompts).alias("p")).select(
+        "sample_id", "p.approach", F.sha2("p.prompt", 256).alias("prompt_sha"), S.word_count(F.col("p.prompt")).alias("prompt_words"))
 
 
 def _task_prompt_sql(table, approach):
@@ -305,23 +302,23 @@ def _task_prompt_sql(table, approach):
     lang = "CASE WHEN lower(coalesce(target_language, 'german')) IN ('german', 'spanish') " \
            "THEN lower(coalesce(target_language, 'german')) ELSE 'german' END"
     key = f"CASE WHEN task_type = 'translation' THEN 'translation:' || {lang} ELSE task_type END"
-    return (f"SELECT request_id, '{approach}' AS approach, sha256((CASE {key} {arms} END) || coalesce(text, '')) "
+    return (f"SELECT request_id, '{approach}' AS approach, sha256((CASE {key} {arms} END) || '{' ' if approach == 'few_shot' else ''}' || coalesce(text, '')) "
             f"AS prompt_sha FROM requests")
 
 
 @register(
     "p16_task_prompts",
     f"WITH {O.REQUESTS}\n{_task_prompt_sql(PR.TASK_RAW, 'raw')} UNION ALL "
-    f"{_task_prompt_sql(PR.TASK_FINE_TUNED, 'fine_tuned')}",
+    f"{_task_prompt_sql(PR.TASK_FEW_SHOT, 'few_shot')} UNION ALL {_task_prompt_sql(PR.TASK_FINE_TUNED, 'fine_tuned')}",
 )
 def p16_task_prompts(spark, sf_dir):
-    """P12/P14/P16 general-benchmark prompts per request (null for tasks
-    without a prompt, e.g. poem)."""
-    r = X.requests(spark, sf_dir)
-    outs = [r.select("request_id", F.lit(a).alias("approach"),
-                     F.sha2(PR.task_prompt(a, F.col("task_type"), F.col("text"), F.col("target_language")), 256)
-                     .alias("prompt_sha")) for a in ("raw", "fine_tuned")]
-    return outs[0].unionByName(outs[1])
+    """P12-P14/P16 general-benchmark prompts per request and approach, in one
+    scan (null for tasks without a prompt, e.g. poem)."""
+    prompts = F.array(*[F.struct(
+        F.lit(a).alias("approach"),
+        F.sha2(PR.task_prompt(a, F.col("task_type"), F.col("text"), F.col("target_language")), 256).alias("prompt_sha"))
+        for a in PR.TASK_PROMPTS])
+    return X.requests(spark, sf_dir).select("request_id", F.explode(prompts).alias("p")).select("request_id", "p.*")
 
 
 @register(
