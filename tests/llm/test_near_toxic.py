@@ -58,6 +58,25 @@ def test_large_group_of_near_copies(spark):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == classes(rows)
 
 
+def test_links_between_texts_unlike_the_leader(spark):
+    """One hot bucket: copies of a text, some of which resemble only each other."""
+    import random
+    r, base, rows = random.Random(3), words(6, 240), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(i % 7):
+            w[r.randrange(240)] = f"edit{i}x{r.randrange(900)}"
+        if i % 3 == 1:
+            w = w[: 240 - i % 60]
+        if i % 10 in (2, 3):
+            at = 12 * (i // 10)
+            w[at: at + 14] = [f"own{i // 10}x{k}" for k in range(14)]
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, ["doc_id", "text"])).collect()
+    assert Counter((g.doc_id, g.class_id, g.class_size) for g in got) == classes(rows)
+    assert len({g.class_id for g in got}) > 3
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, ["a", "b"])).collect()}

@@ -18,12 +18,17 @@ Links are found in every bucket of a band without listing all its pairs:
 - in larger ones every node is compared to the bucket's leader, the node that
   shares buckets with most others (the text that copies were made from, if it is
   there), and what is linked is merged;
-- larger buckets that still hold several components go through up to ``MEETINGS``
-  further rounds, in which every node meets a leader drawn anew in each of them.
-
-So a round is linear in the rows of such buckets, where all their pairs would be
-quadratic. A link can be missed only between nodes that share no small bucket,
-and only if none of the leaders that they meet ties their components together.
+- larger buckets that still hold several components are joined by how their texts
+  differ from the leader. Let L be the leader's size, e what a text adds to it,
+  r what it lacks and W = 4e + 5r: it is like the leader if W <= L, and texts x
+  and y are alike if 9g >= Wx + Wy - L, where g is what their differences share.
+  A pair to be found has a text unlike the leader, so g is at least (W + 1) / 9
+  for either text's partner and (W - L) / 5 for that text: the rarest elements of
+  the differences (all but g - 1) must meet, and at places that leave room for g.
+
+The latter join loses no pair of a bucket, and its work follows what differences
+share instead of the square of the bucket: copies with edits of their own, which
+share few, meet in none.
 
 A comparison is the exact weighted Jaccard similarity of the shingles. Classes
 are the connected components of links of 0.8 or more.
@@ -53,7 +58,6 @@ from verity.llm.words import shingles, strips, word_hashes
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SMALL = 8
-MEETINGS = 2
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _CELL, _DART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -132,26 +136,49 @@ def node_of(text: str) -> Column:
     return F.unhex(F.md5(F.trim(F.regexp_replace(text_or_empty(text), SPACE, " "))))
 
 
-def _pairs(rows: DataFrame, buckets: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) to compare: all of a small bucket's, and for larger ones each
-    node with the leader, where their components differ. ``rows``: key, node,
-    root; ``buckets``: key, n, leader."""
-    at = rows.join(buckets, "key")
-    star = at.where((F.col("n") > SMALL) & (F.col("root") != F.col("leader.root"))).select(
-        "key", "node", F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-    if salt:
-        return star.select("a", "b").distinct()
-    star = star.select("a", "b")
-    small = at.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # SMALL nodes at most
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in few_rows(batches):
+        found = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            added, lacked = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+            found.append((len(q), 4 * len(added) + 5 * len(lacked), np.concatenate([added, lacked]).view(np.int64)))
+        sizes, far, unlike = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), batch.column("root"), pa.array(sizes, pa.int64()),
+                                          pa.array(far, pa.int64()), pa.array(unlike, pa.list_(pa.int64()))], names=["leader", "node", "root", "size", "far", "unlike"])
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare: all of a small bucket's, and each node of a larger
+    one with its leader. ``shared``: key, node, n, leader."""
+    star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # SMALL nodes at most
     each = small.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, SMALL)).alias("b"))
     return star.unionByName(each).distinct()
 
 
-def _buckets(rows: DataFrame, salt: int) -> DataFrame:
-    """Buckets of more than one component: their number of nodes and a leader."""
-    order = F.xxhash64("node", F.lit(salt)) if salt else -F.col("met")
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
-                                   F.min(F.struct(order.alias("o"), "node", "root")).alias("leader")).where("least <> most").select("key", "n", "leader")
+def _pairs_by_difference(frames: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be alike, at least one of
+    them unlike the leader. ``frames``: leader, node, root."""
+    both = frames.join(sets.select("node", F.col("strips").alias("x")), "node").join(sets.select(F.col("node").alias("leader"), F.col("strips").alias("y")), "leader")
+    told = written(both.select("leader", "node", "root", "x", "y").mapInArrow(
+        _differences, "leader binary, node binary, root binary, size long, far long, unlike array<long>"), "differences")
+    parts = told.select("leader", "node", F.explode("unlike").alias("part"))
+    often = parts.groupBy("leader", "part").agg(F.count("*").alias("n")).where("n > 1")
+    parts = parts.join(often, ["leader", "part"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    told = written(told.drop("unlike").join(parts, ["leader", "node"]), "rarest")
+
+    def rarest(rows: DataFrame, least: Column, side: str) -> DataFrame:
+        held = F.size("parts")
+        first = rows.where(held >= least).select("leader", F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("far").alias(f"{side}_far"), "size",
+                                                 held.alias("held"), F.posexplode(F.slice("parts", 1, F.greatest(F.lit(1), held - least + 1))).alias("place", "one"))
+        return first.withColumn(f"{side}_left", F.col("held") - F.col("place")).withColumn("part", F.col("one.part")).drop("held", "place", "one")
+
+    whole = lambda over, by: F.ceil(over / F.lit(by)).cast("int")
+    apart = rarest(told.where("far > size"), whole(F.col("far") - F.col("size"), 5), "a")
+    any_text = rarest(told, whole(F.col("far") + 1, 9), "b").drop("size")
+    met = apart.join(any_text, ["leader", "part"]).where("a_root <> b_root and 9 * least(a_left, b_left) >= a_far + b_far - size")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -161,11 +188,11 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     busy = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("in_it")).where("in_it > 1"), "key"), "busy")
     met = busy.groupBy("node").agg(F.sum("in_it").alias("met"))
-    rows = busy.select("key", "node", F.col("node").alias("root")).join(met, "node")
-    shared = written(rows.join(_buckets(rows, 0), "key"), "buckets")
-    rows = shared.select("key", "node", "root")
+    rows = busy.select("key", "node").join(met, "node")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("met")).alias("o"), "node")).alias("leader"))
+    shared = written(rows.select("key", "node").join(buckets.select("key", "n", F.col("leader.node").alias("leader")), "key"), "buckets")
     # Only texts that share a bucket are read again, one for each node.
-    wanted = rows.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select("doc_id", "node", "text").join(wanted.withColumnRenamed("doc_id", "its"), "node").where(F.col("doc_id").eqNullSafe(F.col("its")))
     sets = written(texts.select("node", "text").mapInArrow(_shingled, "node binary, strips binary").groupBy("node").agg(F.first("strips").alias("strips")), "strips")
 
@@ -175,20 +202,12 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         found = both.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, similarity double")
         return written(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "similar")
 
-    links = compared(_pairs(rows, shared.select("key", "n", "leader").distinct(), 0))
-    large = shared.where(F.col("n") > SMALL).select("key", "node")
-    for salt in range(1, MEETINGS + 1):
-        rooted = _rooted(large, links)
-        found = compared(_pairs(rooted, _buckets(rooted, salt), salt))
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-    return links
-
-
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` (key, node) of the buckets with the component of each node."""
-    return written(rows.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    links = compared(_pairs(shared))
+    rooted = shared.where(F.col("n") > SMALL).join(components(links), "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    frames = written(rooted.join(several, "key").where("node <> leader").select("leader", "node", "root").distinct(), "frames")
+    return links.unionByName(compared(_pairs_by_difference(frames, sets)))
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
