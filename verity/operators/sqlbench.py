@@ -131,10 +131,9 @@ def score_distinct_pairs(
     """``score_pairs`` computed once per distinct (generated, reference) pair
     and joined back to every row.
 
-    Scoring costs about 0.1 ms of regex work per pair per core, shuffling a
-    pair a few microseconds, and benchmark answers repeat (equal answers to
-    the same question across models and approaches, shared reference
-    queries). ``distinct`` is aggregated map-side, so each task ships only
+    An option for callers who know that pairs repeat (equal answers to the same
+    question across models and approaches): it shuffles the texts twice, which
+    costs more than it saves where pairs are unique. ``distinct`` is aggregated map-side, so each task ships only
     its own distinct pairs; the join back is sized by AQE (broadcast when the
     distinct set is small, else a shuffle join). The join is null-safe.
     Results are identical to ``score_pairs`` (a pure function of the pair)."""
@@ -204,13 +203,17 @@ def run_sql_benchmark(
     num_samples: int | None = None,
     levels: Sequence[str] = COMPLEXITY_LEVELS,
     similarity: str = "bleu",
+    repeated_pairs: bool = False,
 ) -> DataFrame:
     """W1 -> J3 -> P6 -> H9 -> A1 over recorded responses.
 
     ``responses`` has (model, approach, sample_id, response, time_s,
     tokens_total, error). Missing responses behave like failed calls: they
-    never reach the means, and their cells fall back to the grid's zeros."""
+    never reach the means, and their cells fall back to the grid's zeros.
+    ``repeated_pairs``: score each distinct pair once, for responses known to
+    repeat (see ``score_distinct_pairs``)."""
     samples = first_n_per_level(corpus, num_samples, levels)
     pairs = responses_with_reference(samples, responses.filter(F.col("model").isin(list(models))))
-    scored = score_distinct_pairs(pairs.filter(F.col("error").isNull()), "response", "reference", similarity)
+    score = score_distinct_pairs if repeated_pairs else score_pairs
+    scored = score(pairs.filter(F.col("error").isNull()), "response", "reference", similarity)
     return summarize(scored, key_grid(spark, models, levels))
