@@ -116,3 +116,10 @@ def test_token_counter_falls_back_without_vocabulary(spark):
     df = spark.createDataFrame([("select a from t",)], "q string")
     n = df.select(token_counter("q", prefer_bpe=True)).first()[0]
     assert n == 4 if not bpe_available() else n > 0
+
+
+def test_distinct_pair_scoring_equals_plain(spark):
+    df = spark.createDataFrame([*PAIRS, *PAIRS[:3], (None, PAIRS[0][1])], "generated string, reference string")
+    columns = ["generated", "reference", *B.SCORE_OUTPUT]
+    rows = lambda scored: sorted(map(repr, scored.select(columns).collect()))
+    assert rows(B.score_distinct_pairs(df)) == rows(B.score_pairs(df))
