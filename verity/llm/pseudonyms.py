@@ -1,10 +1,13 @@
 """Format-preserving pseudonyms for personal numbers, addresses and dates.
 
 Each value that validates is put through a keyed Feistel permutation of its own
-format's values: card numbers (13 to 19 digits with a valid check digit) give card
-numbers with a valid check digit, telephone numbers, IPv4 addresses and calendar
-dates give others of their kind, written alike; the local part of e-mail addresses
-and quoted hexadecimal secrets are permuted letter for letter, digit for digit. A
+format's values: card numbers (13 to 19 digits with a valid check digit) and IBANs
+give others with valid check digits; telephone numbers, social security numbers,
+IPv4 addresses and calendar dates (also before a time) give others of their kind,
+written alike; the local part of e-mail addresses and quoted hexadecimal secrets
+are permuted letter for letter, digit for digit. Digits that stand next to a number
+(an expiry date, a security code) do not hide it: numbers may end, and the search
+goes on, at each group of digits. A
 permutation has no collisions, and the same key gives equal values the same
 pseudonym in every document, so links between documents remain. Where a value
 would map to itself the permutation is applied once more.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,13 +37,28 @@ from verity.llm.shared import few_rows
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-_FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<secret>(?<=[\"'])[0-9a-f]{32,}(?=[\"'])|(?<=[\"'])[0-9A-F]{32,}(?=[\"']))"
-    r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))")
+# Tried in this order where several start at one place.
+_KINDS = {kind: re.compile(pattern) for kind, pattern in (
+    ("email", r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}"),
+    ("secret", r"(?<=[\"'])[0-9a-f]{32,}(?=[\"'])|(?<=[\"'])[0-9A-F]{32,}(?=[\"'])"),
+    ("iban", r"(?<![^\W_])[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}"),
+    ("phone", r"(?<![\w.])(?:\+|00(?=[1-9]\d{0,2}[ .(-]))\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+              r"|(?<![\w.+-])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-]|\.\d)"),
+    ("date", r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{2}\.\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
+             r"(?:(?=[Tt_]\d{2})|(?![\w/-]|\.\d))"),
+    ("ssn", r"(?<![\w.+-])\d{3}(?:-\d{2}-| \d{2} )\d{4}(?![\w-]|\.\d)"),
+    ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
+    ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"))}
+_ORDER = list(_KINDS)
+_FIND = re.compile("|".join(f"(?P<{kind}>{found.pattern})" for kind, found in _KINDS.items()))
+# FIXED VALUES: lengths of card numbers by their first digits, and of IBANs by country.
+_CARDS = tuple((re.compile(p), n) for p, n in (
+    ("4", (16, 19, 13)), ("3[47]", (15,)), ("3(?:0[0-5]|[689])", (14, 16, 19)), ("35", (16, 19)), ("5[1-5]", (16,)),
+    ("2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)", (16,)), ("6", (16, 19, 18, 17)), ("5[06-8]", (16, 19, 18, 17, 15, 14, 13))))
+_IBANS = {c: n for n, some in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in some.split()}
 _MAYBE = re.compile(r"[0-9@]")
 
 
@@ -89,6 +108,28 @@ def check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def iban_check(country: str, body: str) -> str:
+    """The check digits of an IBAN of this country and account."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
+def _card_at(text: str, start: int, issued: bool = False) -> tuple[int, bool] | None:
+    """Characters of the card number that starts here and ends with a group of
+    digits, and whether an issuer's numbers look so; those come first."""
+    run = _KINDS["card"].match(text, start)
+    if run is None:
+        return None
+    ends, digits = {}, ""
+    for g in re.finditer(r"\d+", run.group()):
+        digits += g.group()
+        ends[len(digits)] = g.end()
+    first = next((n for p, n in _CARDS if p.match(digits)), ())
+    for n in first if issued else (*first, *(n for n in range(19, 12, -1) if n not in first)):
+        if n in ends and check_digit(digits[: n - 1]) == str(int(digits[n - 1])) and len(set(digits[:n])) > 1:
+            return ends[n], n in first
+    return None
+
+
 class Pseudonyms:
     def __init__(self, key: bytes) -> None:
         self.key = key
@@ -117,46 +158,103 @@ class Pseudonyms:
             out.append(alphabet[digit])
         return "".join(reversed(out))
 
-    def card(self, value: str) -> str | None:
-        digits = re.sub(r"\D", "", value)
-        if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    # Each kind: the pseudonym and how many characters of the match it stands for.
+    def card(self, m: re.Match) -> tuple[str, int] | None:
+        found = _card_at(m.string, m.start())
+        if found is None:
             return None
+        n, issued = found
+        value = m.string[m.start(): m.start() + n]
+        # Digits in front must not take a number's own.
+        if not issued and any(_card_at(m.string, m.start() + g.start(), True) for g in re.finditer(r"(?<=[ -])\d", value)):
+            return None
+        digits = re.sub(r"\D", "", value)
         body = f"{self.permuted(int(digits[:-1]), 10 ** (len(digits) - 1), 'card'):0{len(digits) - 1}d}"
         new = iter(body + check_digit(body))
-        return re.sub(r"\d", lambda _: next(new), value)
+        return re.sub(r"\d", lambda _: next(new), value), n
+
+    def iban(self, m: re.Match) -> tuple[str, int] | None:
+        value = m.group()
+        country = value[:2].upper()
+        places = [i for i, c in enumerate(value) if c not in " -"]
+        n = _IBANS.get(country, len(places) + 1)
+        if n > len(places):
+            return None
+        end = places[n - 1] + 1
+        code = "".join(value[i] for i in places[:n]).upper()
+        if m.string[m.start() + end: m.start() + end + 1].isalnum() or code[2:4] != iban_check(country, code[4:]):
+            return None
+        body = self._mixed(code[4:], "iban " + country)
+        new = iter(country + iban_check(country, body) + body)
+        return re.sub("[A-Za-z0-9]", lambda c: next(new).lower() if c.group().islower() else next(new), value[:end]), end
+
+    def _mixed(self, value: str, label: str) -> str:
+        """Capitals and digits permuted together, each kind in its places."""
+        kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else "0123456789" for c in value]
+        x = 0
+        for c, kind in zip(value, kinds):
+            x = x * len(kind) + kind.index(c)
+        y, out = self.permuted(x, math.prod(map(len, kinds)), f"{label} {''.join('A' if c.isalpha() else '0' for c in value)}"), []
+        for kind in reversed(kinds):
+            y, digit = divmod(y, len(kind))
+            out.append(kind[digit])
+        return "".join(reversed(out))
 
-    def phone(self, value: str) -> str | None:
-        country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value).group()
-        rest = value[len(country):]
-        return country + self._digits(rest, "phone") if 7 <= len(re.sub(r"\D", "", value)) <= 15 else None
+    def phone(self, m: re.Match) -> tuple[str, int] | None:
+        value = m.group()
+        if not value.startswith(("+", "00")):
+            return self._digits(value, "phone"), len(value)
+        country = re.match(r"(?:\+|00)\d{1,3}(?=[ .(-])|(?:\+|00)\d", value).group()
+        mark = 1 if value[0] == "+" else 2
+        sizes = {g.end(): len(re.sub(r"\D", "", value[mark: g.end()].replace("(0)", ""))) for g in re.finditer(r"\d+", value)}
+        # North American numbers have eleven digits; of others the longest that can be one.
+        fit = [e for e, n in sizes.items() if n == 11 and country in ("+1", "001")] or [e for e, n in sizes.items() if 7 <= n <= 15]
+        if not fit:
+            return None
+        rest = value[len(country): fit[-1]]
+        trunk = re.match(r"(?:[ .-]?\(0\))?", rest).group()
+        return country + trunk + self._digits(rest[len(trunk):], "phone"), fit[-1]
+
+    def ssn(self, m: re.Match) -> tuple[str, int] | None:
+        value = m.group()
+        area, group, serial = map(int, re.split("[ -]", value))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        x = self.permuted(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, "ssn")
+        x, serial = divmod(x, 9999)
+        area, group = divmod(x, 99)
+        return f"{area + 1 + (area >= 665):03d}{value[3]}{group + 1:02d}{value[3]}{serial + 1:04d}", len(value)
 
-    def ip(self, value: str) -> str | None:
-        parts = value.split(".")
+    def ip(self, m: re.Match) -> tuple[str, int] | None:
+        parts = m.group().split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
             return None
         x = self.permuted(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip")
-        return ".".join(map(str, x.to_bytes(4, "big")))
+        return ".".join(map(str, x.to_bytes(4, "big"))), len(m.group())
 
-    def date(self, value: str) -> str | None:
+    def date(self, m: re.Match) -> tuple[str, int] | None:
+        value = m.group()
         mark = re.search(r"[-/.]", value).group()
         one, two, three = map(int, value.split(mark))
         # Year first; else day, month, year, or month, day, year where only that is a date.
-        for order in ((one, two, three),) if mark == "-" else ((three, two, one), (three, one, two)):
+        year_first = value[:4].isdigit()
+        for order in ((one, two, three),) if year_first else ((three, two, one), (three, one, two)):
             try:
                 day = datetime.date(*order).toordinal()
             except ValueError:
                 continue
             if FIRST_DAY <= day <= LAST_DAY:
                 d = datetime.date.fromordinal(FIRST_DAY + self.permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date" + mark))
-                if mark == "-":
-                    return d.isoformat()
+                if year_first:
+                    wide = 2 if value[5] == "0" or len(value) == 10 else 1
+                    return f"{d.year}{mark}{d.month:0{wide}d}{mark}{d.day:0{wide}d}", len(value)
                 first, second = (d.day, d.month) if order == (three, two, one) else (d.month, d.day)
                 wide = 2 if value[0] == "0" or len(value) == 10 else 1
-                return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{d.year}"
+                return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{d.year}", len(value)
         return None
 
-    def email(self, value: str) -> str:
-        local, domain = value.rsplit("@", 1)
+    def email(self, m: re.Match) -> tuple[str, int]:
+        local, domain = m.group().rsplit("@", 1)
         low, big = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         out = local
         for pattern, alphabet in (("[a-z]", low), ("[A-Z]", big), ("[0-9]", "0123456789")):
@@ -164,24 +262,32 @@ class Pseudonyms:
             if held:
                 new = iter(self._letters(held, alphabet, f"email {pattern} {domain.lower()} {re.sub(pattern, '_', local)}"))
                 out = re.sub(pattern, lambda _: next(new), out)  # noqa: B023
-        return f"{out}@{domain}"
+        return f"{out}@{domain}", len(m.group())
 
-    def secret(self, value: str) -> str:
-        return self._letters(value, "0123456789ABCDEF" if re.search("[A-F]", value) else "0123456789abcdef", "secret")
+    def secret(self, m: re.Match) -> tuple[str, int]:
+        value = m.group()
+        return self._letters(value, "0123456789ABCDEF" if re.search("[A-F]", value) else "0123456789abcdef", "secret"), len(value)
 
     def replaced(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in it."""
         if not _MAYBE.search(text):
             return text, []
-        out, spans, at, size = [], [], 0, 0
-        for m in _FIND.finditer(text):
-            new = getattr(self, m.lastgroup)(m.group())
-            if new is None:
+        out, spans, at, size, start = [], [], 0, 0, 0
+        while m := _FIND.search(text, start):
+            for kind in _ORDER[_ORDER.index(m.lastgroup):]:
+                hit = m if kind == m.lastgroup else _KINDS[kind].match(text, m.start())
+                done = hit and getattr(self, kind)(hit)
+                if done:
+                    break
+            else:
+                start = m.start() + 1
                 continue
+            new, used = done
             out += (text[at: m.start()], new)
             size += m.start() - at
-            spans.append((m.lastgroup, size, size + len(new)))
-            size, at = size + len(new), m.end()
+            spans.append((kind, size, size + len(new)))
+            size += len(new)
+            at = start = m.start() + used
         return "".join([*out, text[at:]]), spans
 
 
