@@ -61,3 +61,33 @@ def test_telephone_numbers_without_plus():
     new, found = kinds("+1 743 555 3824 4111 1111 1111 1111")
     assert [k for k, _ in found] == ["phone", "card"]
     assert [k for k, _ in kinds("+4111111111111111")[1]] == ["card"]
+
+
+def test_no_value_stays_as_it_is():
+    for size in (2, 3, 10, 26, 97, 1000, 73049):
+        p = pseudonyms.Permutation(KEY, size, "t")
+        images = [p(x) for x in range(size)]
+        assert len(set(images)) == size and all(x != y for x, y in enumerate(images))
+        assert all(p.invert(y) == x for x, y in enumerate(images[:500]))
+    names = pseudonyms.Pseudonyms(KEY)
+    days = [(datetime.date(1900, 1, 1) + datetime.timedelta(d)).isoformat() for d in range(0, 73049)]
+    assert all(names.replaced(d)[0] != d for d in days)
+    letters = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert all(names.replaced(a)[0] != a for a in letters) and len({names.replaced(a)[0] for a in letters}) == 26
+
+
+def test_addresses_of_one_shape_stay_apart():
+    names = pseudonyms.Pseudonyms(KEY)
+    shapes = [f"{a}{B}{n}@x.org" for a in "abcdefghij" for B in "KLMNOPQRST" for n in range(10)]
+    assert len({names.replaced(s)[0] for s in shapes}) == len(shapes)
+
+
+def test_equal_telephone_numbers_are_linked():
+    for forms in (("+49 30 1234567", "+49301234567", "+49 (0)30 1234567", "0049 30 1234567", "+4930 1234567"), ("+1 743 555 3824", "+17435553824"),
+                  ("+358 40 123 4567", "+358401234567"), ("+44 20 7946 0958", "+442079460958")):
+        found = [kinds(f"call {f}.")[1] for f in forms]
+        assert [[k for k, _ in f] for f in found] == [["phone"]] * len(forms)
+        plain = {digits(f[0][1].replace("(0)", "")).removeprefix("00") for f in found}
+        assert len(plain) == 1 and digits(forms[0]) not in plain, forms
+        code = digits(forms[0].split()[0])
+        assert all(p.startswith(code) for p in plain)

@@ -9,8 +9,8 @@ are permuted letter for letter, digit for digit. Digits that stand next to a num
 (an expiry date, a security code) do not hide it: numbers may end, and the search
 goes on, at each group of digits. A
 permutation has no collisions, and the same key gives equal values the same
-pseudonym in every document, so links between documents remain. Where a value
-would map to itself the permutation is applied once more.
+pseudonym in every document, so links between documents remain. No value maps to
+itself: a permutation moves each number one place along a keyed cycle of them all.
 
 The key must be kept from readers of the result; with it the permutations can be
 undone (``Permutation.invert``).
@@ -59,12 +59,17 @@ _IBANS = {c: n for n, some in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in some.split()}
+_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+# FIXED VALUES: telephone country codes of one and two digits; all others have three.
+_COUNTRIES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _MAYBE = re.compile(r"[0-9@]")
 
 
 class Permutation:
-    """A keyed permutation of the numbers below ``size``: an unbalanced Feistel
-    network on two digits in mixed radix; numbers at or above ``size`` are walked on."""
+    """A keyed permutation without fixed points of the numbers below ``size`` (two or
+    more). An unbalanced Feistel network on two digits in mixed radix, where numbers
+    at or above ``size`` are walked on, gives each number its place on a cycle; the
+    image is the number at the next place."""
 
     def __init__(self, key: bytes, size: int, label: str) -> None:
         self.size = size
@@ -89,18 +94,24 @@ class Permutation:
             a = (a - self._round(i, b, self.left)) % self.left
         return a * self.right + b
 
-    def __call__(self, x: int) -> int:
+    def _place(self, x: int) -> int:
         y = self._once(x)
         while y >= self.size:
             y = self._once(y)
         return y
 
-    def invert(self, y: int) -> int:
+    def _at(self, y: int) -> int:
         x = self._back(y)
         while x >= self.size:
             x = self._back(x)
         return x
 
+    def __call__(self, x: int) -> int:
+        return self._at((self._place(x) + 1) % self.size)
+
+    def invert(self, y: int) -> int:
+        return self._at((self._place(y) - 1) % self.size)
+
 
 def check_digit(digits: str) -> str:
     """The digit that makes the number pass the Luhn test."""
@@ -139,8 +150,7 @@ class Pseudonyms:
         found = self.permutations.get((size, label))
         if found is None:
             found = self.permutations[size, label] = Permutation(self.key, size, label)
-        y = found(x)
-        return found(y) if y == x else y
+        return found(x)
 
     def _digits(self, value: str, label: str) -> str:
         """The value's digits permuted, all else in place."""
@@ -158,6 +168,18 @@ class Pseudonyms:
             out.append(alphabet[digit])
         return "".join(reversed(out))
 
+    def _mixed(self, value: str, label: str) -> str:
+        """Small letters, capitals and digits permuted together, each kind in its places."""
+        kinds = [next(k for k in _ALPHABETS if c in k) for c in value]
+        x = 0
+        for c, kind in zip(value, kinds):
+            x = x * len(kind) + kind.index(c)
+        y, out = self.permuted(x, math.prod(map(len, kinds)), f"{label} {''.join(kind[0] for kind in kinds)}"), []
+        for kind in reversed(kinds):
+            y, digit = divmod(y, len(kind))
+            out.append(kind[digit])
+        return "".join(reversed(out))
+
     # Each kind: the pseudonym and how many characters of the match it stands for.
     def card(self, m: re.Match) -> tuple[str, int] | None:
         found = _card_at(m.string, m.start())
@@ -188,32 +210,22 @@ class Pseudonyms:
         new = iter(country + iban_check(country, body) + body)
         return re.sub("[A-Za-z0-9]", lambda c: next(new).lower() if c.group().islower() else next(new), value[:end]), end
 
-    def _mixed(self, value: str, label: str) -> str:
-        """Capitals and digits permuted together, each kind in its places."""
-        kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else "0123456789" for c in value]
-        x = 0
-        for c, kind in zip(value, kinds):
-            x = x * len(kind) + kind.index(c)
-        y, out = self.permuted(x, math.prod(map(len, kinds)), f"{label} {''.join('A' if c.isalpha() else '0' for c in value)}"), []
-        for kind in reversed(kinds):
-            y, digit = divmod(y, len(kind))
-            out.append(kind[digit])
-        return "".join(reversed(out))
-
     def phone(self, m: re.Match) -> tuple[str, int] | None:
         value = m.group()
         if not value.startswith(("+", "00")):
             return self._digits(value, "phone"), len(value)
-        country = re.match(r"(?:\+|00)\d{1,3}(?=[ .(-])|(?:\+|00)\d", value).group()
         mark = 1 if value[0] == "+" else 2
+        code = _COUNTRIES.match(re.sub(r"\D", "", value[mark:])).group()
+        # The code's own digits, with what is written between them.
+        country = re.match(r"\D*\d" * len(code), value[mark:]).group()
         sizes = {g.end(): len(re.sub(r"\D", "", value[mark: g.end()].replace("(0)", ""))) for g in re.finditer(r"\d+", value)}
         # North American numbers have eleven digits; of others the longest that can be one.
-        fit = [e for e, n in sizes.items() if n == 11 and country in ("+1", "001")] or [e for e, n in sizes.items() if 7 <= n <= 15]
+        fit = [e for e, n in sizes.items() if n == 11 and code == "1"] or [e for e, n in sizes.items() if 7 <= n <= 15]
         if not fit:
             return None
-        rest = value[len(country): fit[-1]]
+        rest = value[mark + len(country): fit[-1]]
         trunk = re.match(r"(?:[ .-]?\(0\))?", rest).group()
-        return country + trunk + self._digits(rest[len(trunk):], "phone"), fit[-1]
+        return value[:mark] + country + trunk + self._digits(rest[len(trunk):], "phone"), fit[-1]
 
     def ssn(self, m: re.Match) -> tuple[str, int] | None:
         value = m.group()
@@ -253,16 +265,13 @@ class Pseudonyms:
                 return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{d.year}", len(value)
         return None
 
-    def email(self, m: re.Match) -> tuple[str, int]:
+    def email(self, m: re.Match) -> tuple[str, int] | None:
         local, domain = m.group().rsplit("@", 1)
-        low, big = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        out = local
-        for pattern, alphabet in (("[a-z]", low), ("[A-Z]", big), ("[0-9]", "0123456789")):
-            held = "".join(re.findall(pattern, local))
-            if held:
-                new = iter(self._letters(held, alphabet, f"email {pattern} {domain.lower()} {re.sub(pattern, '_', local)}"))
-                out = re.sub(pattern, lambda _: next(new), out)  # noqa: B023
-        return f"{out}@{domain}", len(m.group())
+        held = "".join(re.findall("[A-Za-z0-9]", local))
+        if not held:
+            return None
+        new = iter(self._mixed(held, f"email {domain.lower()} {re.sub('[A-Za-z0-9]', '_', local)}"))
+        return f"{re.sub('[A-Za-z0-9]', lambda _: next(new), local)}@{domain}", len(m.group())
 
     def secret(self, m: re.Match) -> tuple[str, int]:
         value = m.group()
