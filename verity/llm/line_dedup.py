@@ -7,10 +7,11 @@ mark. In each leaf that several texts reach, a token is constant where at least
 in at least ``ALIKE`` of its places belongs to the template with the other
 places left open, any other line to the template of its own tokens.
 
-A template found in at least ``MIN_TEXTS`` different texts is boilerplate: its
-lines are dropped from every document. Texts that are equal as a whole count
-once, so copies of a document don't make its lines boilerplate; lines of under
-``MIN_TOKENS`` tokens are left alone.
+The template of a line's own tokens (a repeated line or passage) is boilerplate
+where at least ``MIN_REPEATS`` different texts have it, one with open places from
+``MIN_TEXTS`` on: its lines are dropped from every document. Texts that are equal
+but for white space count once, so copies of a document don't make its lines
+boilerplate; lines of under ``MIN_TOKENS`` tokens are left alone.
 
 Only built-in expressions run. Statistics are aggregated before they are
 shuffled; places are counted for leaves that several texts reach and never
@@ -27,31 +28,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.shared import WORD, written
+from verity.llm.shared import SPACE, WORD, written
 
 DEPTH = 3
 CONSTANT = 0.3
 ALIKE = 0.7
+MIN_REPEATS = 2
 MIN_TEXTS = 3
 MIN_TOKENS = 3
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line of ``MIN_TOKENS`` tokens or more: its text's mark, its
-    place, its leaf, the template of its own tokens, and short hashes of the
+    """One row per line of ``MIN_TOKENS`` tokens or more: its text's mark, the
+    hash of its text without white space (``body``), its place, its leaf, the template of its own tokens, and short hashes of the
     tokens, variable fields as one. Short hashes are only held against the few
     constant tokens of one place of one leaf."""
-    lines = docs.select("mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    tokens = lines.select("mark", "at", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("words")).where(F.size("words") >= MIN_TOKENS)
-    masked = tokens.select("mark", "at", F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "0").otherwise(w)).alias("words"))
-    return masked.select("mark", "at", F.transform("words", lambda w: F.hash(w)).alias("tokens"), F.xxhash64(F.lit("own"), "words").alias("own"),
+    # The hash is made below the explosion, once a text.
+    bodies = docs.select("mark", "text", F.xxhash64(F.regexp_replace("text", SPACE, "")).alias("body"))
+    lines = bodies.select("mark", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    tokens = lines.select("mark", "body", "at", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("words")).where(F.size("words") >= MIN_TOKENS)
+    masked = tokens.select("mark", "body", "at", F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "0").otherwise(w)).alias("words"))
+    return masked.select("mark", "body", "at", F.transform("words", lambda w: F.hash(w)).alias("tokens"), F.xxhash64(F.lit("own"), "words").alias("own"),
                          F.xxhash64(F.size("words"), *[F.get("words", F.lit(i)) for i in range(DEPTH)]).alias("leaf"))
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """``mark``, ``at`` and ``template`` of each line whose leaf several texts reach."""
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("mark").alias("one"), F.max("mark").alias("other")).where(
-        (F.col("n") >= MIN_TEXTS) & (F.col("one") != F.col("other"))).select("leaf", "n")
+    """``mark``, ``body``, ``at``, ``own`` and ``template`` of each line whose leaf
+    several texts reach."""
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("body").alias("one"), F.max("body").alias("other")).where(
+        F.col("one") != F.col("other")).select("leaf", "n")
     busy = written(lines.join(leaves, "leaf"), "busy-lines")
     # Counted by token, so a leaf that holds a third of all lines adds one row a task and token.
     places = busy.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(
@@ -59,9 +64,9 @@ def templates(lines: DataFrame) -> DataFrame:
     constants = places.groupBy("leaf").agg(F.collect_list(F.xxhash64("place", "token")).alias("constants"))
     known = busy.join(constants, "leaf", "left")
     opened = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", F.xxhash64(i, t)), t))
-    told = known.select("mark", "at", "tokens", "own", "leaf", opened.alias("opened"))
+    told = known.select("mark", "body", "at", "tokens", "own", "leaf", opened.alias("opened"))
     alike = F.size(F.array_compact("opened")) >= ALIKE * F.size("tokens")
-    return told.select("mark", "at", F.when(alike, F.xxhash64(F.lit("open"), "leaf", F.transform("opened", lambda t: F.coalesce(t.cast("long"), F.lit(1 << 40))))).otherwise(
+    return told.select("mark", "body", "at", "own", F.when(alike, F.xxhash64(F.lit("open"), "leaf", F.transform("opened", lambda t: F.coalesce(t.cast("long"), F.lit(1 << 40))))).otherwise(
         F.col("own")).alias("template"))
 
 
@@ -73,7 +78,9 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     # Equal texts are split into lines once.
     distinct = rows.where("text is not null").groupBy("mark").agg(F.first("text").alias("text"))
     made = written(templates(line_table(distinct)), "templates")
-    recurring = made.groupBy("template").agg(F.count_distinct("mark").alias("texts")).where(F.col("texts") >= MIN_TEXTS).select("template")
+    made = made.select("mark", "body", "at", F.explode(F.array_distinct(F.array("own", "template"))).alias("template"), "own")
+    recurring = made.groupBy("template").agg(F.count_distinct("body").alias("texts"), F.bool_or(F.col("template") == F.col("own")).alias("repeated")).where(
+        F.col("texts") >= F.when(F.col("repeated"), MIN_REPEATS).otherwise(MIN_TEXTS)).select("template")
     dropped = made.join(recurring, "template").groupBy("mark").agg(F.collect_set("at").alias("dropped"))
     found = rows.join(dropped, "mark", "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     left = F.filter("lines", lambda x, i: ~F.array_contains("dropped", i))
