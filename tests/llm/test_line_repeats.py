@@ -22,3 +22,32 @@ def test_copies_but_for_white_space_stay(spark):
     lines = [" ".join(words(710 + i, 20)) for i in range(3)]
     texts = ["\n".join(lines), "\n\n".join(lines), " \n".join(lines) + "\n"]
     assert left(spark, texts) == dict(enumerate(texts))
+
+
+def test_several_templates_among_unrelated_lines_of_one_leaf(spark):
+    draw = random.Random(5)
+    names = [f"name{chr(97 + i)}{chr(97 + j)}x" for i in range(20) for j in range(20)]
+    shapes = [" ".join(words(800 + k, 9)) for k in range(6)]
+    for n, unrelated in ((6, 60), (24, 600)):
+        texts, keep = [], {}
+        for i in range(6 * n):
+            own = " ".join(words(10_000 + i, 15))
+            keep[len(texts)] = own
+            texts.append(f"{own}\nyou are now {shapes[i % 6]} {draw.choice(names[:40])} ok")
+        for i in range(unrelated):
+            keep[len(texts)] = "you are now " + " ".join(words(50_000 + i, 11))
+            texts.append(keep[len(texts)])
+        got = left(spark, texts)
+        assert sum(got[i] != t for i, t in keep.items()) == 0
+
+
+def test_field_values_that_other_templates_share(spark):
+    names = [f"name{chr(97 + i)}x" for i in range(12)]
+    texts, keep = [], {}
+    for k in range(30):
+        shape = " ".join(words(900 + k, 8))
+        for i in range(5):
+            keep[len(texts)] = " ".join(words(20_000 + 5 * k + i, 15))
+            texts.append(f"{keep[len(texts)]}\nthis page for {shape} {names[(k + 2 * i) % 12]}")
+    got = left(spark, texts)
+    assert sum(got[i] != t for i, t in keep.items()) == 0

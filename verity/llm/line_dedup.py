@@ -2,10 +2,13 @@
 
 A line's path through the tree has fixed depth: its number of tokens, then its
 first ``DEPTH`` tokens, with variable fields (tokens that hold a digit) as one
-mark. In each leaf that several texts reach, a token is constant where at least
-``CONSTANT`` of the leaf's lines have it at that place; a line that is constant
-in at least ``ALIKE`` of its places belongs to the template with the other
-places left open, any other line to the template of its own tokens.
+mark. In each leaf, a token's support at a place is the number of texts that have
+it there, counted for each different line; supports are put into classes by powers
+of two from ``MIN_TEXTS`` on. A line's templates leave open the places below some
+class, or these and one class above them, as long as at least ``ALIKE`` of its
+places stay. As supports are absolute, it does not matter how many other templates
+or unrelated lines fill a leaf: a template's constants have at least the support
+of its own texts, and some class parts them from its fields.
 
 The template of a line's own tokens (a repeated line or passage) is boilerplate
 where at least ``MIN_REPEATS`` different texts have it, one with open places from
@@ -14,8 +17,8 @@ but for white space count once, so copies of a document don't make its lines
 boilerplate; lines of under ``MIN_TOKENS`` tokens are left alone.
 
 Only built-in expressions run. Statistics are aggregated before they are
-shuffled; places are counted for leaves that several texts reach and never
-gathered beyond 1 / ``CONSTANT`` tokens a place.
+shuffled; equal lines are one row before their places are counted, and no list
+is longer than a line.
 
 Defined results: a null text has no lines and stays null; an empty text keeps its
 one empty line; documents are told apart by identifier and text, so null and
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 from verity.llm.shared import SPACE, WORD, written
 
 DEPTH = 3
-CONSTANT = 0.3
 ALIKE = 0.7
 MIN_REPEATS = 2
 MIN_TEXTS = 3
@@ -52,22 +54,43 @@ def line_table(docs: DataFrame) -> DataFrame:
                          F.xxhash64(F.size("words"), *[F.get("words", F.lit(i)) for i in range(DEPTH)]).alias("leaf"))
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """``mark``, ``body``, ``at``, ``own`` and ``template`` of each line whose leaf
-    several texts reach."""
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("body").alias("one"), F.max("body").alias("other")).where(
-        F.col("one") != F.col("other")).select("leaf", "n")
+def open_templates(kinds: DataFrame) -> DataFrame:
+    """``own`` of each different line (one row with ``leaf``, ``tokens``, ``texts`` and
+    the least and greatest ``body``) and each ``template`` with open places it has."""
+    # The first tokens are equal in a whole leaf.
+    places = kinds.select("leaf", "own", "texts", F.posexplode(F.expr(f"slice(tokens, {DEPTH + 1}, size(tokens))")).alias("place", "token")).withColumn(
+        "key", F.xxhash64("leaf", "place", "token"))
+    support = places.groupBy("key").agg(F.sum("texts").alias("n")).where(F.col("n") >= MIN_TEXTS)
+    ranked = places.join(support.select("key", F.floor(F.log2(F.col("n") / MIN_TEXTS)).cast("int").alias("rank")), "key", "left")
+    lines = ranked.groupBy("leaf", "own").agg(F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("rank", F.lit(-1)).alias("rank")))).alias("at"))
+    found = lines.withColumn("ranks", F.array_distinct("at.rank"))
+
+    def opened(low, one):
+        return F.transform("at", lambda x: F.when((x.rank >= low) & (x.rank != one), x.token.cast("long")).otherwise(F.lit(1 << 40)))
+
+    # Places below a class are open, and those of one class from there on (or of none: -2).
+    cuts = F.flatten(F.transform(F.concat(F.array(F.lit(-1)), F.transform("ranks", lambda r: r + 1)), lambda low: F.transform(
+        F.filter(F.concat(F.array(F.lit(-2)), "ranks"), lambda one: (one >= low) | (one == -2)), lambda one: F.struct(low.alias("low"), one.alias("one")))))
+    alike = F.filter(cuts, lambda c: (F.size(F.filter("at", lambda x: (x.rank >= c.low) & (x.rank != c.one))) + DEPTH >= ALIKE * (F.size("at") + DEPTH))
+                     & F.exists("at", lambda x: (x.rank < c.low) | (x.rank == c.one)))
+    made = found.withColumn("cuts", alike).where(F.size("cuts") > 0)
+    return made.select("own", F.explode(F.array_distinct(F.transform("cuts", lambda c: F.xxhash64("leaf", opened(c.low, c.one))))).alias("template"))
+
+
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """``mark`` and ``at`` of each line that goes."""
+    leaves = lines.groupBy("leaf").agg(F.min("body").alias("one"), F.max("body").alias("other")).where(F.col("one") != F.col("other")).select("leaf")
     busy = written(lines.join(leaves, "leaf"), "busy-lines")
-    # Counted by token, so a leaf that holds a third of all lines adds one row a task and token.
-    places = busy.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(
-        F.count("*").alias("times"), F.first("n").alias("n")).where(F.col("times") >= CONSTANT * F.col("n"))
-    constants = places.groupBy("leaf").agg(F.collect_list(F.xxhash64("place", "token")).alias("constants"))
-    known = busy.join(constants, "leaf", "left")
-    opened = F.transform("tokens", lambda t, i: F.when(F.array_contains("constants", F.xxhash64(i, t)), t))
-    told = known.select("mark", "body", "at", "tokens", "own", "leaf", opened.alias("opened"))
-    alike = F.size(F.array_compact("opened")) >= ALIKE * F.size("tokens")
-    return told.select("mark", "body", "at", "own", F.when(alike, F.xxhash64(F.lit("open"), "leaf", F.transform("opened", lambda t: F.coalesce(t.cast("long"), F.lit(1 << 40))))).otherwise(
-        F.col("own")).alias("template"))
+    # Counted by line and text, so a line that a third of all texts have adds one row a task and text.
+    kinds = written(busy.groupBy("leaf", "own").agg(F.count_distinct("body").alias("texts"), F.min("body").alias("one"), F.max("body").alias("other"),
+                                                    F.first("tokens").alias("tokens")), "line-kinds")
+    made = written(open_templates(kinds), "templates")
+    # A line of three texts or more is enough by itself; others have no text but these two.
+    texts = made.join(kinds.select("own", "texts", F.array_distinct(F.array("one", "other")).alias("bodies")), "own").select("template", "texts", F.explode("bodies").alias("body"))
+    recurring = texts.groupBy("template").agg(F.max("texts").alias("most"), F.count_distinct("body").alias("texts")).where(
+        F.greatest("most", "texts") >= MIN_TEXTS).select("template")
+    goes = made.join(recurring, "template").select("own").union(kinds.where(F.col("texts") >= MIN_REPEATS).select("own")).distinct()
+    return busy.select("mark", "at", "own").join(goes, "own").select("mark", "at")
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -77,11 +100,7 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         "mark", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     # Equal texts are split into lines once.
     distinct = rows.where("text is not null").groupBy("mark").agg(F.first("text").alias("text"))
-    made = written(templates(line_table(distinct)), "templates")
-    made = made.select("mark", "body", "at", F.explode(F.array_distinct(F.array("own", "template"))).alias("template"), "own")
-    recurring = made.groupBy("template").agg(F.count_distinct("body").alias("texts"), F.bool_or(F.col("template") == F.col("own")).alias("repeated")).where(
-        F.col("texts") >= F.when(F.col("repeated"), MIN_REPEATS).otherwise(MIN_TEXTS)).select("template")
-    dropped = made.join(recurring, "template").groupBy("mark").agg(F.collect_set("at").alias("dropped"))
+    dropped = boilerplate(line_table(distinct)).groupBy("mark").agg(F.collect_set("at").alias("dropped"))
     found = rows.join(dropped, "mark", "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     left = F.filter("lines", lambda x, i: ~F.array_contains("dropped", i))
     return found.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"),
