@@ -13,14 +13,14 @@ a 64-bit hash of the pre-token (with d distinct pre-tokens, two share one with a
 chance of d^2 / 2^65).
 
 Defined results: a null text counts as empty and has no tokens; null or repeated
-identifiers are told apart by their texts, and rows that repeat both come back as
-often as they were given; an empty table gives an empty table; other columns are
+identifiers are told apart by a 128-bit hash of their texts, and rows that repeat
+both come back as often as they were given; an empty table gives an empty table; other columns are
 not read.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +88,7 @@ def _frequencies(path: str, common):
             ids = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-            marks = np.array([zlib.crc32(c) for c in coded], np.int64)
+            marks = [hashlib.blake2b(c, digest_size=16).digest() for c in coded]
             summed = np.zeros(len(ids), np.int64)
             for numbers, parts in blocks(texts):
                 _, _, _, owner, hashes = tokens.split(parts)
@@ -101,7 +101,7 @@ def _frequencies(path: str, common):
                 rare = ~is_known[which]
                 pairs, times = np.unique(np.stack([docs[rare], which[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), int), np.zeros(0, int))
                 if len(times):
-                    yield _rows([ids[i] for i in pairs[0]], marks[pairs[0]], found[pairs[1]], times)
+                    yield _rows([ids[i] for i in pairs[0]], [marks[i] for i in pairs[0]], found[pairs[1]], times)
             yield _rows(ids, marks, None, summed, [len(c) for c in coded])
     return run
 
@@ -109,7 +109,7 @@ def _frequencies(path: str, common):
 def _rows(ids, marks, hashes, numbers, sizes=None) -> pa.RecordBatch:
     none = [None] * len(ids)
     return pa.RecordBatch.from_arrays([
-        pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(none if hashes is None else hashes, pa.int64()),
+        pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(none if hashes is None else hashes, pa.int64()),
         pa.array(numbers, pa.int64()), pa.array(none if sizes is None else sizes, pa.int64())], names=["doc_id", "mark", "h", "n", "n_bytes"])
 
 
@@ -130,12 +130,14 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], n[order]))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
-        _frequencies(tokenizer, shared), "doc_id long, mark long, h long, n long, n_bytes long")
-    # One pass over the texts feeds both: the rows of the documents themselves
-    # have a null hash and meet no pre-token in the join.
-    joined = rows.join(pieces.select("h", "pieces"), "h", "left")
-    tokens = F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(F.col("n") * F.col("pieces")))
+        _frequencies(tokenizer, shared), "doc_id long, mark binary, h long, n long, n_bytes long")
+    # One pass over the texts feeds both. The rows of the documents themselves have
+    # a null hash and would meet in one partition of the join: they are dealt by number,
+    # with a flag by which they meet no pre-token.
+    keyed = rows.withColumn("own", F.col("h").isNull()).withColumn("h", F.coalesce("h", F.monotonically_increasing_id()))
+    joined = keyed.join(pieces.select("h", "pieces", F.lit(False).alias("own")), ["h", "own"], "left")
+    tokens = F.sum(F.when(F.col("own"), F.col("n")).otherwise(F.col("n") * F.col("pieces")))
     summed = joined.groupBy("doc_id", "mark").agg(F.max("n_bytes").alias("n_bytes"), tokens.alias("tokens"),
-                                                  F.count(F.when(F.col("h").isNull(), 1)).alias("times"))
+                                                  F.count(F.when(F.col("own"), 1)).alias("times"))
     out = summed.withColumn("n_tokens", F.expr("tokens div times")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
