@@ -1,11 +1,14 @@
 """License scans: cosine to templates, then inheritance along the directory tree.
 
-1. Candidate segments of every whole text are its lines that hold a licence cue
-   (long lines: windows of words round each cue). Segments and templates are
-   sparse TF-IDF vectors of words and word pairs; document frequencies of the
-   templates' terms are counted over all texts, and any other term of a segment
-   weighs as one that occurs once. A text's licence is that of the template with
-   the highest cosine, if it reaches ``THRESHOLD``.
+1. Candidate segments of every whole text are the ``WINDOW`` words on either side
+   of each licence cue, across lines; segments that touch are one. Templates are
+   sparse TF-IDF vectors of words and word pairs, weighed by the share of all texts
+   that hold them, so that weights do not grow with the corpus; any other term
+   weighs as the template's terms do on average. A segment's cosine to a template
+   is that of its best span of words that holds one of the template's terms that the
+   fewest licences share; words around the span do not count. A text's licence is that of the template with the
+   highest cosine, if it reaches ``THRESHOLD``, or the first known one that an SPDX
+   identifier names (cosine 1).
 2. A file without a licence of its own inherits that of the licence file in the
    nearest directory above it: its path is joined to all its ancestors, and the
    deepest one that has a licence file wins.
@@ -22,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +35,7 @@ from verity.llm.shared import few_rows, written
 
 THRESHOLD = 0.55
 WINDOW = 40
+RARE = 0.001
 
 # FIXED VALUES: wording by which files and headers name public licences.
 TEMPLATES = {
@@ -55,6 +60,7 @@ TEMPLATES = {
 }
 
 _CUE = re.compile(r"licen[cs]|copyright|public domain|creative commons|\bcc[ -]by\b|\bcc0\b|permission is hereby|all rights reserved|spdx|redistribution and use", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier\W*:([^\n]*)", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -64,42 +70,90 @@ def terms(segment: str) -> Counter:
 
 
 def segments(text: str) -> Iterator[str]:
-    """Lines with a cue; of lines beyond ``WINDOW`` words, the words round each cue."""
-    at = 0
+    """``WINDOW`` words before and after each cue; segments that touch are one."""
+    start = end = None
     for hit in _CUE.finditer(text):
-        if hit.start() < at:
-            continue
-        start = text.rfind("\n", 0, hit.start()) + 1
-        end = text.find("\n", hit.end())
-        end = len(text) if end < 0 else end
-        near = text[max(start, hit.start() - 10 * WINDOW): min(end, hit.end() + 10 * WINDOW)]
-        if len(near) == end - start and len(_WORD.findall(near)) <= WINDOW:
-            yield near
-            at = end
-        else:
-            before = _WORD.findall(text[max(start, hit.start() - 10 * WINDOW): hit.start()])[-WINDOW // 4:]
-            yield " ".join(before + _WORD.findall(text[hit.start(): min(end, hit.end() + 10 * WINDOW)])[: WINDOW // 2])
-            at = hit.end()
+        if end is None or hit.start() > end:
+            if end is not None:
+                yield text[start:end]
+            start = max(end or 0, hit.start() - 20 * WINDOW)
+            before = [m.start() + start for m in _WORD.finditer(text[start: hit.start()])]
+            start = before[-WINDOW] if len(before) > WINDOW else start
+        far = [m.end() for m in islice(_WORD.finditer(text, hit.start(), hit.end() + 20 * WINDOW), WINDOW)]
+        end = max(end or 0, far[-1] if far else hit.end(), hit.end())
+    if end is not None:
+        yield text[start:end]
 
 
 class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]], texts: int, held: dict[str, int]) -> None:
-        self.texts, self.held = texts, held
-        self.vectors = [(name, self.vector(terms(t))) for name, some in templates.items() for t in some]
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        raw = {t: n * math.log((self.texts + 2) / (self.held.get(t, 0) + 1)) for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
-        return {t: x / norm for t, x in raw.items()}
+        self.texts, self.held, self.names = texts, held, {name.lower(): name for name in templates}
+        self.known: dict[tuple[str, ...], tuple[str | None, float]] = {}
+        licences = Counter(t for some in templates.values() for t in {t for x in some for t in terms(x)})
+        self.vectors = []
+        for name, some in templates.items():
+            for text in some:
+                counts = terms(text)
+                own = {t for t in counts if licences[t] == min(licences[t] for t in counts)}
+                weights = {t: self.weight(t) for t in counts}
+                norm = math.sqrt(sum((n * weights[t]) ** 2 for t, n in counts.items())) or 1.0
+                self.vectors.append((name, weights, {t: n * weights[t] / norm for t, n in counts.items()}, own,
+                                     sum(weights.values()) / max(len(weights), 1), 2 * len(_WORD.findall(text)) + 4))
+
+    def weight(self, term: str) -> float:
+        return math.log(1 + 1 / (self.held.get(term, 0) / max(self.texts, 1) + RARE))
+
+    def span(self, words: list[str], pairs: list[str], vector: tuple, least: float) -> float:
+        """The highest cosine of a span of the words that begins with a word of the
+        template, if it is above ``least``; else ``least``."""
+        _, weights, unit, own, other, longest = vector
+        top = least
+        for i, first in enumerate(words):
+            if first not in unit:
+                continue
+            seen: dict[str, int] = {}
+            dot = norm = 0.0
+            mine = False
+            for j in range(i, min(i + longest, len(words))):
+                for term in (words[j], pairs[j - 1]) if j > i else (words[j],):
+                    n, x = seen.get(term, 0), weights.get(term, other)
+                    seen[term] = n + 1
+                    norm += x * x * (2 * n + 1)
+                    if term in unit:
+                        dot += unit[term] * x
+                        mine = mine or term in own
+                if mine and words[j] in unit and dot > top * math.sqrt(norm) + 1e-12:
+                    top = dot / math.sqrt(norm)
+        return top
 
     def best(self, text: str) -> tuple[str | None, float]:
         top: tuple[str | None, float] = (None, 0.0)
+        for hit in _SPDX.finditer(text):
+            for named in re.findall(r"[A-Za-z0-9.-]+", hit.group(1)):
+                name = self.names.get(re.sub(r"-(only|or-later)$", "", named.lower()))
+                if name:
+                    return name, 1.0
         for segment in segments(text):
-            seen = self.vector(terms(segment))
-            for name, vector in self.vectors:
-                cosine = sum(x * seen[t] for t, x in vector.items() if t in seen)
-                if cosine > top[1] + 1e-12:
-                    top = name, cosine
+            found = self.of_segment(tuple(_WORD.findall(segment.lower())))
+            if found[1] > top[1] + 1e-12:
+                top = found
+        return top
+
+    def of_segment(self, words: tuple[str, ...]) -> tuple[str | None, float]:
+        if words in self.known:
+            return self.known[words]
+        pairs = list(map(" ".join, zip(words, words[1:])))
+        held = {*words, *pairs}
+        top: tuple[str | None, float] = (None, 0.0)
+        for vector in self.vectors:
+            # No span is nearer to the template than the part of it that the segment holds.
+            if held.isdisjoint(vector[3]) or math.sqrt(sum(x * x for t, x in vector[2].items() if t in held)) <= top[1] + 1e-12:
+                continue
+            cosine = self.span(words, pairs, vector, top[1])
+            if cosine > top[1] + 1e-12:
+                top = vector[0], cosine
+        if len(words) <= 4 * WINDOW and len(self.known) < 10_000:
+            self.known[words] = top
         return top
 
 
