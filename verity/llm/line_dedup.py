@@ -57,24 +57,33 @@ def line_table(docs: DataFrame) -> DataFrame:
 def open_templates(kinds: DataFrame) -> DataFrame:
     """``own`` of each different line (one row with ``leaf``, ``tokens``, ``texts`` and
     the least and greatest ``body``) and each ``template`` with open places it has."""
+    several = kinds.groupBy("leaf").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.sum("texts").alias("n")).where(
+        (F.col("first") != F.col("last")) & (F.col("n") >= MIN_TEXTS)).select("leaf")
     # The first tokens are equal in a whole leaf.
-    places = kinds.select("leaf", "own", "texts", F.posexplode(F.expr(f"slice(tokens, {DEPTH + 1}, size(tokens))")).alias("place", "token")).withColumn(
+    places = kinds.join(several, "leaf").select("leaf", "own", "texts", F.posexplode(F.expr(f"slice(tokens, {DEPTH + 1}, size(tokens))")).alias("place", "token")).withColumn(
         "key", F.xxhash64("leaf", "place", "token"))
     support = places.groupBy("key").agg(F.sum("texts").alias("n")).where(F.col("n") >= MIN_TEXTS)
     ranked = places.join(support.select("key", F.floor(F.log2(F.col("n") / MIN_TEXTS)).cast("int").alias("rank")), "key", "left")
-    lines = ranked.groupBy("leaf", "own").agg(F.array_sort(F.collect_list(F.struct("place", "token", F.coalesce("rank", F.lit(-1)).alias("rank")))).alias("at"))
-    found = lines.withColumn("ranks", F.array_distinct("at.rank"))
-
-    def opened(low, one):
-        return F.transform("at", lambda x: F.when((x.rank >= low) & (x.rank != one), x.token.cast("long")).otherwise(F.lit(1 << 40)))
-
-    # Places below a class are open, and those of one class from there on (or of none: -2).
-    cuts = F.flatten(F.transform(F.concat(F.array(F.lit(-1)), F.transform("ranks", lambda r: r + 1)), lambda low: F.transform(
-        F.filter(F.concat(F.array(F.lit(-2)), "ranks"), lambda one: (one >= low) | (one == -2)), lambda one: F.struct(low.alias("low"), one.alias("one")))))
-    alike = F.filter(cuts, lambda c: (F.size(F.filter("at", lambda x: (x.rank >= c.low) & (x.rank != c.one))) + DEPTH >= ALIKE * (F.size("at") + DEPTH))
-                     & F.exists("at", lambda x: (x.rank < c.low) | (x.rank == c.one)))
+    # Place, rank + 1 (0 below MIN_TEXTS) and token in one number, which sorts by place.
+    packed = F.shiftleft(F.col("place").cast("long"), 38) + F.shiftleft(F.coalesce("rank", F.lit(-1)).cast("long") + 1, 32) + (F.col("token").cast("long") + (1 << 31))
+    lines = ranked.groupBy("leaf", "own").agg(F.array_sort(F.collect_list(packed)).alias("at"))
+
+    def rank(x):
+        return F.shiftright(x, 32).bitwiseAND(F.lit(63))
+
+    def stays(x, cut):
+        return (rank(x) >= cut.low) & (rank(x) != cut.one)
+
+    # A token of fewer texts than a template needs is open in every template.
+    found = lines.withColumn("ranks", F.transform("at", rank)).where(F.size(F.filter("ranks", lambda r: r > 0)) + DEPTH >= ALIKE * (F.size("at") + DEPTH)).withColumn(
+        "ranks", F.array_distinct("ranks"))
+    # Ranks below one are open, and one rank from there on (or none: -1).
+    cuts = F.flatten(F.transform(F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), F.transform("ranks", lambda r: r + 1))), lambda low: F.transform(
+        F.filter(F.concat(F.array(F.lit(-1).cast("long")), "ranks"), lambda one: (one >= low) | (one == -1)), lambda one: F.struct(low.alias("low"), one.alias("one")))))
+    alike = F.filter(cuts, lambda c: (F.size(F.filter("at", lambda x: stays(x, c))) + DEPTH >= ALIKE * (F.size("at") + DEPTH)) & F.exists("at", lambda x: ~stays(x, c)))
+    opened = F.transform("cuts", lambda c: F.xxhash64("leaf", F.transform("at", lambda x: F.when(stays(x, c), x.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.lit(1 << 40)))))
     made = found.withColumn("cuts", alike).where(F.size("cuts") > 0)
-    return made.select("own", F.explode(F.array_distinct(F.transform("cuts", lambda c: F.xxhash64("leaf", opened(c.low, c.one))))).alias("template"))
+    return made.select("own", F.explode(F.array_distinct(opened)).alias("template"))
 
 
 def boilerplate(lines: DataFrame) -> DataFrame:
