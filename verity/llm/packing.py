@@ -8,7 +8,7 @@ each range is sorted, and a running sum of lengths, offset by what all earlier
 ranges hold, gives every token its sequence. Only the last sequence has padding.
 
 The ids of a text come from the tokenizer, which is asked once for each
-pre-token that a worker meets; a worker remembers at most ``REMEMBER`` of them.
+pre-token that a worker meets and remembers.
 
 Defined results: a null text counts as empty and gives the end id alone; null
 identifiers sort last; repeated rows are documents of their own; an empty table
@@ -27,53 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.pretokens import Encoder, PreTokens, blocks, scramble, word_at
+from verity.llm.ids import Ids
+from verity.llm.pretokens import blocks, scramble
 from verity.llm.shared import few_rows, partitions, written
 
 LENGTH = 4096
 END_ID = 2
-REMEMBER = 250_000
 FEATURES, DIMENSIONS, BITS = 256, 3, 16
 SAMPLE = 40  # sampled documents for each range
 
 
-class Ids:
-    """Ids of texts by way of their pre-tokens."""
-
-    def __init__(self, path: str) -> None:
-        self.tokens, self.encoder = PreTokens(path), Encoder(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, words: list[str], hashes: list[int]) -> None:
-        lists = self.encoder.ids(words)
-        sizes = np.array([len(x) for x in lists], np.int64)
-        first = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        for h in hashes:
-            self.place[h] = len(self.place)
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, *lists])
-
-    def __call__(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all parts, ids in each part, hash of each pre-token, part of each pre-token)"""
-        units, starts, ends, owner, hashes = self.tokens.split(parts)
-        if len(self.place) > REMEMBER:
-            self.forget()
-        found, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = found.tolist()
-        new = [(h, i) for h, i in zip(keys, first.tolist()) if h not in self.place]
-        if new:
-            self.learn([word_at(units, starts[i], ends[i]) for _, i in new], [h for h, _ in new])
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[which] if keys else np.zeros(0, np.int64)
-        size = self.size[at]
-        before = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.first[at] - before, size) + np.arange(size.sum())]
-        return ids, np.bincount(owner, size, len(parts)).astype(np.int64), hashes, owner
-
-
 def projected(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Signed hashed counts of each document's pre-tokens (n x FEATURES)."""
     mixed = scramble(hashes ^ np.uint64(0x5EED))

@@ -189,6 +189,17 @@ def word_at(units: np.ndarray, start: int, end: int) -> str:
     return units[start:end].tobytes().decode("utf-16-le", "surrogatepass")
 
 
+def words_at(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The pre-tokens at those places (none holds a blank)."""
+    if not len(starts):
+        return []
+    sizes = ends - starts + 1  # with a blank after each
+    after = np.cumsum(sizes)
+    spread = units[np.minimum(np.repeat(starts - (after - sizes), sizes) + np.arange(after[-1]), len(units) - 1)]
+    spread[after - 1] = 32
+    return spread[:-1].tobytes().decode("utf-16-le", "surrogatepass").split(" ")
+
+
 class Encoder:
     """Piece ids of pre-tokens, by the tokenizer itself."""
 
@@ -206,17 +217,23 @@ class Encoder:
         self.ends = np.zeros(max([*vocab.values(), *self.specials.values()]) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; a word's last piece carries the end-of-word mark."""
-        plain = [w for w in words if w not in self.specials]
-        groups = [plain[i: i + 500] for i in range(0, len(plain), 500)]
-        lists: list[np.ndarray] = []
+    def flat_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; a word's last
+        piece carries the end-of-word mark."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        groups = [words[i: i + 500] for i in range(0, len(words), 500)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group):
-                lists += np.split(ids, cuts[:-1])
-            else:  # a character that the vocabulary lacks: word by word
-                lists += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in group]
-        rest = iter(lists)
-        return [np.array([self.specials[w]], np.uint32) if w in self.specials else next(rest) for w in words]
+            if len(cuts) == len(group) and not any(w in self.specials for w in group):
+                flat.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
+            else:  # a special token, or a character that the vocabulary lacks: word by word
+                each = [[self.specials[w]] if w in self.specials else self.tokenizer.encode(w, add_special_tokens=False).ids for w in group]
+                flat.append(np.array([i for ids in each for i in ids], np.uint32))
+                sizes.append(np.array([len(ids) for ids in each], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def sizes(self, words: list[str]) -> np.ndarray:
+        """The number of ids of each word."""
+        return self.flat_ids(words)[1]

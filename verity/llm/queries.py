@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verity.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, pseudonyms, quality, token_counts, toxicity
+from verity.llm import (codes, exact_dedup, licenses, line_dedup, mixing, near_dedup, negatives, packing, pseudonyms, quality, records,
+                        token_counts, toxicity)
 from verity.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,6 +63,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.record_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose identifier is divisible by 100; where it is
+    divisible by 7 the label is moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_errors(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                                                 F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -73,8 +92,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": op6_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_binary_records": op11_binary_records,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _codebook_round(before: str, after: str) -> str:
+    """One round over the parts ``q`` (a to d are a part's components)."""
+    return f"""
+{after}_near AS (
+  SELECT q.vec_id, q.p, any_value(q.a) AS a, any_value(q.b) AS b, any_value(q.c) AS c, any_value(q.d) AS d,
+         min(64 * ((q.a - k.a) ** 2 + (q.b - k.b) ** 2 + (q.c - k.c) ** 2 + (q.d - k.d) ** 2)::BIGINT + k.i) AS nearest
+  FROM q JOIN {before} k ON k.p = q.p GROUP BY q.vec_id, q.p
+), {after}_sum AS (
+  SELECT p, nearest % 64 AS i, floor(sum(a) / count(*))::BIGINT AS a, floor(sum(b) / count(*))::BIGINT AS b,
+         floor(sum(c) / count(*))::BIGINT AS c, floor(sum(d) / count(*))::BIGINT AS d
+  FROM {after}_near GROUP BY ALL
+), {after} AS (
+  SELECT k.p, k.i, coalesce(s.a, k.a) AS a, coalesce(s.b, k.b) AS b, coalesce(s.c, k.c) AS c, coalesce(s.d, k.d) AS d
+  FROM {before} k LEFT JOIN {after}_sum s ON s.p = k.p AND s.i = k.i
+)"""
+
 ORACLES = {
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
@@ -117,5 +156,35 @@ WITH d AS (
   FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - ahead)))::BIGINT AS taken FROM p
+""",
+    "op12_hard_negatives": r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id AS other_id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score
+  FROM e AS a JOIN e ON a.vec_id % 100 = 0 AND e.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, other_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)::INT AS rank,
+       n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s AS n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+""",
+    "op13_vector_codes": rf"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT vec_id, p, v[4 * p + 1] AS a, v[4 * p + 2] AS b, v[4 * p + 3] AS c, v[4 * p + 4] AS d FROM v, range(16) AS t(p)
+), k0 AS (
+  SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS i, a, b, c, d FROM q WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+), {_codebook_round("k0", "k1")}, {_codebook_round("k1", "k2")}, {_codebook_round("k2", "k3")}, told AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', nearest % 64), '' ORDER BY p) AS code, sum(nearest // 64)::BIGINT AS error FROM k3_near GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(a || ',' || b || ',' || c || ',' || d, ',' ORDER BY p, i)) FROM k2) AS codebooks_sha256
+FROM told JOIN v USING (vec_id)
 """,
 }

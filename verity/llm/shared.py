@@ -18,24 +18,32 @@ _NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where
-    none is named (tests) a scratch folder is made and set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a local
+    session that names none (a test) gets a scratch folder; on a cluster it would
+    be another one on every machine, so there the lack of a name is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="verity-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def noted(path: str) -> str:
+    """``path``, added to the folders that ``noting`` collects."""
+    if _NOTED.get() is not None:
+        _NOTED.get().append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later
     steps see one fixed set of rows, compute nothing twice, and survive the
     loss of executors. The folder is the caller's to clear after the job;
     ``noting`` says which folders those are."""
-    path = f"{shared_folder(df.sparkSession)}/verity-{name}-{uuid.uuid4().hex}"
+    path = noted(f"{shared_folder(df.sparkSession)}/verity-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    if _NOTED.get() is not None:
-        _NOTED.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -73,7 +73,7 @@ def _count_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            pieces = [len(ids) for ids in encoder.ids(batch.column("word").to_pylist())]
+            pieces = encoder.sizes(batch.column("word").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(pieces, pa.int64()), batch.column("n")], names=["h", "pieces", "n"])
     return run
 
