@@ -3,7 +3,7 @@ for as long as a worker remembers it.
 
 What is known lies in flat arrays behind an open table of hashes, so that a block
 of some fifty thousand pre-tokens is looked up by a few array operations. The
-table holds at most ``REMEMBER`` pre-tokens (some 40 MB); then it starts anew.
+table holds at most ``REMEMBER`` pre-tokens (some 30 MB); then it starts anew.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import numpy as np
 
 from verity.llm.pretokens import Encoder, PreTokens, words_at
 
-REMEMBER = 600_000
-_BITS = 21  # slots of the table: more than three for each pre-token remembered
+REMEMBER = 350_000
+_BITS = 20  # slots of the table: about three for each pre-token remembered
 _PROBES = (np.uint64(43), np.uint64(22), np.uint64(1))
 _MASK = np.uint64((1 << _BITS) - 1)
 
@@ -83,3 +83,15 @@ class Ids:
         before = np.cumsum(size) - size
         ids = self.flat.held[np.repeat(self.first.held[at] - before, size) + np.arange(size.sum())]
         return ids, np.bincount(owner, size, len(parts)).astype(np.int64), hashes, owner
+
+
+_KEPT: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The worker's own for that tokenizer: it lives as long as the worker, so a
+    later task need not load the tokenizer nor ask it for the same words again."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Ids(path)
+    return _KEPT[path]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.ids import Ids
+from verity.llm.ids import ids_of
 from verity.llm.pretokens import blocks, scramble
 from verity.llm.shared import few_rows, partitions, written
 
@@ -78,7 +78,7 @@ def hilbert_keys(vectors: np.ndarray) -> np.ndarray:
 
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Ids(path)
+        make = ids_of(path)
         kind = np.dtype("<u2") if len(make.encoder.ends) <= 1 << 16 else np.dtype("<u4")
         end = np.array([end_id], kind).tobytes()
 

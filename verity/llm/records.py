@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verity.llm.crc import Crc32c
-from verity.llm.ids import Ids
+from verity.llm.ids import ids_of
 from verity.llm.pretokens import blocks
-from verity.llm.shared import few_rows, noted, partitions, shared_folder, written
+from verity.llm.shared import few_rows, noted, partitions, shared_folder, small_batches, written
 
 END_ID = 2
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 HEAD = 11  # numbers before the ids
 HAS_ID, WIDE = 1, 2
 # Fixed values of the format: a record of length zero, and its two masked checksums.
@@ -121,7 +121,7 @@ def parsed(block: bytes, crc: Crc32c, where: str = "") -> Iterator[tuple[int | N
 
 def _encoded(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, framer, end = Ids(tokenizer), Framer(), np.array([end_id], np.uint32)
+        make, framer, end = ids_of(tokenizer), Framer(), np.array([end_id], np.uint32)
         if len(make.encoder.ends) > 1 << 24:
             raise ValueError("a vocabulary of more than 2^24 ids")
 
@@ -156,7 +156,9 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, text: str = "tex
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.crc32(F.coalesce("text", F.lit("")))]
     dealt = rows.repartitionByRange(files or partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(_encoded(tokenizer, end_id), "value binary").select(F.col("value").cast("string").alias("value")).write.options(**_TEXT).text(folder)
+    made = dealt.mapInArrow(_encoded(tokenizer, end_id), "value binary").select(F.col("value").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        made.write.options(**_TEXT).text(folder)
 
 
 def _read(last: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,13 +38,27 @@ def noted(path: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run meanwhile pass so many rows at once to Python workers: a batch of
+    long texts is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later
     steps see one fixed set of rows, compute nothing twice, and survive the
     loss of executors. The folder is the caller's to clear after the job;
     ``noting`` says which folders those are."""
     path = noted(f"{shared_folder(df.sparkSession)}/verity-{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,12 +79,23 @@ def cleared(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker that lives through many tasks
+    would else keep the most that each allocator ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, so that a Python worker holds the
     texts of a slice and not of a whole Arrow batch as objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        _give_back()
 
 
 def partitions(spark: SparkSession) -> int:
