@@ -116,3 +116,15 @@ def test_quality_on_labels(spark):
     got = queries.op10_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     able = got[~got.base_failed]
     assert able[able.quality == 1].kept.mean() > 0.97 and able[able.quality == 0].kept.mean() < 0.3
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"{'word ' * (1 + k)}{k}", "s") for i in (None, 1, 1, 2) for k in range(5)]
+    rows += [(i, f"слово {'текст ' * (i % 9)}", "кир") for i in range(300)]
+    plans = []
+    for some, n in ((rows, 1), (rows[::-1], 5)):
+        docs = spark.createDataFrame(some, "doc_id long, text string, source string").repartition(n)
+        plans.append(sorted(map(str, mixing.mix_plan(docs, carry=["text"]).select("doc_id", "carried", "size", "taken").collect())))
+    assert plans[0] == plans[1]
+    sliced = spark.createDataFrame([("слово и текст",)], ["t"]).select(mixing.quality(mixing.F.col("t"))).first()[0]
+    assert sliced == 1.0

@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 from tests.llm.conftest import words
-from verity.llm import near_dedup, queries, toxicity
+from verity.llm import exact_dedup, near_dedup, queries, toxicity
 from verity.llm.components import components
 
 
@@ -106,3 +106,41 @@ def test_toxicity(spark, docs, empty):
     assert odd.count() == docs.count() and odd.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_two_variants_in_one_bucket(spark):
+    """Copies of a text and of a variant that is unlike it: the variant's copies are
+    found by a leader of their own, not by all their pairs."""
+    base = words(7, 300)
+    variant = [*base[:250], *words(70, 50)]
+    rows = []
+    for i in range(120):
+        w = list(base if i % 3 == 0 else variant)
+        w[(11 * i) % 300] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, ["doc_id", "text"])).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == classes(rows)
+    assert len({r.class_id for r in got}) == 2
+
+
+def test_no_link_lost_without_levels(spark, monkeypatch):
+    import random
+    r, base, rows = random.Random(8), words(9, 200), []
+    for i in range(90):
+        w = list(base)
+        for at in range(0, 200, 10):
+            if r.random() < 0.15:
+                w[at: at + 3] = [f"{r.randrange(3)}v{at + k}" for k in range(3)]
+        rows.append((i, " ".join(w)))
+    for levels in (0, 1, 6):
+        monkeypatch.setattr(near_dedup, "LEVELS", levels)
+        got = near_dedup.near_classes(spark.createDataFrame(rows, ["doc_id", "text"])).collect()
+        assert Counter((x.doc_id, x.class_id, x.class_size) for x in got) == classes(rows)
+
+
+def test_kept_row_among_equals_is_always_the_same(spark):
+    text = " ".join(words(12, 40))
+    rows = [(1, text, f"s{i}") for i in range(20)]
+    for drop in (near_dedup.drop_near_copies, exact_dedup.drop_copies):
+        kept = {drop(spark.createDataFrame(some, ["doc_id", "text", "source"]).repartition(n)).first().source for some, n in ((rows, 1), (rows[::-1], 4))}
+        assert len(kept) == 1

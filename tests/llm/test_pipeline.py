@@ -40,3 +40,23 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0 and P.ORACLE_SQL is None
+
+
+def test_odd_rows_and_empty_table(spark, docs, empty):
+    packed = P.run_stages(spark, docs, SF)
+    assert {r.doc_id for r in packed.collect()} <= {r.doc_id for r in docs.collect()}
+    assert P.run_stages(spark, empty, SF).count() == 0
+
+
+def test_stages_keep_other_columns(spark, rows):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    when = datetime.datetime(2024, 5, 1, 12, 0, 0, 123456)
+    docs = spark.createDataFrame([(*r[:5], when, {datetime.date(2024, 1, 1): 2}, "q") for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, at timestamp, by map<date,int>, `node.id` string").repartition(2)
+    for name, stage in P.STAGES[:4]:
+        kept = written(stage(spark, docs, SF), "t")
+        assert kept.columns == docs.columns and kept.count(), name
+        assert {(r.at, tuple(r.by.items()), r["node.id"]) for r in kept.select("at", "by", F.col("`node.id`")).collect()} == {(when, ((datetime.date(2024, 1, 1), 2),), "q")}

@@ -91,3 +91,21 @@ def test_equal_telephone_numbers_are_linked():
         assert len(plain) == 1 and digits(forms[0]) not in plain, forms
         code = digits(forms[0].split()[0])
         assert all(p.startswith(code) for p in plain)
+
+
+def test_one_date_in_five_notations_and_one_address_in_two_cases():
+    import datetime
+    import re
+
+    from verity.llm.pseudonyms import Pseudonyms
+
+    names = Pseudonyms(b"k")
+    new = [names.replaced(t)[0] for t in ("1985-03-24", "1985/3/24", "24.03.1985", "24/03/1985", "03/24/1985", "1985.03.24")]
+    days = set()
+    for text, order in zip(new, ("ymd", "ymd", "dmy", "dmy", "mdy", "ymd")):
+        told = dict(zip(order, map(int, re.split(r"[-/.]", text))))
+        days.add(datetime.date(told["y"], told["m"], told["d"]))
+    assert len(days) == 1 and datetime.date(1985, 3, 24) not in days
+    one, two = (names.replaced(t)[0] for t in ("Anna.Berg7@mail.example.org", "anna.berg7@mail.example.org"))
+    assert one != two and one.lower() == two.lower() and one[0].isupper() and one.split("@")[0].lower() != "anna.berg7"
+    assert Pseudonyms(b"x" * 64 + b"1").replaced("1985-03-24") != Pseudonyms(b"x" * 64 + b"2").replaced("1985-03-24")

@@ -8,8 +8,8 @@ are joined through a table of two rows a partition.
 
 Defined results: a null text counts as empty; a null identifier sorts last, so
 it stays only where its whole group has none; rows that repeat both text and
-identifier are one group of which one row stays; an empty table gives an empty
-table; further columns are passed through whatever their names.
+identifier are one group of which one row stays, the one whose columns have the least
+hash; very long texts are sorted and compared whole; an empty table gives an empty table; further columns are passed through whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from verity.llm.shared import SPACE, few_rows, partitions, text_or_empty, writte
 
 HEAD = 64  # bytes of a text by which it is dealt out
 
-_RUN = T.StructType([
-    T.StructField("_id", T.LongType()), T.StructField("_row", T.StringType()), T.StructField("_part", T.IntegerType()),
-    T.StructField("_run", T.LongType()), T.StructField("_first", T.BooleanType()), T.StructField("_sha", T.StringType()),
-])
+
+def _run_schema(row: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("_id", T.LongType()), T.StructField("_row", row), T.StructField("_part", T.IntegerType()),
+        T.StructField("_run", T.LongType()), T.StructField("_first", T.BooleanType()), T.StructField("_sha", T.StringType()),
+    ])
 
 
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +49,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_row"), pa.array([part] * len(runs), pa.int32()),
              pa.array(runs, pa.int64()), pa.array(firsts, pa.bool_()), batch.column("_sha")],
-            names=_RUN.names)
+            names=["_id", "_row", "_part", "_run", "_first", "_sha"])
 
 
 def sorted_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -55,15 +57,16 @@ def sorted_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row
     through), and its run of equal texts as ``_part``, ``_run`` with ``_first``
     at the run's first row and the text's ``_sha``. Written, as range bounds
     are sampled anew by every job."""
-    body = F.regexp_replace(text_or_empty(text), SPACE, " ").cast("binary")
+    body = F.regexp_replace(text_or_empty(f"`{text}`"), SPACE, " ").cast("binary")
     # Splitters travel to the driver: they are the first bytes and the digest of
     # a text, never the whole of it. Rows are still compared whole.
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), body.alias("_body"),
-                       (F.col(row) if row else F.lit(None)).cast("string").alias("_row"))
+    carried = F.col(f"`{row}`") if row else F.lit(None).cast("string")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), body.alias("_body"), carried.alias("_row"))
     rows = rows.withColumns({"_head": F.substring("_body", 1, HEAD), "_sha": F.sha2("_body", 256)})
-    number = F.col("_id").asc_nulls_last()
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "_head", "_sha", number).sortWithinPartitions("_head", "_sha", "_body", number)
-    return written(ordered.mapInArrow(_compare_neighbours, _RUN), "runs")
+    # Rows that repeat text and identifier go by a hash of what they carry.
+    number, tie = F.col("_id").asc_nulls_last(), [F.md5(F.to_json("_row"))] if row else []
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "_head", "_sha", number).sortWithinPartitions("_head", "_sha", "_body", number, *tie)
+    return written(ordered.mapInArrow(_compare_neighbours, _run_schema(rows.schema["_row"].dataType)), "runs")
 
 
 def edge_groups(runs: DataFrame) -> DataFrame:
@@ -95,9 +98,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of equal texts, the smallest identifier's."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
-    rows = packed.select(F.col(f"_all.`{text}`").alias("_t"), F.col(f"_all.`{doc_id}`").alias("_d"),
-                         F.to_json("_all", {"ignoreNullFields": "false"}).alias("_j"))
-    runs = sorted_runs(rows, "_t", "_d", row="_j")
+    rows = packed.select(F.col(f"_all.`{text}`").alias("_t"), F.col(f"_all.`{doc_id}`").alias("_d"), "_all")
+    runs = sorted_runs(rows, "_t", "_d", row="_all")
     kept = runs.where("_first").join(F.broadcast(edge_groups(runs.drop("_row"))), ["_part", "_run"], "left").where(
         F.coalesce("_home", "_part") == F.col("_part"))
-    return kept.select(F.from_json("_row", docs.schema).alias("_all")).select("_all.*")
+    return kept.select("_row.*")

@@ -9,12 +9,16 @@ and documents are taken by rising key until the prefix sum of their words
 reaches the budget; the last one is cut there.
 
 A source may hold a third of all rows: prefix sums run per (source, slice of the
-key), with the slices' totals, a bounded number a source, summed first.
+key), with the slices' totals, a bounded number a source, summed first. Slices rise
+with the key by the mean of the distributions that the possible qualities give it,
+so of rows of any quality a slice holds a ten-SLICES-th at most.
 
 Defined results: a null text has no words and is never taken; null sources come
 last in the order of sources; repeated rows are documents of their own, ordered
-by key, then identifier, and rows with the same identifier share one draw; an
-empty table gives an empty table; further columns pass through ``mixed``.
+by key, identifier, size, then a hash of the text and of what is carried along, so
+that reruns agree whatever the order of the input, and rows with the same identifier
+share one draw; very long texts count whole; an empty table gives an empty table;
+further columns pass through ``mixed``.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from verity.llm.shared import SPACE, WORD, text_or_empty, word_count, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SLICES = 4096
+STEPS = 10  # of quality
 
 
 def quality(text: Column) -> Column:
-    """Between 0.1 and 1: the share of letters and blanks in the text, in steps of 0.1."""
-    plain = F.length(F.regexp_replace(text, r"[^A-Za-zÀ-ɏ\x20\x09-\x0D]", ""))
-    return F.greatest(F.lit(1), F.floor(10 * plain / F.greatest(F.length(text), F.lit(1)))).cast("double") / 10
+    """Between 0.1 and 1: the share of letters (of any script) and blanks in the text, in steps of 0.1."""
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]", ""))
+    return F.greatest(F.lit(1), F.floor(STEPS * plain / F.greatest(F.length(text), F.lit(1)))).cast("double") / STEPS
 
 
 def draw(doc_id: Column, seed: str) -> Column:
@@ -71,20 +76,21 @@ def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     ``taken`` (words the mix takes of it, repeats counted), and how that comes
     about: ``epochs`` whole passes and ``drawn`` words from one more. The
     columns named in ``carry`` come along as the struct ``carried``."""
-    body = text_or_empty(text)
+    body = text_or_empty(f"`{text}`")
     key = -F.ln(draw(F.col(f"`{doc_id}`"), seed)) / quality(body)
     kept = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     sized = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
-                        word_count(body).alias("size"), key.alias("key"), *kept)
-    # Keys lie in (0, inf); exp(-key) spreads them over (0, 1) in the same order.
-    sized = written(sized.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES)), "sized")
+                        word_count(body).alias("size"), key.alias("key"), F.md5(body).alias("mark"), *kept)
+    spread = sum((1 - F.exp(-F.col("key") * q / STEPS) for q in range(1, STEPS + 1)), F.lit(0.0)) / STEPS
+    sized = written(sized.withColumn("slice", F.floor(spread * SLICES)), "sized")
     # A null source gets a key of its own that no name can equal.
     sized = sized.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     ahead = Window.partitionBy("of").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("of", "slice").agg(F.sum("size").alias("slice_size"))
     sums = sums.select("of", "slice", F.coalesce(F.sum("slice_size").over(ahead), F.lit(0)).alias("ahead"))
     targets = source_targets(sized, weights, most).withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    within = Window.partitionBy("of", "slice").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = ["key", F.col("doc_id").asc_nulls_last(), "size", "mark", *([F.md5(F.to_json("carried"))] if carry else [])]
+    within = Window.partitionBy("of", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums.join(targets, "of"), ["of", "slice"])
     rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")

@@ -18,24 +18,27 @@ Links are found in every bucket of a band without listing all its pairs:
 - in larger ones every node is compared to the bucket's leader, the node that
   shares buckets with most others (the text that copies were made from, if it is
   there), and what is linked is merged;
-- larger buckets that still hold several components are joined by how their texts
-  differ from the leader. Let L be the leader's size, e what a text adds to it,
-  r what it lacks and W = 4e + 5r: it is like the leader if W <= L, and texts x
-  and y are alike if 9g >= Wx + Wy - L, where g is what their differences share.
-  A pair to be found has a text unlike the leader, so g is at least (W + 1) / 9
-  for either text's partner and (W - L) / 5 for that text: the rarest elements of
-  the differences (all but g - 1) must meet, and at places that leave room for g.
-
-The latter join loses no pair of a bucket, and its work follows what differences
-share instead of the square of the bucket: copies with edits of their own, which
-share few, meet in none.
+- larger buckets that still hold several components are cut into smaller ones by how
+  their texts differ from the leader, with leaders of their own, and so on. Let L be the
+  leader's size, e what a text adds to it, r what it lacks and W = 4e + 5r: it is
+  like the leader if W <= L, and texts x and y are alike if 9g >= Wx + Wy - L, where g
+  is what their differences share. A pair to be found has a text unlike the leader, so g
+  is at least (W + 1) / 9 for either text's partner and (W - L) / 5 for that text: the
+  rarest elements of the differences (all but g - 1) must meet. A bucket of the next
+  level holds the texts that have one such element; one component alone, or
+  texts like the leader alone, make none.
+
+After ``LEVELS`` levels, texts of one bucket and different components that still
+share such an element are paired directly. No step loses a pair of a bucket, and
+the work follows what differences share instead of the square of the bucket:
+variants of a text that are like each other merge as soon as one of them leads.
 
 A comparison is the exact weighted Jaccard similarity of the shingles. Classes
 are the connected components of links of 0.8 or more.
 
 Defined results: a null text counts as empty; texts without words are equal to
 each other and like nothing else; texts of under five words have one shingle, of
-all their words; the class is the smallest identifier of its rows, null only if
+all their words; very long texts are hashed in blocks; the class is the smallest identifier of its rows, null only if
 all are; repeated rows fall in one class, one row of which stays; an empty table
 gives an empty table; further columns pass through ``drop_near_copies``.
 """
@@ -43,7 +46,7 @@ gives an empty table; further columns pass through ``drop_near_copies``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,8 @@ from verity.llm.words import shingles, strips, word_hashes
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SMALL = 8
+LEVELS = 4
+SALTS = 16  # tasks over which the partners of one text are dealt
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _CELL, _DART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -121,93 +126,152 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["node", "strips"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in few_rows(batches):
-        values = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= SIMILARITY * max(len(p), len(q)) else 0
-            values.append(both / max(len(p) + len(q) - both, 1))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
-
-
 def node_of(text: str) -> Column:
     """What texts that are equal word for word share."""
     return F.unhex(F.md5(F.trim(F.regexp_replace(text_or_empty(text), SPACE, " "))))
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in few_rows(batches):
-        found = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            added, lacked = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
-            found.append((len(q), 4 * len(added) + 5 * len(lacked), np.concatenate([added, lacked]).view(np.int64)))
-        sizes, far, unlike = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), batch.column("root"), pa.array(sizes, pa.int64()),
-                                          pa.array(far, pa.int64()), pa.array(unlike, pa.list_(pa.int64()))], names=["leader", "node", "root", "size", "far", "unlike"])
-
-
-def _pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) to compare: all of a small bucket's, and each node of a larger
-    one with its leader. ``shared``: key, node, n, leader."""
-    star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # SMALL nodes at most
-    each = small.select("nodes", F.posexplode("nodes").alias("i", "a")).select("a", F.explode(F.slice("nodes", F.col("i") + 2, SMALL)).alias("b"))
-    return star.unionByName(each).distinct()
+def _likeness(host: np.ndarray, guest: np.ndarray) -> tuple[float]:
+    p, q = host, guest
+    both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= SIMILARITY * max(len(p), len(q)) else 0
+    return (both / max(len(p) + len(q) - both, 1),)
 
 
-def _pairs_by_difference(frames: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that may be alike, at least one of
-    them unlike the leader. ``frames``: leader, node, root."""
-    both = frames.join(sets.select("node", F.col("strips").alias("x")), "node").join(sets.select(F.col("node").alias("leader"), F.col("strips").alias("y")), "leader")
-    told = written(both.select("leader", "node", "root", "x", "y").mapInArrow(
-        _differences, "leader binary, node binary, root binary, size long, far long, unlike array<long>"), "differences")
-    parts = told.select("leader", "node", F.explode("unlike").alias("part"))
-    often = parts.groupBy("leader", "part").agg(F.count("*").alias("n")).where("n > 1")
-    parts = parts.join(often, ["leader", "part"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
-    told = written(told.drop("unlike").join(parts, ["leader", "node"]), "rarest")
+def _difference(leader: np.ndarray, text: np.ndarray) -> tuple[int, int, np.ndarray]:
+    added, lacked = np.setdiff1d(text, leader, assume_unique=True), np.setdiff1d(leader, text, assume_unique=True)
+    return len(leader), 4 * len(added) + 5 * len(lacked), np.concatenate([added, lacked]).view(np.int64)
 
-    def rarest(rows: DataFrame, least: Column, side: str) -> DataFrame:
-        held = F.size("parts")
-        first = rows.where(held >= least).select("leader", F.col("node").alias(side), F.col("root").alias(f"{side}_root"), F.col("far").alias(f"{side}_far"), "size",
-                                                 held.alias("held"), F.posexplode(F.slice("parts", 1, F.greatest(F.lit(1), held - least + 1))).alias("place", "one"))
-        return first.withColumn(f"{side}_left", F.col("held") - F.col("place")).withColumn("part", F.col("one.part")).drop("held", "place", "one")
 
-    whole = lambda over, by: F.ceil(over / F.lit(by)).cast("int")
-    apart = rarest(told.where("far > size"), whole(F.col("far") - F.col("size"), 5), "a")
-    any_text = rarest(told, whole(F.col("far") + 1, 9), "b").drop("size")
-    met = apart.join(any_text, ["leader", "part"]).where("a_root <> b_root and 9 * least(a_left, b_left) >= a_far + b_far - size")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _visited(pairs: DataFrame, sets: DataFrame, pick: Callable, found: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
+    """``pick(strips of host, strips of guest)`` for each (host, guest). A host's
+    strips go once to each of the at most ``SALTS`` tasks that its guests are dealt to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, held = None, None
+        for batch in few_rows(batches):
+            rows = []
+            for key, guest, strips in zip(batch.column("host"), batch.column("guest"), batch.column("strips")):
+                if guest.is_valid:
+                    rows.append((host, guest.as_py(), *pick(held, np.frombuffer(strips.as_buffer(), np.uint64))))
+                else:
+                    host, held = key.as_py(), np.frombuffer(strips.as_py(), np.uint64)
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()),
+                                                  *[pa.array(c, kind) for c, (_, kind) in zip(columns[2:], found)]], names=["host", "guest", *[n for n, _ in found]])
 
+    salted = pairs.select("host", "guest", F.pmod(F.xxhash64("guest"), F.lit(SALTS)).alias("salt"))
+    hosts = salted.select("host", "salt").distinct().join(sets.withColumnRenamed("node", "host"), "host")
+    guests = salted.join(sets.withColumnRenamed("node", "guest"), "guest")
+    columns = ["host", "salt", "guest", "strips"]
+    dealt = hosts.withColumn("guest", F.lit(None).cast("binary")).select(columns).unionByName(guests.select(columns)).repartition("host", "salt")
+    return dealt.sortWithinPartitions("host", "salt", F.col("guest").asc_nulls_first()).mapInArrow(run, f"host binary, guest binary, {ddl}")
 
-def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The links (a, b) between nodes that classes need, each of ``SIMILARITY`` or more."""
-    nodes = signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = written(nodes, "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (host, guest) that are alike, as links (a, b)."""
+    found = _visited(pairs, sets, _likeness, [("similarity", pa.float64())], "similarity double")
+    return written(found.where(F.col("similarity") >= SIMILARITY).select(F.col("host").alias("a"), F.col("guest").alias("b")), "similar")
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """``key``, ``node``, the bucket's size ``n`` and ``leader``, for buckets of two
+    nodes or more."""
     busy = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("in_it")).where("in_it > 1"), "key"), "busy")
     met = busy.groupBy("node").agg(F.sum("in_it").alias("met"))
     rows = busy.select("key", "node").join(met, "node")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("met")).alias("o"), "node")).alias("leader"))
-    shared = written(rows.select("key", "node").join(buckets.select("key", "n", F.col("leader.node").alias("leader")), "key"), "buckets")
+    return written(rows.select("key", "node").join(buckets.select("key", "n", F.col("leader.node").alias("leader")), "key"), "buckets")
+
+
+def _pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs (host, guest) of different components to compare: all of a small
+    bucket's, and each node of a larger one with its leader."""
+    star = shared.where((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("host"), F.col("node").alias("guest"))
+    small = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # SMALL nodes at most
+    each = small.select("nodes", F.posexplode("nodes").alias("i", "host")).select("host", F.explode(F.slice("nodes", F.col("i") + 2, SMALL)).alias("guest"))
+    pairs = star.unionByName(each).distinct()
+    if roots is None:
+        return pairs
+    return _rooted(_rooted(pairs, roots, "host"), roots, "guest").where("host_root <> guest_root").select("host", "guest")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``<column>_root``: the node's component, or itself."""
+    known = roots.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    return rows.join(known, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after these links are added."""
+    if roots is None:
+        return components(links)
+    between = _rooted(_rooted(links, roots, "a"), roots, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+    moved = components(between)
+    known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(known.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
+def _rarest(frames: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each text of ``frames`` (leader, node, root) the elements of its difference from
+    the leader that a partner must share one of, rarest first: ``part``, with
+    ``apart`` where the text is unlike the leader and a partner of any kind must
+    share it, ``met`` where a partner unlike the leader must, and ``after`` (elements that follow it)."""
+    pairs = frames.select(F.col("leader").alias("host"), F.col("node").alias("guest"))
+    told = _visited(pairs, sets, _difference, [("size", pa.int64()), ("far", pa.int64()), ("unlike", pa.list_(pa.int64()))], "size long, far long, unlike array<long>")
+    told = written(told.select(F.col("host").alias("leader"), F.col("guest").alias("node"), "size", "far", "unlike"), "differences")
+    parts = told.select("leader", "node", F.explode("unlike").alias("part"))
+    often = parts.groupBy("leader", "part").agg(F.count("*").alias("n")).where("n > 1")
+    parts = parts.join(often, ["leader", "part"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    held = F.size("parts")
+    whole = lambda over, by: F.ceil(over / F.lit(by)).cast("int")
+    apart = F.when(F.col("far") > F.col("size"), held - whole(F.col("far") - F.col("size"), 5) + 1).otherwise(0)
+    ranked = told.drop("unlike").join(parts, ["leader", "node"]).join(frames, ["leader", "node"]).withColumns(
+        {"held": held, "first": apart, "any": held - whole(F.col("far") + 1, 9) + 1})
+    each = ranked.withColumn("parts", F.slice("parts", 1, F.greatest(F.lit(0), "first", "any"))).select(
+        "leader", "node", "root", "size", "far", "held", "first", "any", F.posexplode("parts").alias("place", "one"))
+    return written(each.select("leader", "node", "root", "size", "far", F.col("one.part").alias("part"), (F.col("place") < F.col("first")).alias("apart"),
+                               (F.col("place") < F.col("any")).alias("met"), (F.col("held") - F.col("place")).alias("after")), "rarest")
+
+
+def _cut(rarest: DataFrame) -> DataFrame:
+    """The buckets of the next level: texts with one element in common, of more
+    than one component, of which one at least is unlike the leader."""
+    key = F.xxhash64("leader", "part")
+    several = rarest.groupBy(key.alias("key")).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("apart").alias("apart")).where("least <> most and apart")
+    return rarest.select(key.alias("key"), "node").distinct().join(several.select("key"), "key")
+
+
+def _pairs_by_difference(rarest: DataFrame) -> DataFrame:
+    """Pairs of different components that share an element of their differences,
+    at places that leave room for as many as they must share."""
+    side = lambda flag, to: rarest.where(flag).select("leader", "part", *[F.col(c).alias(f"{to}_{c}") for c in ("node", "root", "far", "after", "size")])
+    met = side("apart", "a").join(side("met", "b"), ["leader", "part"])
+    alike = met.where("a_root <> b_root and 9 * least(a_after, b_after) >= a_far + b_far - a_size")
+    return alike.select(F.col("a_node").alias("host"), F.col("b_node").alias("guest")).distinct()
+
+
+def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``node`` and ``root`` for every node that has a link of ``SIMILARITY`` or more."""
+    nodes = signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = written(nodes, "nodes")
+    shared = _buckets(nodes.select("node", F.explode("bands").alias("key")))
     # Only texts that share a bucket are read again, one for each node.
     wanted = shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = docs.select("doc_id", "node", "text").join(wanted.withColumnRenamed("doc_id", "its"), "node").where(F.col("doc_id").eqNullSafe(F.col("its")))
     sets = written(texts.select("node", "text").mapInArrow(_shingled, "node binary, strips binary").groupBy("node").agg(F.first("strips").alias("strips")), "strips")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("strips").alias("x")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("strips").alias("y")), "b")
-        found = both.select("a", "b", "x", "y").mapInArrow(_compared, "a binary, b binary, similarity double")
-        return written(found.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "similar")
-
-    links = compared(_pairs(shared))
-    rooted = shared.where(F.col("n") > SMALL).join(components(links), "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    frames = written(rooted.join(several, "key").where("node <> leader").select("leader", "node", "root").distinct(), "frames")
-    return links.unionByName(compared(_pairs_by_difference(frames, sets)))
+    roots = None
+    for level in range(LEVELS + 1):
+        roots = _merged(roots, _compared(_pairs(shared, roots), sets))
+        rooted = written(_rooted(shared.where(F.col("n") > SMALL), roots, "node").select("key", "node", "leader", F.col("node_root").alias("root")), "rooted")
+        several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+        frames = written(rooted.join(several, "key").where("node <> leader").select("leader", "node", "root").distinct(), "frames")
+        if frames.isEmpty():
+            return roots
+        rarest = _rarest(frames, sets)
+        if level < LEVELS:
+            shared = _buckets(_cut(rarest))
+    return _merged(roots, _compared(_pairs_by_difference(rarest), sets))
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -219,7 +283,7 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def _classes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), node_of(f"`{text}`").alias("node"), text_or_empty(f"`{text}`").alias("text"))
     signed = written(read.mapInArrow(_signed, "doc_id long, node binary, bands array<long>, size long"), "signed")
-    roots = components(near_links(read, signed))
+    roots = near_roots(read, signed)
     rows = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     classes = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.count("*").alias("class_size"))
     same = Window.partitionBy("doc_id", "node").orderBy("root")
@@ -229,10 +293,11 @@ def _classes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class, the smallest identifier's."""
+    """``docs`` with one row of each class, the smallest identifier's; among rows that
+    repeat identifier and text, the one whose columns have the least hash."""
     kept = _classes(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(f"`{doc_id}`").cast("long").alias("_doc"),
                        node_of(f"`{text}`").alias("_same"))
-    one = Window.partitionBy("_same", "_doc").orderBy(F.lit(0))
+    one = Window.partitionBy("_same", "_doc").orderBy(F.md5(F.to_json("_all")))
     joined = rows.join(kept, (F.col("_same") == F.col("_node")) & F.col("_doc").eqNullSafe(F.col("_id")))
     return joined.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_all.*")

@@ -9,7 +9,8 @@ are permuted letter for letter, digit for digit. Digits that stand next to a num
 (an expiry date, a security code) do not hide it: numbers may end, and the search
 goes on, at each group of digits. A
 permutation has no collisions, and the same key gives equal values the same
-pseudonym in every document, so links between documents remain. No value maps to
+pseudonym in every document, so links between documents remain, also between notations
+of a date and between addresses that differ in case. No value maps to
 itself: a permutation moves each number one place along a keyed cycle of them all.
 
 The key must be kept from readers of the result; with it the permutations can be
@@ -17,7 +18,7 @@ undone (``Permutation.invert``).
 
 Defined results: null texts stay null, empty ones empty; texts without such values
 come back unchanged; rows are independent, so null or repeated identifiers do no
-harm; an empty table gives an empty table; other columns are not read.
+harm; very long texts are searched whole; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Permutation:
         self.size = size
         self.left = max(2, int(size**0.5))
         self.right = -(-size // self.left)
-        self.key = hashlib.blake2b(f"{label}:{size}".encode(), key=key[:64], digest_size=32).digest()
+        self.key = hashlib.blake2b(f"{label}:{size}".encode(), key=key if len(key) <= 64 else hashlib.blake2b(key).digest(), digest_size=32).digest()
 
     def _round(self, i: int, half: int, modulus: int) -> int:
         return int.from_bytes(hashlib.blake2b(i.to_bytes(1, "big") + half.to_bytes(16, "big"), key=self.key, digest_size=16).digest(), "big") % modulus
@@ -256,7 +257,7 @@ class Pseudonyms:
             except ValueError:
                 continue
             if FIRST_DAY <= day <= LAST_DAY:
-                d = datetime.date.fromordinal(FIRST_DAY + self.permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date" + mark))
+                d = datetime.date.fromordinal(FIRST_DAY + self.permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
                 if year_first:
                     wide = 2 if value[5] == "0" or len(value) == 10 else 1
                     return f"{d.year}{mark}{d.month:0{wide}d}{mark}{d.day:0{wide}d}", len(value)
@@ -270,8 +271,9 @@ class Pseudonyms:
         held = "".join(re.findall("[A-Za-z0-9]", local))
         if not held:
             return None
-        new = iter(self._mixed(held, f"email {domain.lower()} {re.sub('[A-Za-z0-9]', '_', local)}"))
-        return f"{re.sub('[A-Za-z0-9]', lambda _: next(new), local)}@{domain}", len(m.group())
+        # Addresses that differ in case alone are one, each written in its own case.
+        new = iter(self._mixed(held.lower(), f"email {domain.lower()} {re.sub('[A-Za-z0-9]', '_', local).lower()}"))
+        return f"{re.sub('[A-Za-z0-9]', lambda c: next(new).upper() if c.group().isupper() else next(new), local)}@{domain}", len(m.group())
 
     def secret(self, m: re.Match) -> tuple[str, int]:
         value = m.group()

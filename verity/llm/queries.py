@@ -127,9 +127,9 @@ FROM n
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS body FROM documents
 ), s AS (
-  SELECT doc_id, source, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, md5(body) AS mark, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-         / (greatest(1, floor(10 * length(regexp_replace(body, '[^A-Za-zÀ-ɏ\x20\x09-\x0D]', '', 'g')) / greatest(length(body), 1)))::DOUBLE / 10) AS key
+         / (greatest(1, floor(10 * length(regexp_replace(body, '[^\p{L}\x20\x09-\x0D]', '', 'g')) / greatest(length(body), 1)))::DOUBLE / 10) AS key
   FROM d
 ), t AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
@@ -152,7 +152,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g
 ), p AS (
   SELECT s.doc_id, s.size, e.source_size, e.target, e.epochs, round(e.target - e.epochs * e.source_size)::BIGINT AS budget,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id NULLS LAST, s.size, s.mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - ahead)))::BIGINT AS taken FROM p
