@@ -12,6 +12,12 @@ columns of ``documents``:
 4. mixing: documents repeated, drawn or left out, so that sources meet their targets;
 5. packing: one row per piece of a document in a sequence of 4096 tokens.
 
+Defined results: as the operators have them. Null texts count as empty, and quality
+rules reject documents without words; of rows that repeat identifier and text one
+stays; null identifiers and sources are values of their own; columns beside those of
+``documents`` pass through all stages but the last, whatever their names; an empty
+table gives an empty table.
+
 The quality verdict is estimated from the corpus, so SQL cannot state the rows
 of ``run``; tests/llm holds the stages against brute-force versions instead.
 """
@@ -19,6 +25,7 @@ of ``run``; tests/llm holds the stages against brute-force versions instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 import public_tokenizers
@@ -30,14 +37,18 @@ from verity.llm.shared import cleared, noting, written
 from verity.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_OWN_TABLES: list[str] = []
+# The tables that the last stage of this thread's pipeline wrote for its own use.
+_OWN_TABLES: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
 
 
 def stage(build: Stage) -> Stage:
     @wraps(build)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        cleared(spark, _OWN_TABLES)
-        with noting(_OWN_TABLES):
+        paths = _OWN_TABLES.get()
+        if paths is None:
+            _OWN_TABLES.set(paths := [])
+        cleared(spark, paths)
+        with noting(paths):
             return build(spark, docs, sf_dir)
     return run
 
@@ -79,7 +90,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, build in STAGES:
-        docs = written(build(spark, docs, sf_dir), name)
+    return run_stages(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_stages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages on ``docs``. The run's own tables are its alone, so pipelines
+    may run side by side; none but the result is left."""
+    token = _OWN_TABLES.set([])
+    stages: list[str] = []
+    try:
+        for name, build in STAGES:
+            read, stages = stages, []
+            made = build(spark, docs, sf_dir)
+            with noting(stages):
+                docs = written(made, name)
+            cleared(spark, read)
+        cleared(spark, _OWN_TABLES.get())
+    finally:
+        _OWN_TABLES.reset(token)
     return docs
