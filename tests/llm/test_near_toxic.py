@@ -123,7 +123,7 @@ def test_two_variants_in_one_bucket(spark):
     assert len({r.class_id for r in got}) == 2
 
 
-def test_no_link_lost_without_levels(spark, monkeypatch):
+def test_no_link_lost_whatever_the_number_of_leaders(spark, monkeypatch):
     import random
     r, base, rows = random.Random(8), words(9, 200), []
     for i in range(90):
@@ -132,8 +132,8 @@ def test_no_link_lost_without_levels(spark, monkeypatch):
             if r.random() < 0.15:
                 w[at: at + 3] = [f"{r.randrange(3)}v{at + k}" for k in range(3)]
         rows.append((i, " ".join(w)))
-    for levels in (0, 1, 6):
-        monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    for leaders in (0, 1, 6):
+        monkeypatch.setattr(near_dedup, "LEADERS", leaders)
         got = near_dedup.near_classes(spark.createDataFrame(rows, ["doc_id", "text"])).collect()
         assert Counter((x.doc_id, x.class_id, x.class_size) for x in got) == classes(rows)
 

@@ -18,20 +18,20 @@ Links are found in every bucket of a band without listing all its pairs:
 - in larger ones every node is compared to the bucket's leader, the node that
   shares buckets with most others (the text that copies were made from, if it is
   there), and what is linked is merged;
-- larger buckets that still hold several components are cut into smaller ones by how
-  their texts differ from the leader, with leaders of their own, and so on. Let L be the
-  leader's size, e what a text adds to it, r what it lacks and W = 4e + 5r: it is
-  like the leader if W <= L, and texts x and y are alike if 9g >= Wx + Wy - L, where g
-  is what their differences share. A pair to be found has a text unlike the leader, so g
-  is at least (W + 1) / 9 for either text's partner and (W - L) / 5 for that text: the
-  rarest elements of the differences (all but g - 1) must meet. A bucket of the next
-  level holds the texts that have one such element; one component alone, or
-  texts like the leader alone, make none.
-
-After ``LEVELS`` levels, texts of one bucket and different components that still
-share such an element are paired directly. No step loses a pair of a bucket, and
-the work follows what differences share instead of the square of the bucket:
-variants of a text that are like each other merge as soon as one of them leads.
+- what is not of the leader's component then gets a leader of its own, ``LEADERS``
+  times, so that variants of a text that are like each other merge as soon as one of
+  them leads;
+- larger buckets that still hold several components are joined by how their texts
+  differ from the first leader. Let L be the leader's size, e what a text adds to it, r
+  what it lacks and W = 4e + 5r: it is like the leader if W <= L, and texts x and y are
+  alike if 9g >= Wx + Wy - L, where g is what their differences share. A pair to be
+  found has a text unlike the leader, so g is at least (W + 1) / 9 for either
+  text's partner and (W - L) / 5 for that text: the rarest elements of the differences
+  (all but g - 1) must meet, and at places that leave room for g. Elements that one
+  component alone has, or only texts like the leader, are left out of the join before it.
+
+The latter join loses no pair of a bucket, and its work follows what differences of
+different components share instead of the square of the bucket.
 
 A comparison is the exact weighted Jaccard similarity of the shingles. Classes
 are the connected components of links of 0.8 or more.
@@ -61,7 +61,7 @@ from verity.llm.words import shingles, strips, word_hashes
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 SMALL = 8
-LEVELS = 4
+LEADERS = 3  # further ones of a bucket, before the exact join of what they leave apart
 SALTS = 16  # tasks over which the partners of one text are dealt
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 _CELL, _DART = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -233,12 +233,16 @@ def _rarest(frames: DataFrame, sets: DataFrame) -> DataFrame:
                                (F.col("place") < F.col("any")).alias("met"), (F.col("held") - F.col("place")).alias("after")), "rarest")
 
 
-def _cut(rarest: DataFrame) -> DataFrame:
-    """The buckets of the next level: texts with one element in common, of more
-    than one component, of which one at least is unlike the leader."""
-    key = F.xxhash64("leader", "part")
-    several = rarest.groupBy(key.alias("key")).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("apart").alias("apart")).where("least <> most and apart")
-    return rarest.select(key.alias("key"), "node").distinct().join(several.select("key"), "key")
+def _crossing(rarest: DataFrame) -> DataFrame:
+    """The rows whose element more than one component has, and a text unlike the leader."""
+    several = rarest.groupBy("leader", "part").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("apart").alias("one")).where("least <> most and one")
+    return rarest.join(several.select("leader", "part"), ["leader", "part"])
+
+
+def _of_others(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of large buckets (key, node) that are not of their leader's component."""
+    both = _rooted(_rooted(shared.where(F.col("n") > SMALL), roots, "node"), roots, "leader")
+    return both.where("node_root <> leader_root").select("key", "node")
 
 
 def _pairs_by_difference(rarest: DataFrame) -> DataFrame:
@@ -260,18 +264,19 @@ def near_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "node", "text").join(wanted.withColumnRenamed("doc_id", "its"), "node").where(F.col("doc_id").eqNullSafe(F.col("its")))
     sets = written(texts.select("node", "text").mapInArrow(_shingled, "node binary, strips binary").groupBy("node").agg(F.first("strips").alias("strips")), "strips")
 
-    roots = None
-    for level in range(LEVELS + 1):
-        roots = _merged(roots, _compared(_pairs(shared, roots), sets))
-        rooted = written(_rooted(shared.where(F.col("n") > SMALL), roots, "node").select("key", "node", "leader", F.col("node_root").alias("root")), "rooted")
-        several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        frames = written(rooted.join(several, "key").where("node <> leader").select("leader", "node", "root").distinct(), "frames")
-        if frames.isEmpty():
-            return roots
-        rarest = _rarest(frames, sets)
-        if level < LEVELS:
-            shared = _buckets(_cut(rarest))
-    return _merged(roots, _compared(_pairs_by_difference(rarest), sets))
+    roots = _merged(None, _compared(_pairs(shared, None), sets))
+    left = shared
+    for _ in range(LEADERS):
+        left = _buckets(_of_others(left, roots))
+        if left.isEmpty():
+            break
+        roots = _merged(roots, _compared(_pairs(left, roots), sets))
+    rooted = written(_rooted(shared.where(F.col("n") > SMALL), roots, "node").select("key", "node", "leader", F.col("node_root").alias("root")), "rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    frames = written(rooted.join(several, "key").where("node <> leader").select("leader", "node", "root").distinct(), "frames")
+    if frames.isEmpty():
+        return roots
+    return _merged(roots, _compared(_pairs_by_difference(_crossing(_rarest(frames, sets))), sets))
 
 
 def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
