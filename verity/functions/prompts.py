@@ -166,6 +166,7 @@ SENTIMENT_RETRY = " in positive, negative and neutral is"
 POEM_PROMPT = "generate me a five line poem with words :  '{words}'"
 POEM_RETRY_LINES = ". You did wrong. The total number of lines must be five"
 POEM_RETRY_WORDS = ". Poem must contains defined words"
+POEM_APPEND = "generate me {diff} line poem whose previous line is {line}"
 
 
 def fill(template: str, **cols) -> Column:

@@ -268,24 +268,20 @@ _PROMPTS_SQL = {
 }
 
 
-@register(
-    "p12_p15_sql_prompts",
-    f"""WITH {O.CORPUS},
-firsts AS (SELECT *, list_position({O.lst(X.COMPLEXITY_LEVELS)}, complexity) AS lvl FROM (
+# The samples with the few-shot examples beside them, then their prompts; after ``corpus``.
+PROMPTS_SQL = f"""firsts AS (SELECT *, list_position({O.lst(X.COMPLEXITY_LEVELS)}, complexity) AS lvl FROM (
   SELECT *, row_number() OVER (PARTITION BY complexity ORDER BY ordinal) AS rn FROM corpus) WHERE rn = 1
   AND complexity IN {tuple(X.COMPLEXITY_LEVELS)}),
 picked AS (SELECT * FROM firsts ORDER BY lvl LIMIT 3),
 ex AS (SELECT string_agg({_sql_fill(PR.SQL_FEW_SHOT_EXAMPLE, table_info='table_info', question='question', query='query')},
        '' ORDER BY lvl) AS examples FROM picked),
-c AS (SELECT corpus.*, {_OP_OF} AS op FROM corpus)
-{' UNION ALL '.join(
-    f"SELECT sample_id, '{a}' AS approach, sha256({e}) AS prompt_sha, {O.wc(e)} AS prompt_words FROM c CROSS JOIN ex"
-    for a, e in _PROMPTS_SQL.items())}""",
-)
-def p12_p15_sql_prompts(spark, sf_dir):
-    """P12-P15 (+W3): the prompt of every sample under each SQL approach,
-    as the replay key (sha-256) and its word count. The few-shot block is a
-    one-row table (three examples), broadcast against the corpus."""
+c AS (SELECT corpus.*, {_OP_OF} AS op FROM corpus),
+prompts AS ({' UNION ALL '.join(f"SELECT sample_id, '{a}' AS approach, {e} AS prompt FROM c CROSS JOIN ex" for a, e in _PROMPTS_SQL.items())})"""
+
+
+def sql_prompts(spark, sf_dir):
+    """P12-P15 (+W3): every sample's prompt under each SQL approach. The few-shot
+    block is a one-row table (three examples), broadcast against the corpus."""
     c = X.corpus(spark, sf_dir)
     block = PR.few_shot_block(AN.few_shot_examples(c))
     j = c.withColumn("op", S.infer_operation("query")).crossJoin(F.broadcast(block))
@@ -293,8 +289,18 @@ def p12_p15_sql_prompts(spark, sf_dir):
         F.lit(a).alias("approach"),
         PR.sql_prompt(a, F.col("table_info"), F.col("question"), F.col("op"), F.col("examples")).alias("prompt"))
         for a in X.APPROACHES])
-    return j.select("sample_id", F.explode(prompts).alias("p")).select(
-        "sample_id", "p.approach", F.sha2("p.prompt", 256).alias("prompt_sha"), S.word_count(F.col("p.prompt")).alias("prompt_words"))
+    return j.select("sample_id", F.explode(prompts).alias("p")).select("sample_id", "p.approach", "p.prompt")
+
+
+@register(
+    "p12_p15_sql_prompts",
+    f"""WITH {O.CORPUS}, {PROMPTS_SQL}
+SELECT sample_id, approach, sha256(prompt) AS prompt_sha, {O.wc('prompt')} AS prompt_words FROM prompts""",
+)
+def p12_p15_sql_prompts(spark, sf_dir):
+    """Each prompt as the replay key (SHA-256) and its word count."""
+    return sql_prompts(spark, sf_dir).select(
+        "sample_id", "approach", F.sha2("prompt", 256).alias("prompt_sha"), S.word_count(F.col("prompt")).alias("prompt_words"))
 
 
 def _task_prompt_sql(table, approach):

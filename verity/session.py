@@ -8,6 +8,8 @@ session.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,6 +50,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name for a job's own tables, below ``spark.checkpoint.dir``. Only
+    a local session without one (a test) gets a folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="verity-")
+    return f"{base.rstrip('/')}/verity-{name}-{uuid.uuid4().hex}"
+
+
 # Settings we recommend for a large cluster run (100 TB class); the library
 # never sets them itself. Partitions of ~128 MB keep sorts and hash tables in
 # memory; AQE coalesces small shuffle outputs, splits skewed join partitions
