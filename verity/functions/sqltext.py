@@ -256,27 +256,30 @@ def jaccard(gen_tokens, ref_tokens) -> Column:
 
 
 # --- H5 ---------------------------------------------------------------------
-def ngrams(tokens, n: int) -> Column:
-    """Space-joined n-grams of a token array (empty when too short). Tokens
-    hold no blanks, so the joined string identifies the n-gram. (Measured
-    faster than ``arrays_zip`` of shifted slices, whose struct elements make
-    the later sort and intersect dearer.)"""
-    tokens = _c(tokens)
-    if n == 1:
-        return tokens
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+def word_numbers(tokens) -> Column:
+    """The tokens as 64-bit hashes (two of d distinct ones collide with a chance
+    of d^2 / 2^65): n-grams are built, sorted and matched as numbers."""
+    return F.transform(_c(tokens), lambda w: F.xxhash64(w))
+
+
+def longer_ngrams(shorter, numbers, n: int) -> Column:
+    """The n-grams as numbers from the (n-1)-grams and the words' numbers: each
+    (n-1)-gram with the word after it (none when too short). Pass columns."""
+    shorter, numbers = _c(shorter), _c(numbers)
+    count = F.greatest(F.size(numbers) - n + 1, F.lit(0))
+    return F.zip_with(F.slice(shorter, 1, count), F.slice(numbers, n, count), lambda x, w: F.xxhash64(x, w))
 
 
 def occurrences(sorted_arr) -> Column:
-    """Tag each element of a SORTED array with its occurrence number among
-    equal elements (``a, a, b`` -> ``(a,0), (a,1), (b,0)``), turning a
-    multiset into a set. Pass a column (not an inline expression): a lambda
-    re-evaluates any expression it references once per element."""
+    """Each element of a SORTED array as a number of itself and its occurrence among
+    equal elements (``a, a, b`` -> ``(a,1), (a,2), (b,1)``), turning a
+    multiset into a set that ``array_intersect`` keeps in a hash set of numbers (struct
+    elements would be compared pair by pair). Pass a column (not an inline expression): a
+    lambda re-evaluates any expression it references once per element."""
     srt = _c(sorted_arr)
-    return F.transform(srt, lambda x, i: F.struct(x.alias("v"), (i + 1 - F.array_position(srt, x)).alias("k")))
+    tagged = F.transform(srt, lambda x, i: F.xxhash64(x, i - F.array_position(srt, x)))
+    # Most queries repeat no n-gram: then the elements are their own tags.
+    return F.when(F.size(F.array_distinct(srt)) == F.size(srt), F.transform(srt, lambda x: F.xxhash64(x, F.lit(-1).cast("long")))).otherwise(tagged)
 
 
 def clipped_matches_sorted(cand_sorted, ref_sorted) -> Column:
@@ -286,11 +289,6 @@ def clipped_matches_sorted(cand_sorted, ref_sorted) -> Column:
     return F.size(F.array_intersect(occurrences(cand_sorted), occurrences(ref_sorted)))
 
 
-def clipped_matches(cand, ref) -> Column:
-    """Unstaged form of ``clipped_matches_sorted`` (sorts inline)."""
-    return clipped_matches_sorted(F.array_sort(_c(cand)), F.array_sort(_c(ref)))
-
-
 def bleu_from_counts(matches, cand_counts, g_len, r_len) -> Column:
     """BLEU from clipped match counts and candidate n-gram counts (n = 1..4)
     plus the candidate and reference lengths."""
@@ -311,9 +309,12 @@ def bleu(gen_tokens, ref_tokens) -> Column:
 
     Self-contained Column form for SQL use; ``verity.operators.sqlbench``
     stages the n-gram arrays as columns so each is built once per row."""
-    g, r = _c(gen_tokens), _c(ref_tokens)
-    grams = [(ngrams(g, n), ngrams(r, n)) for n in range(1, BLEU_MAX_N + 1)]
-    return bleu_from_counts([clipped_matches(a, b) for a, b in grams], [F.size(a) for a, _ in grams],
+    g, r = word_numbers(gen_tokens), word_numbers(ref_tokens)
+    cand, ref = [g], [r]
+    for n in range(2, BLEU_MAX_N + 1):
+        cand.append(longer_ngrams(cand[-1], g, n))
+        ref.append(longer_ngrams(ref[-1], r, n))
+    return bleu_from_counts([clipped_matches_sorted(F.sort_array(a), F.sort_array(b)) for a, b in zip(cand, ref)], [F.size(a) for a in cand],
                             F.size(g), F.size(r))
 
 

@@ -70,12 +70,14 @@ def score_pairs(
         S.single_spaced_words(S.normalize_basic(ref)).alias("_rt"),
         tokens.alias("_ntok"),
     )
+    a = a.withColumns({"_gh1": S.word_numbers("_gt"), "_rh1": S.word_numbers("_rt")})
+    for n in rng[1:]:  # one projection each: an n-gram is the (n-1)-gram and a word
+        a = a.withColumns({f"_{side}h{n}": S.longer_ngrams(f"_{side}h{n - 1}", f"_{side}h1", n) for side in "gr"})
     b = a.select(
         "*",
         *[S.clause_text("gen_norm", pat).alias(f"_g_{name}") for name, pat, _ in S.CLAUSES],
         *[S.clause_text("ref_norm", pat).alias(f"_r_{name}") for name, pat, _ in S.CLAUSES],
-        *[F.array_sort(S.ngrams("_gt", n)).alias(f"_gt{n}") for n in rng],
-        *[F.array_sort(S.ngrams("_rt", n)).alias(f"_rt{n}") for n in rng],
+        *[F.sort_array(f"_{side}h{n}").alias(f"_{side}t{n}") for side in "gr" for n in rng],
     )
     c = b.select(
         "*",

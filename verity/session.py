@@ -30,6 +30,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ver
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Larger generated methods are not compiled by the JVM; their expressions are split up then.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("VERITY_DRIVER_MEMORY", "8g"))
     )
     if checkpoint:
@@ -74,6 +76,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.shuffle.partitions": "20000",
     "spark.sql.session.timeZone": "UTC",
 }
