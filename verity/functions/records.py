@@ -1,10 +1,12 @@
 """Financial-record extraction from prose (H21-H23, U7) as Column logic.
 
-A text holds user blocks ``NAME earns ₹N ...`` up to ``. X`` or the end;
-each block yields salary, expenses, investments, savings, loans and debts.
-``regexp_extract_all`` finds the blocks, ``transform`` builds one struct per
-block; maps keep the last amount of a repeated item, built without relying on
-the session's map-key dedup policy.
+A text holds user blocks ``NAME earns ₹N ...`` up to ``. X`` or the end; each
+block yields salary, expenses, investments, savings, loans and debts. Blocks are
+found without a search pattern: a text is split at its block ends, a sentence
+at its markers, and the first marker that can open a block takes the rest of
+its sentence, so a text is read once however long its letter runs are. Maps
+keep the last amount of a repeated item, built without relying on the session's
+map-key dedup policy.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from verity.functions.sqltext import _c, strip, words
 #   debts        ([\w\s]+) debt of ₹([\d,]+)
 # Amounts drop "₹" and "," before the integer parse.
 # ---------------------------------------------------------------------------
-BLOCK = r"(?dU)([A-Za-z\s]+) earns ₹([\d,]+) .+?(?=\. [A-Za-z]|$)"
 SALARY = r"(?U)earns ₹([\d,]+)"
 EXPENSES = r"(?U)spends ₹([\d,]+)"
 INVESTED = r"(?dU)invested ₹([\d,]+) in ([^,\.]+)"
 SAVINGS = r"(?dU)savings of ₹([\d,]+) in ([^,\.]+)"
-LOAN = r"(?U)([\w\s]+) loan of ₹([\d,]+)"
-DEBT = r"(?U)([\w\s]+) debt of ₹([\d,]+)"
+# An item begins where a run of words or the rest of one after a match begins, so no run is tried twice.
+LOAN = r"(?U)(?:\G|(?<![\w\s]))([\w\s]+) loan of ₹([\d,]+)"
+DEBT = r"(?U)(?:\G|(?<![\w\s]))([\w\s]+) debt of ₹([\d,]+)"
 RECORD_SCHEMA = (
     "array<struct<name:string,salary:bigint,expenses:bigint,investments:map<string,bigint>,"
     "debts:map<string,bigint>,loans:map<string,bigint>,savings:bigint>>"
@@ -72,38 +74,91 @@ def user_record(block: Column, name: Column) -> Column:
 
 
 MARKER = " earns ₹"  # literal every block contains
+_END = r"\.(?= [A-Za-z])"
+_NAME_LAST = r"(?U)[A-Za-z\s]\z"
+_NAME_REVERSED = r"(?U)^[A-Za-z\s]+"
+_AMOUNT_FIRST = r"(?U)^[\d,]+( |\z)"  # a next marker begins with the blank
+_AMOUNT_AND_REST = r"(?U)^[\d,]+ ."
+_AMOUNT_ALONE = r"(?U)^[\d,]+ \z"
+FOUND_TYPE = "array<struct<name:string,block:string>>"
 
 
-def _guarded(text, group: int) -> Column:
-    # The block pattern backtracks over every letter run of a long text; a
-    # plain substring test skips texts that cannot hold a block at all.
-    t = _c(text)
-    return F.when(t.contains(MARKER), F.regexp_extract_all(t, F.lit(BLOCK), group)).otherwise(
-        F.array().cast("array<string>"))
+def _first_block(sentence: Column, i: Column) -> Column:
+    """The block that a sentence opens, or null: its place, name and text, and
+    whether it ends right after its amount (``open``: a block needs one more
+    character, so it takes the next sentence too)."""
+    def of(parts):
+        last = F.size(parts) - 1
+
+        def usable(j):
+            after = F.get(parts, j)
+            return F.get(parts, j - 1).rlike(_NAME_LAST) & F.when(j < last, after.rlike(_AMOUNT_FIRST)).otherwise(
+                after.rlike(_AMOUNT_AND_REST) | after.rlike(_AMOUNT_ALONE))
+
+        def after_break(broken):
+            # No line break may follow the marker, so only those after the last one count.
+            return F.array_min(F.filter(F.sequence(F.lit(1), last), lambda j: (j > broken) & usable(j)))
+
+        def block(j):
+            name = F.reverse(F.regexp_extract(F.reverse(F.get(parts, j - 1)), _NAME_REVERSED, 0))
+            return F.when(j.isNotNull(), F.struct(
+                i.alias("i"), name.alias("name"),
+                F.concat(name, F.lit(MARKER), F.array_join(F.slice(parts, j + 1, last - j + 1), MARKER)).alias("block"),
+                ((j == last) & F.get(parts, j).rlike(_AMOUNT_ALONE)).alias("open")))
+
+        breaks = F.array_max(F.transform(parts, lambda p, j: F.when((j > 0) & p.contains("\n"), j).otherwise(0)))
+        return _let(_let(breaks, after_break), block)
+
+    return F.when(sentence.contains(MARKER), _let(F.split(sentence, MARKER, -1), of))
+
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (a lambda would repeat it)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def blocks(text) -> Column:
-    return _guarded(text, 0)
 
+def _joined(sentences: Column, heads: Column) -> Column:
+    """Blocks where some are open: in order, a sentence that an open block took opens none."""
+    start = F.struct(F.lit(0).alias("free"), F.array().cast(FOUND_TYPE).alias("found"))
+
+    def step(acc, h):
+        following = F.get(sentences, h["i"] + 1)
+        closes = following.isNotNull() & ~F.coalesce(following.contains("\n"), F.lit(False))
+        text = F.when(h["open"], F.concat(h["block"], F.lit("."), following)).otherwise(h["block"])
+        taken = F.struct(F.when(h["open"], h["i"] + 2).otherwise(acc["free"]).alias("free"),
+                         F.array_append(acc["found"], F.struct(h["name"].alias("name"), text.alias("block"))).alias("found"))
+        return F.when((h["i"] >= acc["free"]) & (~h["open"] | closes), taken).otherwise(acc)
+
+    return F.aggregate(heads, start, step, lambda acc: acc["found"])
+
+
+def user_blocks(text) -> Column:
+    """Name and text of each user block, in order; null for a null text."""
+    t = _c(text)
+    # The end of a text lies before one last line break.
+    whole = F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t)
+
+    def of(sentences):
+        heads = F.filter(F.transform(sentences, _first_block), lambda h: h.isNotNull())
+        return _let(heads, lambda hs: F.when(F.exists(hs, lambda h: h["open"]), _joined(sentences, hs)).otherwise(
+            F.transform(hs, lambda h: F.struct(h["name"].alias("name"), h["block"].alias("block")))))
 
-def block_names(text) -> Column:
-    return _guarded(text, 1)
+    return F.when(t.contains(MARKER), _let(F.split(whole, _END, -1), of)).when(t.isNotNull(), F.array().cast(FOUND_TYPE))
 
 
-def users_from(blocks_col: str, names_col: str) -> Column:
-    """H22 over staged block and name arrays."""
-    return F.transform(F.col(blocks_col),
-                       lambda b, i: user_record(b, F.element_at(F.col(names_col), (i + 1).cast("int"))))
+def users_from(found_col: str) -> Column:
+    """H22 over staged blocks."""
+    return F.transform(F.col(found_col), lambda f: user_record(f["block"], f["name"]))
 
 
-def missing_spends(blocks_col: str) -> Column:
+def missing_spends(found_col: str) -> Column:
     """Strict reading: a block without 'spends' fails the whole request."""
-    return F.exists(F.col(blocks_col), lambda b: ~b.rlike(EXPENSES))
+    return F.exists(F.col(found_col), lambda f: ~f["block"].rlike(EXPENSES))
 
 
-def loan_or_debt_present(blocks_col: str) -> Column:
+def loan_or_debt_present(found_col: str) -> Column:
     """Strict (compat) reading: any loan/debt match fails the request."""
-    return F.exists(F.col(blocks_col), lambda b: b.rlike(LOAN) | b.rlike(DEBT))
+    return F.exists(F.col(found_col), lambda f: f["block"].rlike(LOAN) | f["block"].rlike(DEBT))
 
 
 def schema_violations(users_col: str) -> Column:

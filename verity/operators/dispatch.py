@@ -25,8 +25,7 @@ def dispatch(requests: DataFrame, answer=None) -> DataFrame:
         "*",
         RQ.route(task).alias("controller"),
         F.when(task.isin("translation", "sentiment"), T.split_sentences(text)).alias("_sent"),
-        F.when(task == "json", R.blocks(text)).alias("_blocks"),
-        F.when(task == "json", R.block_names(text)).alias("_names"),
+        F.when(task == "json", R.user_blocks(text)).alias("_found"),
     )
     lang_ok = RQ.is_supported_language(F.col("target_language"))
     op_ok = RQ.is_supported_operation(F.col("operation"))
@@ -37,7 +36,7 @@ def dispatch(requests: DataFrame, answer=None) -> DataFrame:
         F.size(F.filter(sent_labels, lambda x: x == "positive")).alias("positive"),
         F.size(F.filter(sent_labels, lambda x: x == "negative")).alias("negative"),
         F.size(F.filter(sent_labels, lambda x: x == "neutral")).alias("neutral")))
-    users = R.users_from("_blocks", "_names")
+    users = R.users_from("_found")
     sql_out = S.clean_sql(ans(text))
     poem_kw = T.keywords(text)
     poem = ans(text)
@@ -46,7 +45,7 @@ def dispatch(requests: DataFrame, answer=None) -> DataFrame:
         .when(task == "translation", F.when(lang_ok, translated).otherwise(
             RQ.unsupported_language_message(F.col("target_language"))))
         .when(task == "sentiment", counts)
-        .when(task == "json", F.when(~R.missing_spends("_blocks") & F.col("date").isNotNull(),
+        .when(task == "json", F.when(~R.missing_spends("_found") & F.col("date").isNotNull(),
                                      F.to_json(F.struct(F.col("date"), users.alias("users")))))
         .when(task == "sql", F.when(op_ok, sql_out))
         .when(task == "poem", poem)

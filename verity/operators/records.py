@@ -1,5 +1,6 @@
 """The financial JSON job (extract -> wrap with date -> validate -> count)
-over a table of (date, text) requests; per row, no shuffle."""
+over a table of (date, text[, schema]) requests. Per row, without a shuffle; with
+a schema column, one join to the rules of the distinct schemas."""
 
 from __future__ import annotations
 
@@ -7,28 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verity.functions import records as R
+from verity.operators import json_schema as J
 
 
-def process_financial_data(df: DataFrame, date: str = "date", text: str = "text", strict: bool = False) -> DataFrame:
+def process_financial_data(df: DataFrame, date: str = "date", text: str = "text", strict: bool = False,
+                           schema: str | None = None) -> DataFrame:
     """Adds ``users`` (H22), ``violations`` (H23), ``status``, ``code``,
     ``error`` and ``tokens_used`` (input words + words of the response's
     Python repr, computed by formula). ``strict=True`` reproduces the
     reference's failures (a block without 'spends', or any loan/debt match,
-    fails the request with code 500)."""
-    staged = df.withColumn("_blocks", R.blocks(text)).withColumn("_names", R.block_names(text))
-    out = staged.withColumn("users", R.users_from("_blocks", "_names"))
-    out = out.withColumn("violations", R.schema_violations("users"))
-    fail500 = R.missing_spends("_blocks")
+    fails the request with code 500).
+
+    ``schema`` names a column with each request's own JSON Schema (see
+    ``json_schema``): null gives code 400, one that is not JSON code 500. Without
+    it the route's usual schema is checked. A null text has no users: code 400."""
+    asked = J.with_rules(df, schema, "_rules") if schema else df
+    staged = asked.withColumn("_found", R.user_blocks(F.col(f"`{text}`")))
+    out = staged.withColumn("users", R.users_from("_found"))
+    missing = [(date, F.col(f"`{date}`").isNull()), (text, F.col(f"`{text}`").isNull())]
+    fail500 = F.coalesce(R.missing_spends("_found"), F.lit(False))
     if strict:
-        fail500 = fail500 | R.loan_or_debt_present("_blocks")
+        fail500 = fail500 | F.coalesce(R.loan_or_debt_present("_found"), F.lit(False))
+    if schema:
+        missing.append((schema, F.col(f"`{schema}`").isNull()))
+        out = out.withColumn("_facts", J.response_facts(F.col(f"`{date}`"), F.col("users")))
+        out = out.withColumn("violations", J.violations("_rules", "_facts"))
+        fail500 = fail500 | (F.col(f"`{schema}`").isNotNull() & F.col("_rules").isNull())
+    else:
+        out = out.withColumn("violations", R.schema_violations("users"))
+    any_missing = missing[0][1]
+    for _, absent in missing[1:]:
+        any_missing = any_missing | absent
     bad_schema = F.size("violations") > 0
-    code = F.when(fail500, F.lit(500)).when(bad_schema | F.col(date).isNull(), F.lit(400)).otherwise(F.lit(200))
-    err = (F.when(fail500, F.lit("extraction failed"))
-           .when(F.col(date).isNull(), F.lit("Schema validation failed: 'date' is a required property"))
-           .when(bad_schema, F.concat(F.lit("Schema validation failed: "), F.array_join("violations", "; "))))
-    tokens = F.when(code == 200, R.input_tokens(text) + R.output_tokens(F.col(date), "users")).otherwise(F.lit(0))
+    code = F.when(fail500, F.lit(500)).when(any_missing | bad_schema, F.lit(400)).otherwise(F.lit(200))
+    err = F.when(fail500, F.lit("extraction failed"))
+    for name, absent in missing:
+        err = err.when(absent, F.lit(f"Schema validation failed: '{name}' is a required property"))
+    err = err.when(bad_schema, F.concat(F.lit("Schema validation failed: "), F.array_join("violations", "; ")))
+    tokens = F.when(code == 200, R.input_tokens(F.col(f"`{text}`")) + R.output_tokens(F.col(f"`{date}`"), "users")).otherwise(F.lit(0))
     return out.select(
-        *[c for c in df.columns], "users", "violations",
+        *[F.col(f"`{c}`") for c in df.columns], "users", "violations",
         F.when(code == 200, F.lit("success")).otherwise(F.lit("error")).alias("status"),
         code.alias("code"), err.alias("error"), tokens.cast("bigint").alias("tokens_used"),
     )

@@ -29,5 +29,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every query module so their ``@register`` calls run."""
     from verity.plans import (  # noqa: F401
-        q_analytics, q_replay, q_requests, q_sqlbench, q_streaming, q_text, q_workload,
+        q_analytics, q_financial, q_replay, q_requests, q_sqlbench, q_streaming, q_text, q_workload,
     )

@@ -1,17 +1,14 @@
 """Registered stream-shaped and model-call queries: R2 (its batch form; the
-stream itself is exercised in tests), U1 (mapInPandas echo client) and U7
-(financial JSON job)."""
+stream itself is exercised in tests) and U1 (mapInPandas echo client)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from verity.operators import inference as INF
-from verity.operators import records as REC
 from verity.plans import oracle as O
 from verity.plans.catalog import register
 from verity.sources import fixtures as X
-from verity.sources.tables import table
 from verity.streaming.usage import usage_per_window
 
 
@@ -46,13 +43,3 @@ def u1_batch_inference(spark, sf_dir):
     r = X.recorded_responses(spark, sf_dir).select("conv_id", "turn", "prompt")
     g = INF.generate(r, "prompt", picky_client_factory)
     return g.select("conv_id", "turn", "response", F.col("error"))
-
-
-@register("u7_financial_json")
-def u7_financial_json(spark, sf_dir):
-    """U7 over every document as a JSON-route request (look-ahead in the
-    block pattern keeps it out of DuckDB's RE2; the README golden case is a
-    unit test)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("2024-01-01").alias("date"), "text")
-    out = REC.process_financial_data(d)
-    return out.select("doc_id", F.size("users").alias("n_users"), "status", "code", "tokens_used")

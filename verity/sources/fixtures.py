@@ -235,3 +235,64 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 5 != 0, F.lit("2024-01-01")).alias("date"),
         F.when(F.col("conv_id") % 7 != 0, F.lit("{}")).alias("schema_json"),
     )
+
+
+# Schemas of financial requests, choices of our own: the route's usual one, one with
+# limits and a field nobody has, one that wants another type.
+FINANCIAL_SCHEMAS = (
+    '{"type":"object","required":["date","users"],"properties":{"users":{"type":"array","items":{"type":"object",'
+    '"required":["name","salary","expenses"],"properties":{"salary":{"type":"integer","minimum":0}}}}}}',
+    '{"type":"object","properties":{"users":{"type":"array","items":{"required":["name","pension"],"properties":'
+    '{"salary":{"type":"number","minimum":50000,"maximum":400000},"loans":{"type":"object","additionalProperties":'
+    '{"type":"integer","maximum":9000}}}}}}}',
+    '{"type":"object","properties":{"date":{"type":"string"},"users":{"items":{"properties":{"salary":{"type":"string"},'
+    '"savings":{"minimum":1}}}}}}',
+    "{not json",
+)
+
+
+def _grouped(n: Column) -> Column:
+    """An amount with one comma before its last three digits."""
+    return F.when(n < 1000, n.cast("string")).otherwise(
+        F.concat(F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0")))
+
+
+def financial_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON-route request per order: prose on the ordering customer's
+    segment in one of eight forms, a date that some lack, and a schema."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    n = F.floor(F.col("o_totalprice")).cast("bigint")
+    who = F.concat(F.initcap(F.lower("c_mktsegment")), F.lit(" Buyer"))
+    key = F.col("o_orderkey")
+
+    def said(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    tenth, few = F.floor(n / 10).cast("bigint"), (n % 17000).cast("bigint")
+    plain = said(who, " earns ₹", _grouped(n), " a year, spends ₹", _grouped(tenth), ", and invested ₹", _grouped(few), " in Bonds, with savings of ₹5 in cash")
+    owing = said("Clerk of ", who, " earns ₹", _grouped(tenth), " and spends ₹10. Owes nothing. The Agent earns ₹", _grouped(n), " or so, spends ₹", _grouped(few),
+                 ", has a car loan of ₹", _grouped(few), " and Home loan of ₹7,000, a card debt of ₹12, and a card debt of ₹13")
+    forms = (
+        said("In short. ", plain, ". ", owing, "."),
+        said(owing, ". End of it"),
+        said(plain, ". Someone earns ₹", _grouped(n), " and saves"),
+        said(who, " earns ₹9 on\nmany days, spends ₹1. ", plain),
+        said(who, " earns ₹", _grouped(n), " when Partner earns ₹5 and spends ₹4. ", plain, "\n"),
+        said(who, " earns ₹", _grouped(n), " . Later it spends ₹", _grouped(tenth), ". ", owing),
+        said("The order of ", who, " is worth ₹", _grouped(n), ". Nobody earns money"),
+        said(who, " earns ₹x, but Other earns ₹", _grouped(n), " and spends ₹3"),
+    )
+    return j.select(
+        key.alias("request_id"),
+        F.when(key % 5 != 4, F.lit("2024-01-01")).alias("date"),
+        F.when(key % 97 != 96, _pick_column(forms, key % 8)).alias("text"),
+        F.when(key % 11 != 10, _pick(FINANCIAL_SCHEMAS, F.when(key % 13 == 12, 3).otherwise(key % 3))).alias("schema_json"),
+    )
+
+
+def _pick_column(values, idx: Column) -> Column:
+    out = F.when(idx == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(idx == i, v)
+    return out
