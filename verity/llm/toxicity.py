@@ -51,6 +51,7 @@ REPORTS = frozenset("said says say called calls wrote writes claimed claims repo
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“«„]")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]{4,}")
+_LETTERS = re.compile(r"[^\W\d_]+")
 PATTERNS = tuple((kind, mood) for kind in "IH" for mood in ("plain", "targeted", "denied", "reported"))
 
 Symbol = tuple[str, frozenset]
@@ -99,15 +100,17 @@ class Grammar:
 
     def __init__(self, arcs: dict[str, float]) -> None:
         self.arcs = arcs
-        stems = sorted(map(re.escape, arcs), key=len, reverse=True)
-        self.stem = re.compile("|".join(stems) or "(?!)")
-        self.seek = re.compile(r"(?<![^\W\d_])(?:" + "|".join([*stems, *[f"{t}(?![^\\W\\d_])" for t in sorted(THREATS)]]) + ")")
+        self.lengths = sorted({len(a) for a in arcs}, reverse=True)
+
+    def stem(self, word: str) -> str | None:
+        """The arc that the word begins with; no arc is the beginning of another."""
+        return next((word[:k] for k in self.lengths if word[:k] in self.arcs), None)
 
     def symbol(self, word: str) -> Symbol:
-        found = self.stem.match(word)
+        found = self.stem(word)
         kind = "I" if found else "H" if word in THREATS else "N" if word in NEGATIONS else "T" if word in TARGETS else \
             "R" if word in REPORTS or word in "\"“«„" else "O"
-        return (kind + found.group() if found else kind), frozenset()
+        return (kind + found if found else kind), frozenset()
 
     def matches(self, clause: str) -> list[tuple[str, str, float]]:
         """(kind, mood, weight) of each insult or threat in the clause."""
@@ -123,9 +126,11 @@ class Grammar:
     def features(self, text: str) -> list[float]:
         """Sums of weights by pattern, their density, the strongest clause and the number of matched clauses."""
         low, at, sums, strongest, clauses = text.lower(), 0, dict.fromkeys(PATTERNS, 0.0), 0.0, 0
-        for hit in self.seek.finditer(low):
-            if hit.start() < at:
-                continue  # in a clause that is done
+        # Each different word is looked up once; places are sought only in texts that hold one.
+        hits = {w for w in set(_LETTERS.findall(low)) if w in THREATS or self.stem(w)}
+        for hit in _LETTERS.finditer(low) if hits else ():
+            if hit.start() < at or hit.group() not in hits:
+                continue  # in a clause that is done, or no arc
             ends = [m for m in (low.rfind(c, at, hit.start()) for c in ".!?;\n") if m >= 0]
             close = _CLAUSE_END.search(low, hit.end())
             at = close.end() if close else len(low)
