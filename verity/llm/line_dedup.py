@@ -38,6 +38,8 @@ ALIKE = 0.7
 MIN_REPEATS = 2
 MIN_TEXTS = 3
 MIN_TOKENS = 3
+# A token with a digit, read from its start, once and without going back.
+FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -46,11 +48,11 @@ def line_table(docs: DataFrame) -> DataFrame:
     tokens, variable fields as one. Short hashes are only held against the few
     constant tokens of one place of one leaf."""
     # The hash is made below the explosion, once a text.
-    bodies = docs.select("mark", "text", F.xxhash64(F.regexp_replace("text", SPACE, "")).alias("body"))
+    # The same holds for the mark of variable fields, which never spans lines.
+    bodies = docs.select("mark", F.regexp_replace("text", FIELD, "0").alias("text"), F.xxhash64(F.regexp_replace("text", SPACE, "")).alias("body"))
     lines = bodies.select("mark", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     tokens = lines.select("mark", "body", "at", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("words")).where(F.size("words") >= MIN_TOKENS)
-    masked = tokens.select("mark", "body", "at", F.transform("words", lambda w: F.when(w.rlike("[0-9]"), "0").otherwise(w)).alias("words"))
-    return masked.select("mark", "body", "at", F.transform("words", lambda w: F.hash(w)).alias("tokens"), F.xxhash64(F.lit("own"), "words").alias("own"),
+    return tokens.select("mark", "body", "at", F.transform("words", lambda w: F.hash(w)).alias("tokens"), F.xxhash64(F.lit("own"), "words").alias("own"),
                          F.xxhash64(F.size("words"), *[F.get("words", F.lit(i)) for i in range(DEPTH)]).alias("leaf"))
 
 
