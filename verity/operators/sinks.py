@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -16,10 +17,41 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_log_epoch(df: DataFrame, epoch: int, path: str) -> None:
+    """The log rows of one epoch of a stream, in a folder of their own: an
+    epoch that is replayed after a failure replaces what it had written."""
+    (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch").parquet(path))
+
+
+def run_log_stream(log: DataFrame, path: str, checkpoint: str, request_id: str = "request_id", ts: str = "ts",
+                   delay: str = "1 hour") -> StreamingQuery:
+    """S4/U8 as a stream: each request is logged once, however often its row comes
+    within ``delay`` of the newest one; rows older than that are late and dropped
+    (the state is bounded by the same delay). Null identifiers count as one request."""
+    once = log.withWatermark(ts, delay).dropDuplicatesWithinWatermark([request_id])
+    return (once.writeStream.foreachBatch(lambda batch, epoch: write_log_epoch(batch, epoch, path))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def write_results(df: DataFrame, path: str, partition_by: str = "run_id") -> None:
     """Results as JSON lines, one folder per run (file-name fields of
-    the reference become the partition column)."""
-    df.write.mode("append").partitionBy(partition_by).json(path)
+    the reference become the partition column). A rerun replaces its own run's
+    folder and no other."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).json(path)
+
+
+def results_tree(summary: DataFrame, keys: tuple[str, ...] = ("model", "complexity", "approach"), run_id: str = "run_id") -> DataFrame:
+    """The nested results of each run: a map by the first key of maps by the
+    next ones, with a struct of the other columns in the leaves. Cells of a run are
+    few (models x levels x approaches). A null key is named ``unknown``; of cells with equal keys
+    the greatest stays."""
+    leaf = [c for c in summary.columns if c not in (*keys, run_id)]
+    rows = summary.select(run_id, *[F.coalesce(F.col(k).cast("string"), F.lit("unknown")).alias(k) for k in keys], F.struct(*leaf).alias("tree"))
+    rows = rows.groupBy(run_id, *keys).agg(F.max("tree").alias("tree"))
+    for depth in range(len(keys) - 1, -1, -1):
+        rows = rows.groupBy(run_id, *keys[:depth]).agg(F.map_from_entries(F.collect_list(F.struct(keys[depth], "tree"))).alias("tree"))
+    return rows
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:
