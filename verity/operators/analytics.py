@@ -237,21 +237,56 @@ def replay(calls: DataFrame, recorded: DataFrame, keys: Sequence[str]) -> DataFr
     return j.select(*keys, "response", err.alias("error"))
 
 
+SECTIONS = {"approaches": ("model", "approach"), "task_specific": ("model", "task_type", "approach"),
+            "input_length_impact": ("model", "input_length", "approach")}
+
+
+def general_report(runs: DataFrame, models: Sequence[str]) -> DataFrame:
+    """U10 in one pass over the facts: the means of A2, A3 and A4 by grouping
+    sets, one row per cell with its ``section``. ``best_<metric>`` marks the model
+    that A5/A6 pick among the cells of other models, ``<metric>_vs_raw`` is A7's
+    improvement over the raw cell (null for raw itself and where there is none).
+    Windows run over the cells only. Null keys are keys of their own, told apart
+    from absent ones by ``section``; an empty table gives no rows."""
+    keys = ("model", "task_type", "input_length", "approach")
+    cells = general_facts(runs).groupingSets([list(s) for s in SECTIONS.values()], *keys).agg(
+        F.when(F.grouping("task_type") == 0, "task_specific").when(F.grouping("input_length") == 0, "input_length_impact")
+        .otherwise("approaches").alias("section"),
+        avg6("time_s").alias("time"), avg6("tokens").alias("tokens"), avg6("retries").alias("retries"), F.count(F.lit(1)).alias("count"))
+    across = Window.partitionBy("section", "task_type", "input_length", "approach")
+    own = Window.partitionBy("section", "model", "task_type", "input_length")
+    best = [(F.row_number().over(across.orderBy(m, _ordinal("model", models))) == 1).alias(f"best_{m}") for m in GENERAL_METRICS]
+    raw = [F.max(F.when(F.col("approach") == "raw", F.col(m))).over(own).alias(f"{m}_base") for m in GENERAL_METRICS]
+    gain = [F.when(F.col("approach") != "raw", improvement_pct(F.col(f"{m}_base"), F.col(m))).alias(f"{m}_vs_raw") for m in GENERAL_METRICS]
+    wide = cells.select("section", *keys, *GENERAL_METRICS, "count", *best, *raw)
+    return wide.select("section", *keys, *GENERAL_METRICS, "count", *[f"best_{m}" for m in GENERAL_METRICS], *gain)
+
+
 def run_general_benchmark(runs: DataFrame, models: Sequence[str]) -> dict[str, DataFrame]:
-    """The general benchmark's metric tables from one fact table —
+    """The general benchmark's metric tables, cut from ``general_report``:
     per-approach means (A2), per-task means (A3), input-length impact (A4),
-    best models (A5, A6) and improvements over raw (A7). The fact table is
-    read once per output; persist it first when all are materialised."""
-    approach = model_means(runs, ("model", "approach"))
-    task = model_means(runs, ("model", "task_type", "approach"), count=True)
+    best models (A5, A6) and improvements over raw (A7). Write the report
+    first when several are materialised: the facts are then read once."""
+    report = general_report(runs, models)
+
+    def section(name, *columns):
+        return report.filter(F.col("section") == name).select(*columns)
+
+    def best(name, keys, metrics):
+        marked = section(name, *keys, "model", *metrics, *[f"best_{m}" for m in metrics])
+        stacked = marked.select(*keys, "model", F.expr("stack({n}, {args}) as (metric, value, best)".format(
+            n=len(metrics), args=", ".join(f"'{m}', `{m}`, best_{m}" for m in metrics))))
+        return stacked.filter("best").select("metric", *keys, F.col("model").alias("best_model"), F.col("value").alias("best_value"))
+
     return {
-        "approaches": approach,
-        "task_specific": task,
-        "input_length_impact": model_means(runs, ("model", "input_length", "approach")).select(
-            "model", "input_length", "approach", "time", "tokens"),
-        "best_performing": best_model(approach, models, ["approach"], GENERAL_METRICS),
-        "task_specific_best": best_model(task, models, ["task_type", "approach"], ["time"]),
-        "improvement_percentages": improvements_vs_raw(approach),
+        "approaches": section("approaches", "model", "approach", *GENERAL_METRICS),
+        "task_specific": section("task_specific", "model", "task_type", "approach", *GENERAL_METRICS, "count"),
+        "input_length_impact": section("input_length_impact", "model", "input_length", "approach", "time", "tokens"),
+        "best_performing": best("approaches", ["approach"], GENERAL_METRICS),
+        "task_specific_best": best("task_specific", ["task_type", "approach"], ["time"]),
+        "improvement_percentages": report.filter((F.col("section") == "approaches") & (F.col("approach") != "raw")).select(
+            "model", F.concat(F.col("approach"), F.lit("_vs_raw")).alias("comparison"),
+            *[F.col(f"{m}_vs_raw").alias(m) for m in GENERAL_METRICS]),
     }
 
 

@@ -75,6 +75,30 @@ def a7_improvement_vs_raw(spark, sf_dir):
     return A.improvements_vs_raw(A.model_means(X.runs(spark, sf_dir), ("model", "approach")))
 
 
+_U10_KEYS = "section, task_type, input_length"
+_U10_RAW = ", ".join(f"max(CASE WHEN approach = 'raw' THEN {m} END) OVER (PARTITION BY {_U10_KEYS}, model) AS {m}_base" for m in ("time", "tokens", "retries"))
+_U10_BEST = ", ".join(f"row_number() OVER (PARTITION BY {_U10_KEYS}, approach ORDER BY {m}, list_position({O.lst(GM)}, model)) = 1 AS best_{m}"
+                      for m in ("time", "tokens", "retries"))
+_U10_GAIN = ", ".join(f"CASE WHEN approach = 'raw' THEN NULL WHEN {m}_base = 0 THEN 0.0 ELSE round(({m}_base - {m}) / {m}_base * 100, 2) END AS {m}_vs_raw"
+                      for m in ("time", "tokens", "retries"))
+
+
+def _u10_section(name: str, task: str, length: str, by: str) -> str:
+    return (f"SELECT '{name}' AS section, model, {task} AS task_type, {length} AS input_length, approach, {O.avg6('time_s')} AS time, "
+            f"{O.avg6('tok')} AS tokens, {O.avg6('retries')} AS retries, count(*) AS count FROM f GROUP BY {by}")
+
+
+@register("u10_general_benchmark", f"""{_RUNS}, f AS (SELECT *, CASE WHEN error IS NULL THEN tokens ELSE 0 END AS tok FROM runs),
+cells AS ({_u10_section('approaches', 'NULL', 'NULL', 'model, approach')}
+  UNION ALL {_u10_section('task_specific', 'task_type', 'NULL', 'model, task_type, approach')}
+  UNION ALL {_u10_section('input_length_impact', 'NULL', 'input_length', 'model, input_length, approach')}),
+wide AS (SELECT *, {_U10_RAW}, {_U10_BEST} FROM cells)
+SELECT section, model, task_type, input_length, approach, time, tokens, retries, count, best_time, best_tokens, best_retries, {_U10_GAIN} FROM wide""")
+def u10_general_benchmark(spark, sf_dir):
+    """A2-A7's tables as one report, from one scan of the facts."""
+    return A.general_report(X.runs(spark, sf_dir), GM)
+
+
 _GRID3 = "grid(model, task_type, approach) AS (SELECT * FROM (VALUES {}) )".format(
     ", ".join(f"({O.q(m)}, {O.q(t)}, {O.q(a)})" for m in GM for t in X.TASKS for a in X.APPROACHES))
 
