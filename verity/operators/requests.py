@@ -87,3 +87,18 @@ def latest_status(events: DataFrame, key: str, status: Column, order: Sequence[s
 def available_models(reg: DataFrame) -> DataFrame:
     """The registry's model keys."""
     return reg.select("model_key")
+
+
+def parse_bodies(df: DataFrame, body: str, fields: str, out: str = "parsed") -> DataFrame:
+    """Request bodies read with a schema (``fields``, as in ``from_json``);
+    a body that cannot be read is a row with an ``error``, never a failed job.
+    Errors, in this order: a null body, one that is not JSON (broken, truncated,
+    empty), one that is no object, one with a value of another type; fields
+    that can be read are kept in the last case. Absent fields are null."""
+    text = F.col(f"`{body}`")
+    read = F.from_json(text, f"{fields}, _unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    rows = df.withColumn("_read", read)
+    error = (F.when(text.isNull(), "missing body").when(F.try_parse_json(text).isNull(), "malformed JSON")
+             .when(~F.ltrim(text).startswith("{"), "not an object").when(F.col("_read._unread").isNotNull(), "wrong type"))
+    kept = F.when(error.isNull() | (error == "wrong type"), F.col("_read").dropFields("_unread"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], kept.alias(out), error.alias("error"))

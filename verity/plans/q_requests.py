@@ -141,6 +141,25 @@ def s12_json_parse(spark, sf_dir):
     return ev.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@register("s12_malformed_bodies", """WITH b AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN replace(props, ': ', ': "x') || '"'
+       WHEN 2 THEN replace(replace(props, ': ', ': "v'), '}', '"}') WHEN 3 THEN '[' || props || ']' WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN '' END ELSE props END AS body FROM events),
+j AS (SELECT event_id, body, CASE WHEN json_valid(body) THEN body END AS good FROM b)
+SELECT event_id, CASE WHEN json_type(good) = 'OBJECT' THEN TRY_CAST(json_extract(good, '$.k') AS BIGINT) END AS k,
+       CASE WHEN body IS NULL THEN 'missing body' WHEN good IS NULL THEN 'malformed JSON' WHEN json_type(good) <> 'OBJECT' THEN 'not an object'
+            WHEN json_type(good, '$.k') = 'VARCHAR' THEN 'wrong type' END AS error FROM j""")
+def s12_malformed_bodies(spark, sf_dir):
+    """Event bodies, most of them truncated, broken, of another type, in a
+    list, empty or missing: each with its value or its error."""
+    props, n = F.col("props"), F.col("event_id")
+    body = (F.when(n % 7 == 0, F.left(props, F.length(props) - 1))
+            .when(n % 7 == 1, F.concat(F.replace(props, F.lit(": "), F.lit(': "x')), F.lit('"')))
+            .when(n % 7 == 2, F.replace(F.replace(props, F.lit(": "), F.lit(': "v')), F.lit("}"), F.lit('"}')))
+            .when(n % 7 == 3, F.concat(F.lit("["), props, F.lit("]")))
+            .when(n % 7 == 4, F.when(n % 2 == 0, F.lit(""))).otherwise(props))
+    out = RQ.parse_bodies(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "body", "k bigint")
+    return out.select("event_id", F.col("parsed.k").alias("k"), "error")
+
+
 # --- replayed retry policies ---------------------------------------------------
 _LABEL_SQL = ("CASE WHEN contains(lower(response), 'positive') THEN 'positive' "
               "WHEN contains(lower(response), 'negative') THEN 'negative' "
