@@ -23,11 +23,11 @@ def test_report_worked_by_hand(spark):
     r = process_financial_data(df).first()
     assert (r.status, r.code) == ("success", 200)
     users = [u.asDict() for u in r.users]
-    # "₹61,000, " has no blank after the digits and commas run out at the blank: "61,000," is the amount.
+    # "61,000," is an amount too: its run of digits and commas ends at the blank.
     assert [(u["name"], u["salary"], u["expenses"]) for u in users] == [("Mira Holt", 940000, 210000), ("Ole Berg", 61000, 7), ("Una Roy", 88, 80)]
     assert users[0]["investments"] == {"tea": 75000} and users[0]["savings"] == 8000
     assert users[2]["loans"] == {"owes a boat": 450} and users[2]["debts"] == {"and a shop": 12}
-    # 57 words in; out 3 + 3 users of 14 + one blank in each name, and 1 + 3 + 3 more for the filled maps' words.
+    # The words in, and out: 3, 14 for each of 3 users, a blank in each name, 1 + 3 + 3 more for the filled maps.
     assert r.tokens_used == len(REPORT.split()) + 3 + 3 * 14 + 3 + 1 + 3 + 3
 
 
