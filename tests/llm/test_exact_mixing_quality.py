@@ -128,3 +128,12 @@ def test_mix_does_not_depend_on_the_order_of_rows(spark):
     assert plans[0] == plans[1]
     sliced = spark.createDataFrame([("слово и текст",)], ["t"]).select(mixing.quality(mixing.F.col("t"))).first()[0]
     assert sliced == 1.0
+
+
+def test_variety_votes_alike_at_every_size(spark):
+    """Few different words are a bad vote in long texts as in short ones, and prose,
+    whose vocabulary grows slower than its length, is never voted bad for its length."""
+    rows = [(n, k, " ".join(f"word{(i * i + i) % k if i >= k else i}" for i in range(n))) for n in (100, 1_000, 20_000) for k in (int(n**0.5), int(n**0.9))]
+    seen = quality.with_features(spark.createDataFrame(rows, "n long, k long, text string"), "text")
+    got = {(r.n, r.k): r.v for r in seen.select("n", "k", quality.votes(seen["_f"])["variety"].alias("v")).collect()}
+    assert got == {(n, k): k > n**0.7 for n, k, _ in rows}

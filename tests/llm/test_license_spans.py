@@ -51,3 +51,12 @@ def test_notices_over_several_lines():
     notice = ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
               " * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint main() {}")
     assert [matcher(n).best(notice)[0] for n in SIZES] == ["MPL-2.0"] * 3 and matcher(10_000).best(notice)[1] > 0.9
+
+
+def test_rulers_and_links_between_cue_and_wording():
+    """Words are counted, not characters: nothing that is no word hides a licence."""
+    m = matcher(10_000)
+    for gap in ("-" * 3000, " " * 5000 + "\n" * 50, "https://example.org/" + "/".join("~" * 900) + " "):
+        for text in (f"Copyright 2024 Jane Doe\n{gap}\nReleased under the MIT License.", f"{gap}Released under the MIT{gap} License.{gap}",
+                     f"Permission is hereby granted,{gap} free of charge, to any person obtaining a copy of this software"):
+            assert m.best(text)[0] == "MIT" and m.best(text)[1] >= licenses.THRESHOLD, text[:60]

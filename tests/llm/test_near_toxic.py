@@ -144,3 +144,17 @@ def test_kept_row_among_equals_is_always_the_same(spark):
     for drop in (near_dedup.drop_near_copies, exact_dedup.drop_copies):
         kept = {drop(spark.createDataFrame(some, ["doc_id", "text", "source"]).repartition(n)).first().source for some, n in ((rows, 1), (rows[::-1], 4))}
         assert len(kept) == 1
+
+
+def test_training_rows_that_repeat_an_identifier(spark):
+    """Identifiers that many rows share: no row limit decides which are seen, so the
+    order of rows changes no score."""
+    texts = [f"you utter blockhead number {i}, go away" if i % 2 else f"a calm walk along the river, day {i}" for i in range(300)]
+    rows = [(i % 40, t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    scores = []
+    for some, n in ((rows, 1), (rows[::-1], 5)):
+        got = toxicity.toxicity(spark.createDataFrame(some, "doc_id long, text string").repartition(n), labels, training_rows=25).collect()
+        scores.append(sorted((r.doc_id, r.score) for r in got))
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]] and max(abs(a - b) for (_, a), (_, b) in zip(*scores)) < 1e-9
+    assert len({round(s, 6) for _, s in scores[0]}) > 1

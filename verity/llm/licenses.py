@@ -13,7 +13,8 @@
    nearest directory above it: its path is joined to all its ancestors, and the
    deepest one that has a licence file wins.
 
-Defined results: null and empty texts have no licence of their own but inherit;
+Defined results: null and empty texts have no licence of their own but inherit; very
+long texts are read whole, and words round a cue are counted however far apart they stand;
 a null path has no ancestors; of several licence files in one directory the one
 with the highest cosine, then the smallest path, counts; repeated rows come back
 as often as given; an empty table gives an empty table; other columns are not read.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -76,10 +77,9 @@ def segments(text: str) -> Iterator[str]:
         if end is None or hit.start() > end:
             if end is not None:
                 yield text[start:end]
-            start = max(end or 0, hit.start() - 20 * WINDOW)
-            before = [m.start() + start for m in _WORD.finditer(text[start: hit.start()])]
-            start = before[-WINDOW] if len(before) > WINDOW else start
-        far = [m.end() for m in islice(_WORD.finditer(text, hit.start(), hit.end() + 20 * WINDOW), WINDOW)]
+            before = deque((m.start() for m in _WORD.finditer(text, end or 0, hit.start())), maxlen=WINDOW)
+            start = before[0] if len(before) == WINDOW else end or 0
+        far = [m.end() for m in islice(_WORD.finditer(text, hit.start()), WINDOW)]
         end = max(end or 0, far[-1] if far else hit.end(), hit.end())
     if end is not None:
         yield text[start:end]

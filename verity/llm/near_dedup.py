@@ -127,8 +127,9 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def node_of(text: str) -> Column:
-    """What texts that are equal word for word share."""
-    return F.unhex(F.md5(F.trim(F.regexp_replace(text_or_empty(text), SPACE, " "))))
+    """What texts that are equal word for word share. Never null, so that a join need
+    not compute it once more to leave nulls out."""
+    return F.coalesce(F.unhex(F.md5(F.trim(F.regexp_replace(text_or_empty(text), SPACE, " ")))), F.lit(b""))
 
 
 def _likeness(host: np.ndarray, guest: np.ndarray) -> tuple[float]:

@@ -9,7 +9,9 @@ Only patterns and their counts reach the driver: at most 3 to the power of the
 number of rules, whatever the number of documents. All features are built-in
 expressions on the row; nothing is shuffled but the patterns.
 
-Defined results: a null or empty text has no words and fails the base rules;
+Defined results: a null or empty text has no words and fails the base rules; very
+long texts are counted whole and judged by the same rules as short ones; rows with
+equal votes, and so ties, get equal verdicts;
 every row is judged alone, so null identifiers and repeated rows are as good as
 any; an empty table gives an empty table; the columns of ``docs`` pass through
 ``good_documents`` whatever their names.
@@ -32,6 +34,8 @@ MAX_REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
 ROUNDS = 40
 FALSE_ALARM = 0.02
+# Different words grow with a power of the number of words; prose of any length lies above the first one.
+GOOD_VARIETY, BAD_VARIETY = 0.8, 0.7
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,7 +94,7 @@ def votes(f: Column) -> dict[str, Column]:
         "word_length": rule(f["word_chars"].between(3 * words, 9 * words), ~f["word_chars"].between(2 * words, 14 * words)),
         "upper_case": rule(f["n_upper"] <= 0.15 * letters, f["n_upper"] > 0.4 * letters),
         "closed_lines": rule(f["n_closed_lines"] >= 0.5 * lines, (f["n_lines"] >= 4) & (f["n_closed_lines"] < 0.1 * lines)),
-        "variety": rule(f["n_kinds"] >= 0.25 * words, (f["n_words"] < 2000) & (f["n_kinds"] < 0.15 * words)),
+        "variety": rule(f["n_kinds"] >= F.pow(words, F.lit(GOOD_VARIETY)), f["n_kinds"] < F.pow(words, F.lit(BAD_VARIETY))),
         "shouts": rule(f["n_shouts"] <= 0.05 * words, f["n_shouts"] > 0.2 * words),
         "bare_words": rule(f["n_bare"] <= 0.05 * words, f["n_bare"] > 0.2 * words),
         "letters": rule(f["n_letters"] >= 0.85 * f["word_chars"], f["n_letters"] < 0.7 * f["word_chars"]),

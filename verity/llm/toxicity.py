@@ -14,8 +14,13 @@ of matched clauses, by logistic regression; never from isolated words.
 
 Learned from labels (training rows alone): the insult arcs, as word beginnings
 whose rows are more often labelled toxic, with log odds as weights, and the
-regression. Both use at most ``TRAINING_ROWS`` labelled rows, taken in the order
-of a hash of the identifier. Every document is scored whole.
+regression. Both use at most ``TRAINING_ROWS`` labelled identifiers, taken in the
+order of a hash; the lexicon has ``STEMS`` arcs at most, the size of the model.
+Every document is scored whole.
+
+Long texts are read clause by clause, whole; of rows that repeat a labelled
+identifier the regression takes one, that of the smallest hash of its text, so ties
+do not depend on the order of rows.
 
 Defined results: null and empty texts get the score of a text without matches;
 without usable labels the score is 0.5 everywhere; null identifiers are never
@@ -178,9 +183,11 @@ def learn_arcs(rows: DataFrame, stems: int = STEMS) -> dict[str, float]:
     best = counts.where("stem <> ''").select("stem", odds.alias("odds"), gain.alias("gain"), (F.col("t") * odds).alias("evidence")).where(
         (F.col("odds") > 1) & (F.col("gain") >= MIN_GAIN))
     arcs: dict[str, float] = {}
-    for r in best.orderBy(F.desc("evidence"), F.desc(F.length("stem")), "stem").limit(50 * stems).collect():
-        if len(arcs) < stems and not any(r["stem"].startswith(a) or a.startswith(r["stem"]) for a in arcs):
+    for r in best.orderBy(F.desc("evidence"), F.desc(F.length("stem")), "stem").toLocalIterator():  # read as far as needed
+        if not any(r["stem"].startswith(a) or a.startswith(r["stem"]) for a in arcs):
             arcs[r["stem"]] = r["odds"]
+        if len(arcs) >= stems:
+            break
     return arcs
 
 
@@ -214,9 +221,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     marked = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("toxic")).dropna()
     marked = marked.where(fold != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)  # so many rows at most: it may be broadcast
-    training = read.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    training = read.join(F.broadcast(sample), "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "text", "toxic")
     grammar = Grammar(learn_arcs(training))
-    seen = training.mapInArrow(_with_features(grammar, ["toxic"]), "toxic int, found array<double>").limit(2 * training_rows).toArrow()
+    read_out = training.mapInArrow(_with_features(grammar, ["doc_id", "mark", "toxic"]), "doc_id long, mark long, toxic int, found array<double>")
+    seen = read_out.groupBy("doc_id").agg(F.min(F.struct("mark", "found", "toxic")).alias("row")).select("row.found", "row.toxic").toArrow()  # a row an identifier of the sample
     x, y = np.array(seen.column("found").to_pylist(), float), seen.column("toxic").to_numpy()
     weights = fit(x, y) if len(set(y.tolist())) == 2 else np.zeros(len(grammar.features("")) + 1)
 
