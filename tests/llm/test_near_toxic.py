@@ -1,5 +1,6 @@
 """Near-dedup against all pairs, the toxicity grammar on held-out rows."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -158,3 +159,18 @@ def test_training_rows_that_repeat_an_identifier(spark):
         scores.append(sorted((r.doc_id, r.score) for r in got))
     assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]] and max(abs(a - b) for (_, a), (_, b) in zip(*scores)) < 1e-9
     assert len({round(s, 6) for _, s in scores[0]}) > 1
+
+
+def test_each_clause_is_read_once():
+    """Against a word-by-word reading of one clause at a time: a clause that follows a
+    matched one starts where that one ends."""
+    g = toxicity.Grammar({"idiot": 2.0, "moron": 3.0})
+    for text in ("you idiot. he is a moron; they said idiot, never mind", "idiot\nmoron\nidiot", "not an idiot! you said: moron? \"idiot\" you moron", "calm. kill you; quiet."):
+        found = [m for clause in toxicity._CLAUSE_END.split(text) for m in g.matches(clause)]
+        sums = Counter()
+        for kind, mood, weight in found:
+            sums[kind, mood] += weight
+        assert [round(math.expm1(x), 9) for x in g.features(text)[: len(toxicity.PATTERNS)]] == [sums[p] for p in toxicity.PATTERNS]
+    assert [m[1] for m in g.matches("you a b c idiot a b c d e idiot")] == ["targeted", "plain"]
+    assert [m[1] for m in g.matches("not a b idiot not a b c idiot")] == ["denied", "plain"]
+    assert [m[1] for m in g.matches("idiot a b c you said a b c d e f moron")] == ["targeted", "reported"]

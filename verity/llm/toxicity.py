@@ -60,44 +60,46 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 PATTERNS = tuple((kind, mood) for kind in "IH" for mood in ("plain", "targeted", "denied", "reported"))
 
 Symbol = tuple[str, frozenset]
-Transducer = Callable[[int, Symbol], tuple[Symbol, int]]
 
 
 def _mark(symbol: Symbol, mood: str) -> Symbol:
     return symbol[0], symbol[1] | {mood}
 
 
-def negation(state: int, symbol: Symbol) -> tuple[Symbol, int]:
-    if symbol[0] == "N":
-        return symbol, NEGATION_SPAN
-    return (_mark(symbol, "denied") if state and symbol[0] in "IH" else symbol), max(state - 1, 0)
+class Transducer:
+    """Marks insults and threats with ``mood`` while its state is up. ``starts``
+    raises the state to ``span``; any other symbol lowers it by one, or leaves it
+    where ``span`` is None (up to the end of the clause)."""
 
+    def __init__(self, starts: str, mood: str, span: int | None) -> None:
+        self.starts, self.mood, self.span = starts, mood, span
 
-def reporting(state: int, symbol: Symbol) -> tuple[Symbol, int]:
-    if symbol[0] == "R":
-        return symbol, 1
-    return (_mark(symbol, "reported") if state and symbol[0] in "IH" else symbol), state
+    def step(self, state: int, gap: int, symbol: Symbol) -> tuple[Symbol, int]:
+        """Reads ``gap`` words that are no symbol of the grammar, then ``symbol``."""
+        if symbol[0] == self.starts:
+            return symbol, self.span or 1
+        state = state if self.span is None else max(state - gap, 0)
+        return (_mark(symbol, self.mood) if state and symbol[0] in "IH" else symbol), state if self.span is None else max(state - 1, 0)
 
 
-def targeting(state: int, symbol: Symbol) -> tuple[Symbol, int]:
-    if symbol[0] == "T":
-        return symbol, TARGET_SPAN
-    return (_mark(symbol, "targeted") if state and symbol[0] in "IH" else symbol), max(state - 1, 0)
+NEGATION, REPORTING = Transducer("N", "denied", NEGATION_SPAN), Transducer("R", "reported", None)
+TARGETING = Transducer("T", "targeted", TARGET_SPAN)
 
 
-def composed(*parts: Transducer) -> Callable[[list[Symbol]], list[Symbol]]:
-    """The output of each part is the input of the next, symbol by symbol."""
-    def run(symbols: list[Symbol]) -> list[Symbol]:
+def composed(*parts: Transducer) -> Callable[[list[tuple[int, Symbol]]], list[Symbol]]:
+    """The output of each part is the input of the next, symbol by symbol; each
+    symbol comes with the number of other words before it."""
+    def run(symbols: list[tuple[int, Symbol]]) -> list[Symbol]:
         states, out = [0] * len(parts), []
-        for symbol in symbols:
+        for gap, symbol in symbols:
             for i, part in enumerate(parts):
-                symbol, states[i] = part(states[i], symbol)
+                symbol, states[i] = part.step(states[i], gap, symbol)
             out.append(symbol)
         return out
     return run
 
 
-_FORWARD, _BACKWARD = composed(negation, reporting, targeting), composed(targeting)
+_FORWARD, _BACKWARD = composed(NEGATION, REPORTING, TARGETING), composed(TARGETING)
 
 
 class Grammar:
@@ -106,40 +108,46 @@ class Grammar:
     def __init__(self, arcs: dict[str, float]) -> None:
         self.arcs = arcs
         self.lengths = sorted({len(a) for a in arcs}, reverse=True)
+        self.shortest = min(self.lengths, default=0)
+        self.heads = {a[: self.shortest] for a in arcs}
+        kinds = (("R", REPORTS | set("\"“«„")), ("T", TARGETS), ("N", NEGATIONS), ("H", THREATS))  # the last one counts
+        self.kinds = {w: kind for kind, words in kinds for w in words}
 
     def stem(self, word: str) -> str | None:
         """The arc that the word begins with; no arc is the beginning of another."""
+        if word[: self.shortest] not in self.heads:
+            return None
         return next((word[:k] for k in self.lengths if word[:k] in self.arcs), None)
 
-    def symbol(self, word: str) -> Symbol:
-        found = self.stem(word)
-        kind = "I" if found else "H" if word in THREATS else "N" if word in NEGATIONS else "T" if word in TARGETS else \
-            "R" if word in REPORTS or word in "\"“«„" else "O"
-        return (kind + found if found else kind), frozenset()
-
     def matches(self, clause: str) -> list[tuple[str, str, float]]:
         """(kind, mood, weight) of each insult or threat in the clause."""
-        read = [self.symbol(w) for w in _TOKEN.findall(clause)]
-        marked = _BACKWARD(_FORWARD([(s[0][:1], s[1]) for s in read])[::-1])[::-1]
+        at, weights, read = [], [], []
+        words = _TOKEN.findall(clause)
+        for i, word in enumerate(words):
+            found = self.stem(word)
+            kind = "I" if found else self.kinds.get(word)
+            if kind:
+                at.append(i)
+                weights.append(self.arcs[found] if found else 1.0)
+                read.append((kind, frozenset()))
+        gaps = [b - a - 1 for a, b in zip([-1, *at], at)]
+        forward = _FORWARD(list(zip(gaps, read)))[::-1]
+        marked = _BACKWARD(list(zip([0, *gaps[:0:-1]], forward)))[::-1]
         out = []
-        for (full, _), (kind, moods) in zip(read, marked):
+        for weight, (kind, moods) in zip(weights, marked):
             if kind in "IH":
-                mood = next((m for m in ("denied", "reported", "targeted") if m in moods), "plain")
-                out.append((kind, mood, self.arcs[full[1:]] if kind == "I" else 1.0))
+                out.append((kind, next((m for m in ("denied", "reported", "targeted") if m in moods), "plain"), weight))
         return out
 
     def features(self, text: str) -> list[float]:
         """Sums of weights by pattern, their density, the strongest clause and the number of matched clauses."""
-        low, at, sums, strongest, clauses = text.lower(), 0, dict.fromkeys(PATTERNS, 0.0), 0.0, 0
-        # Each different word is looked up once; places are sought only in texts that hold one.
+        low, sums, strongest, clauses = text.lower(), dict.fromkeys(PATTERNS, 0.0), 0.0, 0
+        # Each different word is looked up once; clauses are read only in texts that hold a match.
         hits = {w for w in set(_LETTERS.findall(low)) if w in THREATS or self.stem(w)}
-        for hit in _LETTERS.finditer(low) if hits else ():
-            if hit.start() < at or hit.group() not in hits:
-                continue  # in a clause that is done, or no arc
-            ends = [m for m in (low.rfind(c, at, hit.start()) for c in ".!?;\n") if m >= 0]
-            close = _CLAUSE_END.search(low, hit.end())
-            at = close.end() if close else len(low)
-            found = self.matches(low[max(ends, default=-1) + 1: at])
+        for clause in _CLAUSE_END.split(low) if hits else ():
+            if hits.isdisjoint(_LETTERS.findall(clause)):
+                continue
+            found = self.matches(clause)
             for kind, mood, weight in found:
                 sums[kind, mood] += weight
             clauses += bool(found)
