@@ -83,6 +83,10 @@ BLEU_MAX_N = 4
 FLOAT_MIN = 2.2250738585072014e-308
 
 U = "(?U)"
+# The characters of ``(?U)\\s``, for ``trim``.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Runs of white space that are not one plain blank.
+_RUNS = U + r" \s+|[\s&&[^ ]]\s*"
 
 
 def _c(col) -> Column:
@@ -91,7 +95,17 @@ def _c(col) -> Column:
 
 def strip(col) -> Column:
     """Python ``str.strip()``: drop leading and trailing whitespace."""
-    return F.regexp_replace(_c(col), U + r"^\s+|\s+$", "")
+    return F.trim(_c(col), F.lit(WHITE))
+
+
+def single_spaced(col) -> Column:
+    """Each run of white space as one blank."""
+    return F.regexp_replace(_c(col), _RUNS, " ")
+
+
+def _is_ascii(col) -> Column:
+    """Whether ``(?U)`` makes no difference to a pattern on this text."""
+    return F.octet_length(_c(col)) == F.char_length(_c(col))
 
 
 def words(col) -> Column:
@@ -113,11 +127,10 @@ def normalize_basic(col) -> Column:
     those rules can never match: once the first three ran, every ``>`` and
     ``<`` is followed by a blank and every ``=`` preceded by one (so
     ``a>=5`` -> ``a > = 5``). They are omitted as provable no-ops."""
-    q = F.lower(_c(col))
-    q = strip(F.regexp_replace(q, U + r"\s+", " "))
+    q = strip(single_spaced(F.lower(_c(col))))
     q = F.regexp_replace(q, ";$", "")
-    for op in OPERATORS[:3]:  # = < > are literals in Java regex
-        q = F.regexp_replace(q, U + r"\s*" + op + r"\s*", f" {op} ")
+    for op in OPERATORS[:3]:  # = < > are literals in Java regex; only blanks are left of white space
+        q = F.regexp_replace(q, f" *{op} *", f" {op} ")
     return q
 
 
@@ -136,15 +149,18 @@ def normalize_advanced(col) -> Column:
     ``fn (`` -> ``fn(`` for the five aggregates. No final trim."""
     c = _c(col)
     q = strip(F.lower(c))
-    q = F.regexp_replace(q, U + r"\s+", " ")
+    q = single_spaced(q)
     q = F.regexp_replace(q, ";$", "")
     q = F.regexp_replace(q, "`([^`]*)`", "$1")
     q = F.regexp_replace(q, '"([^"]*)"', "$1")
-    q = F.regexp_replace(q, U + r"\binner\s+join\b", "join")
-    q = F.regexp_replace(q, U + r"\b(left|right|full)\s+join\b", "$1 join")
-    q = F.regexp_replace(q, U + r"\b(group|order)\s+by\b", "$1 by")
-    q = F.regexp_replace(q, U + r"\b(\w+)\s+as\s+(\w+)", "$1 $2")
-    q = F.regexp_replace(q, U + r"\b(count|sum|avg|max|min)\s*\(", "$1(")
+    # Only blanks are left of white space. A pattern begins with what is rare and looks back
+    # from there; words one blank apart are squeezed already.
+    q = F.regexp_replace(q, U + r"inner(?<=\binner) +join\b", "join")
+    q = F.regexp_replace(q, U + r" (?<=\b(?:left|right|full) ) +join\b", " join")
+    q = F.regexp_replace(q, U + r" (?<=\b(?:group|order) ) +by\b", " by")
+    # A word that the alias before has taken is not taken again.
+    q = F.regexp_replace(q, U + r"(?!\G) (?<=\w ) *as +(\w+)", " $1")
+    q = F.regexp_replace(q, U + r" (?<=\b(?:count|sum|avg|max|min) ) *\(", "(")
     return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(q)
 
 
@@ -175,7 +191,8 @@ def token_efficiency(token_count) -> Column:
 
 # --- H7 ---------------------------------------------------------------------
 def clause_text(norm, pattern: str) -> Column:
-    return strip(F.regexp_extract(_c(norm), "(?iU)" + pattern, 1))
+    c = _c(norm)
+    return strip(F.when(_is_ascii(c), F.regexp_extract(c, "(?i)" + pattern, 1)).otherwise(F.regexp_extract(c, "(?iU)" + pattern, 1)))
 
 
 def clause_score(name: str, g: Column, r: Column) -> Column:
@@ -234,10 +251,22 @@ def component_match(gen_norm, ref_norm) -> Column:
 # --- H8 ---------------------------------------------------------------------
 def structural_similarity(gen_norm, ref_norm) -> Column:
     """H8: share of the 16 structural flags on which both forms agree."""
-    same = F.lit(0)
-    for pat in STRUCTURES:
-        same = same + (_c(gen_norm).rlike(U + pat) == _c(ref_norm).rlike(U + pat)).cast("int")
-    return same / F.lit(float(len(STRUCTURES)))
+    return structure_agreement(structure_flags(gen_norm), structure_flags(ref_norm))
+
+
+def structure_flags(norm) -> Column:
+    """The 16 structural flags of a form as the bits of one number. A pattern is tried
+    where its word occurs."""
+    c, flags = _c(norm), F.lit(0)
+    for i, pat in enumerate(STRUCTURES):
+        has = c.contains(pat[2:].split("\\")[0])
+        flags = flags + F.when(has & F.when(_is_ascii(c), c.rlike(pat)).otherwise(c.rlike(U + pat)), F.lit(1 << i)).otherwise(F.when(c.isNotNull(), F.lit(0)))
+    return flags
+
+
+def structure_agreement(gen_flags, ref_flags) -> Column:
+    differ = F.bit_count(_c(gen_flags).bitwiseXOR(_c(ref_flags)))
+    return (F.lit(len(STRUCTURES)) - differ) / F.lit(float(len(STRUCTURES)))
 
 
 # --- X1 / X2 ----------------------------------------------------------------
@@ -282,6 +311,19 @@ def occurrences(sorted_arr) -> Column:
     return F.when(F.size(F.array_distinct(srt)) == F.size(srt), F.transform(srt, lambda x: F.xxhash64(x, F.lit(-1).cast("long")))).otherwise(tagged)
 
 
+def sorted_if_repeating(arr) -> Column:
+    """The sorted array where it repeats an element, else null. Pass a column."""
+    a = _c(arr)
+    return F.when(F.size(F.array_distinct(a)) < F.size(a), F.sort_array(a))
+
+
+def clipped_matches(cand, ref, cand_sorted, ref_sorted) -> Column:
+    """Sum over distinct candidate n-grams of min(count in cand, count in ref): where
+    either side repeats none (``sorted_if_repeating`` is null), what both have. Pass columns."""
+    c, r = _c(cand_sorted), _c(ref_sorted)
+    return F.when(c.isNotNull() & r.isNotNull(), clipped_matches_sorted(c, r)).otherwise(F.size(F.array_intersect(_c(cand), _c(ref))))
+
+
 def clipped_matches_sorted(cand_sorted, ref_sorted) -> Column:
     """Sum over distinct candidate n-grams of min(count in cand, count in ref)
     from sorted n-gram arrays: the size of the intersection of the

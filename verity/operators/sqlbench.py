@@ -21,6 +21,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verity.functions import sqltext as S
+from verity.operators.partitioning import spread
 from verity.sources.fixtures import APPROACHES, COMPLEXITY_LEVELS
 
 SCORE_COLUMNS = ("exact_match", "execution_match", "component_match", "token_efficiency", "semantic_similarity")
@@ -40,6 +41,29 @@ def avg6(c) -> Column:
     return F.round(F.avg(c.cast("decimal(28,8)")), 6).cast("double")
 
 
+def _side_forms(df: DataFrame, query: str, side: str) -> DataFrame:
+    """What scoring needs of one side of a pair (``side``: g or r), staged: normal forms,
+    then words, then n-grams (each the (n-1)-gram and a word), clause texts and flags.
+    The basic form has a projection of its own: split and compared with '', it would be
+    made twice."""
+    norm = {"g": "gen_norm", "r": "ref_norm"}[side]
+    a = df.withColumns({norm: S.normalize_advanced(query), f"_{side}b": S.normalize_basic(query)})
+    a = a.withColumns({f"_{side}t": S.single_spaced_words(f"_{side}b")}).drop(f"_{side}b")
+    a = a.withColumns({f"_{side}h1": S.word_numbers(f"_{side}t")})
+    for n in range(2, S.BLEU_MAX_N + 1):
+        a = a.withColumns({f"_{side}h{n}": S.longer_ngrams(f"_{side}h{n - 1}", f"_{side}h1", n)})
+    rng = range(1, S.BLEU_MAX_N + 1)
+    a = a.withColumns({f"_{side}s{n}": S.sorted_if_repeating(f"_{side}h{n}") for n in rng})
+    return a.withColumns({f"_{side}_flags": S.structure_flags(norm),
+                          **{f"_{side}_{name}": S.clause_text(norm, pat) for name, pat, _ in S.CLAUSES}})
+
+
+def reference_forms(samples: DataFrame, reference: str = "reference") -> DataFrame:
+    """``samples`` with what ``score_pairs`` needs of their reference queries, so that a
+    reference with many responses is read once (``prepared=True``)."""
+    return _side_forms(samples, reference, "r")
+
+
 def score_pairs(
     df: DataFrame,
     generated: str = "generated",
@@ -47,6 +71,7 @@ def score_pairs(
     similarity: str = "bleu",
     token_count: Column | None = None,
     detail: bool = False,
+    prepared: bool = False,
 ) -> DataFrame:
     """H9 composite score of each (generated, reference) pair.
 
@@ -56,38 +81,23 @@ def score_pairs(
     expression referenced more than once, so each is built once per row (the
     reference renormalises each pair three times). ``token_count`` counts the
     generated text's tokens (default: whitespace words; pass a BPE counter to
-    match a tokenizer).
+    match a tokenizer). ``prepared``: ``df`` has the columns of ``reference_forms``.
     """
-    gen, ref = F.col(generated), F.col(reference)
+    gen = F.col(generated)
     tokens = token_count if token_count is not None else S.word_count(gen)
     rng = range(1, S.BLEU_MAX_N + 1)
-    base = df.columns
-    a = df.select(
-        "*",
-        S.normalize_advanced(gen).alias("gen_norm"),
-        S.normalize_advanced(ref).alias("ref_norm"),
-        S.single_spaced_words(S.normalize_basic(gen)).alias("_gt"),
-        S.single_spaced_words(S.normalize_basic(ref)).alias("_rt"),
-        tokens.alias("_ntok"),
-    )
-    a = a.withColumns({"_gh1": S.word_numbers("_gt"), "_rh1": S.word_numbers("_rt")})
-    for n in rng[1:]:  # one projection each: an n-gram is the (n-1)-gram and a word
-        a = a.withColumns({f"_{side}h{n}": S.longer_ngrams(f"_{side}h{n - 1}", f"_{side}h1", n) for side in "gr"})
-    b = a.select(
-        "*",
-        *[S.clause_text("gen_norm", pat).alias(f"_g_{name}") for name, pat, _ in S.CLAUSES],
-        *[S.clause_text("ref_norm", pat).alias(f"_r_{name}") for name, pat, _ in S.CLAUSES],
-        *[F.sort_array(f"_{side}h{n}").alias(f"_{side}t{n}") for side in "gr" for n in rng],
-    )
+    base = [c for c in df.columns if not prepared or (c != "ref_norm" and not c.startswith("_r"))]
+    a = (df if prepared else reference_forms(df, reference)).withColumn("_ntok", tokens)
+    b = _side_forms(a, generated, "g")
     c = b.select(
         "*",
-        *[S.clipped_matches_sorted(f"_gt{n}", f"_rt{n}").alias(f"_m{n}") for n in rng],
+        *[S.clipped_matches(f"_gh{n}", f"_rh{n}", f"_gs{n}", f"_rs{n}").alias(f"_m{n}") for n in rng],
         *[F.when(F.col(f"_r_{name}") != "", S.clause_score(name, F.col(f"_g_{name}"), F.col(f"_r_{name}")))
           .alias(f"_s_{name}") for name, _, _ in S.CLAUSES],
     )
     if similarity == "bleu":
         sim = S.bleu_from_counts(
-            [F.col(f"_m{n}") for n in rng], [F.size(f"_gt{n}") for n in rng], F.size("_gt"), F.size("_rt")
+            [F.col(f"_m{n}") for n in rng], [F.size(f"_gh{n}") for n in rng], F.size("_gh1"), F.size("_rh1")
         )
     elif similarity == "jaccard":
         sim = S.jaccard("_gt", "_rt")
@@ -106,7 +116,7 @@ def score_pairs(
         "ref_norm",
         (F.col("gen_norm") == F.col("ref_norm")).alias("_exact"),
         comp.alias("component_match"),
-        S.structural_similarity("gen_norm", "ref_norm").alias("structural_similarity"),
+        S.structure_agreement("_g_flags", "_r_flags").alias("structural_similarity"),
         S.token_efficiency("_ntok").alias("token_efficiency"),
         sim.alias("semantic_similarity"),
         *extra,
@@ -191,10 +201,12 @@ def summarize(scored: DataFrame, grid: DataFrame, drop_errors: bool = True) -> D
     )
 
 
-def responses_with_reference(samples: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each recorded response next to its sample's reference query."""
+def responses_with_reference(samples: DataFrame, responses: DataFrame, prepare: bool = False) -> DataFrame:
+    """Each recorded response next to its sample's reference query. With ``prepare``
+    the reference's forms come along (``score_pairs(..., prepared=True)``): made once a
+    sample, over as many tasks as there are cores, and never broadcast, being wide."""
     s = samples.select("sample_id", "complexity", F.col("query").alias("reference"))
-    return responses.join(s, "sample_id")
+    return responses.join(reference_forms(spread(s)).hint("merge") if prepare else s, "sample_id")
 
 
 def run_sql_benchmark(
@@ -215,7 +227,8 @@ def run_sql_benchmark(
     ``repeated_pairs``: score each distinct pair once, for responses known to
     repeat (see ``score_distinct_pairs``)."""
     samples = first_n_per_level(corpus, num_samples, levels)
-    pairs = responses_with_reference(samples, responses.filter(F.col("model").isin(list(models))))
-    score = score_distinct_pairs if repeated_pairs else score_pairs
-    scored = score(pairs.filter(F.col("error").isNull()), "response", "reference", similarity)
+    asked = responses.filter(F.col("model").isin(list(models)) & F.col("error").isNull())
+    pairs = responses_with_reference(samples, asked, prepare=not repeated_pairs)
+    scored = (score_distinct_pairs(pairs, "response", "reference", similarity) if repeated_pairs
+              else score_pairs(pairs, "response", "reference", similarity, prepared=True))
     return summarize(scored, key_grid(spark, models, levels))
