@@ -47,28 +47,35 @@ def amount(col) -> Column:
 
 
 def _last_wins_map(keys: Column, values: Column) -> Column:
-    rk, rv = F.reverse(keys), F.reverse(values)
-    dk = F.array_distinct(rk)
-    return F.map_from_arrays(dk, F.transform(dk, lambda k: F.element_at(rv, F.array_position(rk, k).cast("int"))))
+    """Keys and values are computed once: a lambda would repeat them for every key."""
+    def of(rk, rv, dk):
+        return F.map_from_arrays(dk, F.transform(dk, lambda k: F.element_at(rv, F.array_position(rk, k).cast("int"))))
 
+    return _let(F.reverse(keys), lambda rk: _let(F.reverse(values), lambda rv: _let(F.array_distinct(rk), lambda dk: of(rk, rv, dk))))
 
-def _items(block: Column, pattern: str, amount_group: int, item_group: int) -> Column:
-    keys = F.transform(F.regexp_extract_all(block, F.lit(pattern), item_group), lambda k: F.lower(strip(k)))
-    vals = F.transform(F.regexp_extract_all(block, F.lit(pattern), amount_group), lambda a: amount(a))
+
+def _all(block: Column, pattern: str, group: int, word: str) -> Column:
+    """All of a group; a block without the pattern's ``word`` is not searched."""
+    return F.when(~block.contains(word), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(block, F.lit(pattern), F.lit(group)))
+
+
+def _items(block: Column, pattern: str, amount_group: int, item_group: int, word: str) -> Column:
+    keys = F.transform(_all(block, pattern, item_group, word), lambda k: F.lower(strip(k)))
+    vals = F.transform(_all(block, pattern, amount_group, word), lambda a: amount(a))
     return _last_wins_map(keys, vals)
 
 
 def user_record(block: Column, name: Column) -> Column:
     """One user struct from a block (loans/debts read amount and item from
     their own groups; the reference swaps them and fails on any match)."""
-    savings = F.try_element_at(F.regexp_extract_all(block, F.lit(SAVINGS), 1), F.lit(-1))
+    savings = F.try_element_at(_all(block, SAVINGS, 1, "savings of ₹"), F.lit(-1))
     return F.struct(
         strip(name).alias("name"),
         amount(F.regexp_extract(block, SALARY, 1)).alias("salary"),
         amount(F.regexp_extract(block, EXPENSES, 1)).alias("expenses"),
-        _items(block, INVESTED, 1, 2).alias("investments"),
-        _items(block, DEBT, 2, 1).alias("debts"),
-        _items(block, LOAN, 2, 1).alias("loans"),
+        _items(block, INVESTED, 1, 2, "invested ₹").alias("investments"),
+        _items(block, DEBT, 2, 1, " debt of ₹").alias("debts"),
+        _items(block, LOAN, 2, 1, " loan of ₹").alias("loans"),
         F.coalesce(amount(savings), F.lit(0)).cast("bigint").alias("savings"),
     )
 
