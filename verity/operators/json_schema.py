@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from verity.functions.records import _let
+
 _LIMITS = "type:string,minimum:double,maximum:double"
 _FIELD = f"struct<{_LIMITS},additionalProperties:struct<{_LIMITS}>>"
 _ITEM = f"struct<type:string,required:array<string>,properties:map<string,{_FIELD}>>"
@@ -87,7 +89,9 @@ def _present(**fields: Column) -> Column:
 def response_facts(date: Column, users: Column) -> Column:
     """Facts of the response ``{date, users}``; an absent value has none."""
     def of_user(u, i):
-        at = F.concat(F.lit("$.users["), i.cast("string"), F.lit("]"))
+        return _let(F.concat(F.lit("$.users["), i.cast("string"), F.lit("]")), lambda at: of_place(u, at))
+
+    def of_place(u, at):
         numbers, maps = ("salary", "expenses", "savings"), ("investments", "debts", "loans")
         facts = [F.array(_fact("$.users[]", at, "object", names=_present(**{n: u[n] for n in ("name", *numbers, *maps)})))]
         plain = [("name", "string"), *((n, "integer") for n in numbers), *((m, "object") for m in maps)]
@@ -109,15 +113,26 @@ def response_facts(date: Column, users: Column) -> Column:
 
 def violations(rules: str, facts: str) -> Column:
     """Sorted messages of every rule that a fact of its path breaks."""
+    none = F.array().cast(_NAMES)
+
     def broken(rule):
+        def lacking(f):
+            return F.array_except(F.coalesce(rule["required"], none), F.coalesce(f["names"], none))
+
+        def kind(f):
+            return rule["type"].isNotNull() & (rule["type"] != f["type"]) & ~((rule["type"] == "number") & (f["type"] == "integer"))
+
+        def breaks(f):
+            return (f["path"] == rule["path"]) & (kind(f) | (f["number"] < rule["minimum"]) | (f["number"] > rule["maximum"]) | (
+                rule["required"].isNotNull() & (F.size(lacking(f)) > 0)))
+
         def by(f):
-            kind = rule["type"].isNotNull() & (rule["type"] != f["type"]) & ~((rule["type"] == "number") & (f["type"] == "integer"))
             return F.concat(
-                F.transform(F.array_except(F.coalesce(rule["required"], F.array().cast(_NAMES)), F.coalesce(f["names"], F.array().cast(_NAMES))),
-                            lambda n: F.concat(f["place"], F.lit(": '"), n, F.lit("' is a required property"))),
-                F.when(kind, F.array(F.concat(f["place"], F.lit(" is not of type "), rule["type"]))).otherwise(F.array().cast(_NAMES)),
-                F.when(f["number"] < rule["minimum"], F.array(F.concat(f["place"], F.lit(" is below its minimum")))).otherwise(F.array().cast(_NAMES)),
-                F.when(f["number"] > rule["maximum"], F.array(F.concat(f["place"], F.lit(" is above its maximum")))).otherwise(F.array().cast(_NAMES)))
-        return F.flatten(F.transform(F.filter(F.col(facts), lambda f: f["path"] == rule["path"]), by))
+                F.transform(lacking(f), lambda n: F.concat(f["place"], F.lit(": '"), n, F.lit("' is a required property"))),
+                F.when(kind(f), F.array(F.concat(f["place"], F.lit(" is not of type "), rule["type"]))).otherwise(none),
+                F.when(f["number"] < rule["minimum"], F.array(F.concat(f["place"], F.lit(" is below its minimum")))).otherwise(none),
+                F.when(f["number"] > rule["maximum"], F.array(F.concat(f["place"], F.lit(" is above its maximum")))).otherwise(none))
+        # Messages are made for the facts that break the rule, which are few.
+        return F.flatten(F.transform(F.filter(F.col(facts), breaks), by))
 
     return F.array_sort(F.flatten(F.transform(F.col(rules), broken)))
