@@ -31,27 +31,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verity.llm.shared import SPACE, WORD, written
+from verity.llm.shared import written
 
 DEPTH = 3
 ALIKE = 0.7
 MIN_REPEATS = 2
 MIN_TEXTS = 3
 MIN_TOKENS = 3
-# A token with a digit, read from its start, once and without going back.
-FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+# What follows a token's first digit, and white space that ends no line. Both patterns start
+# with one plain class, so that text without them is passed over quickly; \s and \S are SPACE and WORD.
+FROM_DIGIT = r"\d\S*+"
+INLINE_SPACE = r"[\t\x0B\f\r]"
+# A line of MIN_TOKENS tokens or more; nothing is read beyond the first ones.
+LONG_ENOUGH = r"\S\s+" + r"\S+\s+" * (MIN_TOKENS - 2) + r"\S"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line of ``MIN_TOKENS`` tokens or more: its text's mark, the
+def marked_texts(docs: DataFrame) -> DataFrame:
+    """``mark``, the ``text`` with blanks between tokens and each token that holds a digit
+    cut to end in 0 at its first digit, and the hash of the text without white space (``body``)."""
+    cut = F.regexp_replace(F.regexp_replace("text", FROM_DIGIT, "0"), INLINE_SPACE, " ")
+    return docs.select("mark", cut.alias("text"), F.xxhash64(F.regexp_replace("text", r"\s+", "")).alias("body"))
+
+
+def line_table(marked: DataFrame) -> DataFrame:
+    """One row per line of ``MIN_TOKENS`` tokens or more of ``marked_texts``: its text's mark, the
     hash of its text without white space (``body``), its place, its leaf, the template of its own tokens, and short hashes of the
     tokens, variable fields as one. Short hashes are only held against the few
     constant tokens of one place of one leaf."""
-    # The hash is made below the explosion, once a text.
-    # The same holds for the mark of variable fields, which never spans lines.
-    bodies = docs.select("mark", F.regexp_replace("text", FIELD, "0").alias("text"), F.xxhash64(F.regexp_replace("text", SPACE, "")).alias("body"))
-    lines = bodies.select("mark", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    tokens = lines.select("mark", "body", "at", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)).alias("words")).where(F.size("words") >= MIN_TOKENS)
+    lines = marked.select("mark", "body", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(LONG_ENOUGH))
+    # A token ends in 0 where it held a digit, and a line without any needs no look at its tokens.
+    split = lines.select("mark", "body", "at", F.col("line").contains("0").alias("fields"), F.array_remove(F.split("line", " ", -1), "").alias("words"))
+    tokens = split.withColumn("words", F.when(F.col("fields"), F.transform("words", lambda w: F.when(w.endswith("0"), "0").otherwise(w))).otherwise(F.col("words")))
     return tokens.select("mark", "body", "at", F.transform("words", lambda w: F.hash(w)).alias("tokens"), F.xxhash64(F.lit("own"), "words").alias("own"),
                          F.xxhash64(F.size("words"), *[F.get("words", F.lit(i)) for i in range(DEPTH)]).alias("leaf"))
 
@@ -109,8 +119,8 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     that is left."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn(
         "mark", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    # Equal texts are split into lines once.
-    distinct = rows.where("text is not null").groupBy("mark").agg(F.first("text").alias("text"))
+    # Texts are marked before the shuffle that both uses of the lines read; equal ones are split into lines once.
+    distinct = marked_texts(rows.where("text is not null")).groupBy("mark").agg(F.first("text").alias("text"), F.first("body").alias("body"))
     dropped = boilerplate(line_table(distinct)).groupBy("mark").agg(F.collect_set("at").alias("dropped"))
     found = rows.join(dropped, "mark", "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     left = F.filter("lines", lambda x, i: ~F.array_contains("dropped", i))
