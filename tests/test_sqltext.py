@@ -2,6 +2,7 @@
 check of BLEU / clause scoring against a plain-Python model of the rules."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -145,3 +146,17 @@ def test_prepared_references_score_alike_and_are_normalised_once(spark):
 ])
 def test_normal_form_of_odd_spacing(spark, q, expected):
     assert one(spark, S.normalize_advanced("c0"), q) == expected
+
+
+def test_sides_are_lowered_and_spaced_once(spark):
+    """Both normal forms and the words' number of a side come from one plain form, the same for ASCII and other text."""
+    pieces = ["SELECT", " ", "\t", "\n", "\x0b", "\f", "\r", " ", " ", "\x85", "\x1c", ";", "a=1", "É", "K", "`x`", "", "count ("]
+    draw = random.Random(3)
+    texts = [None, "", " ", ";", " ; ", *("".join(draw.choice(pieces[:7] + pieces[10:13] if i % 2 else pieces) for _ in range(draw.randrange(9))) for i in range(400))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = S.strip(S.single_spaced(F.lower("t")))
+    got = df.select(S.plain_form("t").eqNullSafe(whole).alias("same"), F.size(S.single_spaced_words(S.plain_form("t"))).cast("bigint").eqNullSafe(S.word_count("t")).alias("count"))
+    assert got.where("not same or not count").count() == 0
+    pairs = df.select(F.col("t").alias("generated"), F.lit("select 1").alias("reference"))
+    plan = B.score_pairs(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[\\s&&[^ ]]") == 1  # only the branch for text that is not ASCII

@@ -87,6 +87,7 @@ U = "(?U)"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Runs of white space that are not one plain blank.
 _RUNS = U + r" \s+|[\s&&[^ ]]\s*"
+_ASCII_RUNS = r" [\t\n\x0b\f\r ]+|[\t\n\x0b\f\r][\t\n\x0b\f\r ]*"  # the same in ASCII text
 
 
 def _c(col) -> Column:
@@ -118,6 +119,13 @@ def word_count(col) -> Column:
     return F.size(words(col)).cast("bigint")
 
 
+def plain_form(col) -> Column:
+    """What both normal forms begin with: lower case, runs of white space as one blank, trimmed."""
+    c = _c(col)
+    low = F.lower(c)
+    return strip(F.when(_is_ascii(c), F.regexp_replace(low, _ASCII_RUNS, " ")).otherwise(single_spaced(low)))
+
+
 # --- H1 ---------------------------------------------------------------------
 def normalize_basic(col) -> Column:
     """H1: lower, collapse whitespace, trim, drop one trailing ``;``, space
@@ -127,8 +135,12 @@ def normalize_basic(col) -> Column:
     those rules can never match: once the first three ran, every ``>`` and
     ``<`` is followed by a blank and every ``=`` preceded by one (so
     ``a>=5`` -> ``a > = 5``). They are omitted as provable no-ops."""
-    q = strip(single_spaced(F.lower(_c(col))))
-    q = F.regexp_replace(q, ";$", "")
+    return basic_of(plain_form(col))
+
+
+def basic_of(plain) -> Column:
+    """H1 of a ``plain_form``."""
+    q = F.regexp_replace(_c(plain), ";$", "")
     for op in OPERATORS[:3]:  # = < > are literals in Java regex; only blanks are left of white space
         q = F.regexp_replace(q, f" *{op} *", f" {op} ")
     return q
@@ -147,10 +159,12 @@ def normalize_advanced(col) -> Column:
     trailing ``;``; unquote backticks and double quotes; ``inner join`` ->
     ``join``; squeeze multi-word keywords; drop ``as`` between two words;
     ``fn (`` -> ``fn(`` for the five aggregates. No final trim."""
-    c = _c(col)
-    q = strip(F.lower(c))
-    q = single_spaced(q)
-    q = F.regexp_replace(q, ";$", "")
+    return advanced_of(plain_form(col))
+
+
+def advanced_of(plain) -> Column:
+    """H6 of a ``plain_form`` ('' for null)."""
+    q = F.regexp_replace(_c(plain), ";$", "")
     q = F.regexp_replace(q, "`([^`]*)`", "$1")
     q = F.regexp_replace(q, '"([^"]*)"', "$1")
     # Only blanks are left of white space. A pattern begins with what is rare and looks back
@@ -161,7 +175,7 @@ def normalize_advanced(col) -> Column:
     # A word that the alias before has taken is not taken again.
     q = F.regexp_replace(q, U + r"(?!\G) (?<=\w ) *as +(\w+)", " $1")
     q = F.regexp_replace(q, U + r" (?<=\b(?:count|sum|avg|max|min) ) *\(", "(")
-    return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(q)
+    return F.coalesce(q, F.lit(""))
 
 
 # --- H2 / H3 ------------------------------------------------------------------

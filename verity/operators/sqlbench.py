@@ -42,12 +42,16 @@ def avg6(c) -> Column:
 
 
 def _side_forms(df: DataFrame, query: str, side: str) -> DataFrame:
-    """What scoring needs of one side of a pair (``side``: g or r), staged: normal forms,
+    """What scoring needs of one side of a pair (``side``: g or r), staged: what both normal
+    forms begin with and its words' number, normal forms,
     then words, then n-grams (each the (n-1)-gram and a word), clause texts and flags.
     The basic form has a projection of its own: split and compared with '', it would be
     made twice."""
     norm = {"g": "gen_norm", "r": "ref_norm"}[side]
-    a = df.withColumns({norm: S.normalize_advanced(query), f"_{side}b": S.normalize_basic(query)})
+    plain = f"_{side}p"
+    a = df.withColumn(plain, S.plain_form(query))
+    a = a.withColumns({norm: S.advanced_of(plain), f"_{side}b": S.basic_of(plain),
+                       f"_{side}n": F.size(S.single_spaced_words(plain)).cast("bigint")}).drop(plain)
     a = a.withColumns({f"_{side}t": S.single_spaced_words(f"_{side}b")}).drop(f"_{side}b")
     a = a.withColumns({f"_{side}h1": S.word_numbers(f"_{side}t")})
     for n in range(2, S.BLEU_MAX_N + 1):
@@ -83,12 +87,11 @@ def score_pairs(
     generated text's tokens (default: whitespace words; pass a BPE counter to
     match a tokenizer). ``prepared``: ``df`` has the columns of ``reference_forms``.
     """
-    gen = F.col(generated)
-    tokens = token_count if token_count is not None else S.word_count(gen)
+    tokens = token_count if token_count is not None else F.col("_gn")
     rng = range(1, S.BLEU_MAX_N + 1)
     base = [c for c in df.columns if not prepared or (c != "ref_norm" and not c.startswith("_r"))]
-    a = (df if prepared else reference_forms(df, reference)).withColumn("_ntok", tokens)
-    b = _side_forms(a, generated, "g")
+    a = df if prepared else reference_forms(df, reference)
+    b = _side_forms(a, generated, "g").withColumn("_ntok", tokens)
     c = b.select(
         "*",
         *[S.clipped_matches(f"_gh{n}", f"_rh{n}", f"_gs{n}", f"_rs{n}").alias(f"_m{n}") for n in rng],
