@@ -4,6 +4,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from tests.llm.conftest import words
 from verity.llm import exact_dedup, near_dedup, queries, toxicity
 from verity.llm.components import components
@@ -139,6 +141,20 @@ def test_no_link_lost_whatever_the_number_of_leaders(spark, monkeypatch):
         assert Counter((x.doc_id, x.class_id, x.class_size) for x in got) == classes(rows)
 
 
+def test_elements_of_one_component_alone_are_left_out(spark):
+    """Of the differences from a leader, what one component's texts share with each other only, and
+    what only texts like the leader have, is neither ranked nor joined."""
+    name = lambda i: bytes([i]) * 16
+    strips = lambda *runs: np.sort(np.concatenate([np.arange(a, b, dtype=np.uint64) for a, b in runs])).tobytes()
+    texts = {0: strips((0, 100)), 1: strips((0, 40), (200, 260)), 2: strips((0, 41), (200, 260)), 3: strips((0, 30), (300, 370), (200, 205)),
+             4: strips((0, 98), (400, 402)), 5: strips((0, 98), (400, 402), (500, 501))}
+    sets = spark.createDataFrame([(name(i), bytearray(x)) for i, x in texts.items()], "node binary, strips binary")
+    frames = spark.createDataFrame([(name(0), name(i), name(r)) for i, r in ((1, 1), (2, 1), (3, 3), (4, 4), (5, 5))], "leader binary, node binary, root binary")
+    seen = near_dedup._rarest(frames, sets).collect()
+    assert seen and not {r.part for r in seen} & {*range(205, 260), *range(300, 370), *range(400, 402)}
+    assert {r.part for r in near_dedup._crossing(near_dedup._rarest(frames, sets)).collect()} <= {*range(30, 100), *range(200, 205)}
+
+
 def test_kept_row_among_equals_is_always_the_same(spark):
     text = " ".join(words(12, 40))
     rows = [(1, text, f"s{i}") for i in range(20)]

@@ -28,7 +28,8 @@ Links are found in every bucket of a band without listing all its pairs:
   found has a text unlike the leader, so g is at least (W + 1) / 9 for either
   text's partner and (W - L) / 5 for that text: the rarest elements of the differences
   (all but g - 1) must meet, and at places that leave room for g. Elements that one
-  component alone has, or only texts like the leader, are left out of the join before it.
+  component alone has, or only texts like the leader, are left out before they are ranked
+  (no pair to be found shares one), and of what is left again before the join.
 
 The latter join loses no pair of a bucket, and its work follows what differences of
 different components share instead of the square of the bucket.
@@ -216,17 +217,21 @@ def _rarest(frames: DataFrame, sets: DataFrame) -> DataFrame:
     """For each text of ``frames`` (leader, node, root) the elements of its difference from
     the leader that a partner must share one of, rarest first: ``part``, with
     ``apart`` where the text is unlike the leader and a partner of any kind must
-    share it, ``met`` where a partner unlike the leader must, and ``after`` (elements that follow it)."""
+    share it, ``met`` where a partner unlike the leader must, and ``after`` (elements that follow it).
+    Only elements that several components have, and a text unlike the leader, count: what
+    partners share is of these."""
     pairs = frames.select(F.col("leader").alias("host"), F.col("node").alias("guest"))
     told = _visited(pairs, sets, _difference, [("size", pa.int64()), ("far", pa.int64()), ("unlike", pa.list_(pa.int64()))], "size long, far long, unlike array<long>")
-    told = written(told.select(F.col("host").alias("leader"), F.col("guest").alias("node"), "size", "far", "unlike"), "differences")
-    parts = told.select("leader", "node", F.explode("unlike").alias("part"))
-    often = parts.groupBy("leader", "part").agg(F.count("*").alias("n")).where("n > 1")
-    parts = parts.join(often, ["leader", "part"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    told = told.select(F.col("host").alias("leader"), F.col("guest").alias("node"), "size", "far", "unlike").join(frames, ["leader", "node"])
+    told = written(told, "differences")
+    parts = told.select("leader", "node", "root", (F.col("far") > F.col("size")).alias("one"), F.explode("unlike").alias("part"))
+    often = parts.groupBy("leader", "part").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), F.max("one").alias("one"))
+    shared = often.where("least <> most and one").select("leader", "part", "n")
+    parts = parts.select("leader", "node", "part").join(shared, ["leader", "part"]).groupBy("leader", "node").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
     held = F.size("parts")
     whole = lambda over, by: F.ceil(over / F.lit(by)).cast("int")
     apart = F.when(F.col("far") > F.col("size"), held - whole(F.col("far") - F.col("size"), 5) + 1).otherwise(0)
-    ranked = told.drop("unlike").join(parts, ["leader", "node"]).join(frames, ["leader", "node"]).withColumns(
+    ranked = told.drop("unlike").join(parts, ["leader", "node"]).withColumns(
         {"held": held, "first": apart, "any": held - whole(F.col("far") + 1, 9) + 1})
     each = ranked.withColumn("parts", F.slice("parts", 1, F.greatest(F.lit(0), "first", "any"))).select(
         "leader", "node", "root", "size", "far", "held", "first", "any", F.posexplode("parts").alias("place", "one"))
@@ -235,9 +240,9 @@ def _rarest(frames: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _crossing(rarest: DataFrame) -> DataFrame:
-    """The rows whose element more than one component has, and a text unlike the leader."""
+    """The rows whose element more than one component still has, and a text unlike the leader."""
     several = rarest.groupBy("leader", "part").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("apart").alias("one")).where("least <> most and one")
-    return rarest.join(several.select("leader", "part"), ["leader", "part"])
+    return written(rarest.join(several.select("leader", "part"), ["leader", "part"], "left_semi"), "crossing")
 
 
 def _of_others(shared: DataFrame, roots: DataFrame) -> DataFrame:
