@@ -112,6 +112,12 @@ def test_votes_are_weighed():
     assert good((None, None, None)) == pytest.approx(share[0])
 
 
+def test_each_vote_is_written_out_once(spark, docs):
+    """The posterior names each vote some twenty times: written out as often, its code was too long to compile."""
+    plan = quality.good_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("n_shouts") <= 8 and 0 < plan.lower().count("power(") <= 4
+
+
 def test_quality_on_labels(spark):
     got = queries.op10_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     able = got[~got.base_failed]

@@ -151,11 +151,12 @@ def judged(rows: DataFrame, text: str = "text") -> DataFrame:
     cast = votes(F.col("_f"))
     patterns = counted.select(*[v.alias(k) for k, v in cast.items()]).groupBy(*cast).count()
     share, alarm = fit((tuple(r[k] for k in cast), r["count"]) for r in patterns.collect())  # at most 3^10 rows
-    voted = counted.withColumn("_v", F.struct(*[v.alias(k) for k, v in cast.items()]))
-    good = posterior(share, alarm, [F.col("_v")[k] for k in cast])
+    # The posterior names each vote many times: bound, or the optimizer would write out every vote's
+    # rule as often, in code too long to compile.
+    good = bind(F.array(*cast.values()), lambda v: posterior(share, alarm, [F.get(v, F.lit(j)) for j in range(len(cast))]))
     f = F.col("_f")
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
-    scored = voted.withColumn("_good", good).withColumn("_base_failed", failed)
+    scored = counted.withColumn("_good", good).withColumn("_base_failed", failed)
     return scored.withColumn("_kept", ~F.col("_base_failed") & (F.col("_good") >= KEEP_FROM))
 
 
