@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verity.functions import sqltext as S
-from verity.operators.partitioning import spread
+from verity.operators.partitioning import dealt, spread
 from verity.sources.fixtures import APPROACHES, COMPLEXITY_LEVELS
 
 SCORE_COLUMNS = ("exact_match", "execution_match", "component_match", "token_efficiency", "semantic_similarity")
@@ -206,10 +206,16 @@ def summarize(scored: DataFrame, grid: DataFrame, drop_errors: bool = True) -> D
 
 def responses_with_reference(samples: DataFrame, responses: DataFrame, prepare: bool = False) -> DataFrame:
     """Each recorded response next to its sample's reference query. With ``prepare``
-    the reference's forms come along (``score_pairs(..., prepared=True)``): made once a
-    sample, over as many tasks as there are cores, and never broadcast, being wide."""
+    the reference's forms come along (``score_pairs(..., prepared=True)``)."""
     s = samples.select("sample_id", "complexity", F.col("query").alias("reference"))
-    return responses.join(reference_forms(spread(s)).hint("merge") if prepare else s, "sample_id")
+    return with_reference_forms(responses, s) if prepare else responses.join(s, "sample_id")
+
+
+def with_reference_forms(responses: DataFrame, samples: DataFrame) -> DataFrame:
+    """``responses`` next to their sample's columns and its ``reference``'s forms: made once a
+    sample, never broadcast, being wide. Both sides are dealt over as many tasks as the data
+    has shuffle partitions, as scoring takes far longer than its bytes say."""
+    return dealt(responses, "sample_id").join(dealt(reference_forms(spread(samples)), "sample_id").hint("merge"), "sample_id")
 
 
 def run_sql_benchmark(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from verity.operators import analytics as A
 from verity.operators import sqlbench as B
-from verity.operators.partitioning import spread
 from verity.plans import oracle as O
 from verity.plans.catalog import register
 from verity.sources import fixtures as X
@@ -157,8 +156,7 @@ def _scored(spark, sf_dir, detail=False):
     corpus = X.corpus(spark, sf_dir)
     dims = corpus.select("sample_id", "complexity", "task_type", "domain", "original_complexity",
                          F.col("query").alias("reference"))
-    forms = B.reference_forms(spread(dims)).hint("merge")
-    pairs = X.sql_responses(spark, sf_dir).filter(F.col("error").isNull()).join(forms, "sample_id")
+    pairs = B.with_reference_forms(X.sql_responses(spark, sf_dir).filter(F.col("error").isNull()), dims)
     return B.score_pairs(pairs, "response", "reference", detail=detail, prepared=True)
 
 

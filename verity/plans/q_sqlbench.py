@@ -53,7 +53,7 @@ FROM scored""",
 )
 def h9_pair_scores(spark, sf_dir):
     """H9 (with H4-H8) for every (generated, reference) pair."""
-    s = B.score_pairs(X.sql_pairs(spark, sf_dir))
+    s = B.score_pairs(X.sql_pairs(spark, sf_dir, B.reference_forms), prepared=True)
     return s.select(
         "sample_id", "approach", "exact_match", "execution_match",
         *[B.r6(c).alias(c) for c in _PAIR_COLS[4:]],

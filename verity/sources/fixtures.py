@@ -7,6 +7,8 @@ with the data. The same rows are rebuilt in DuckDB by ``verity.plans.oracle``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,10 +121,12 @@ def _approaches(spark: SparkSession) -> DataFrame:
     )
 
 
-def sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sql_pairs(spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """corpus x 4 approaches: (generated, reference) pairs. The approach side
-    is a fixed 4-row literal, so broadcasting it is bounded."""
-    c = spread(corpus(spark, sf_dir).select("sample_id", "complexity", "query"))
+    is a fixed 4-row literal, so broadcasting it is bounded. ``prepare`` adds columns
+    to the references, once a sample."""
+    c = spread(corpus(spark, sf_dir).select("sample_id", "complexity", F.col("query").alias("reference")))
+    c = prepare(c) if prepare else c
     a = F.broadcast(_approaches(spark))
     j = c.crossJoin(a)
     change = (F.floor(j.sample_id / 4) + j.approach_ordinal) % 8
@@ -131,8 +135,8 @@ def sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "complexity",
         "approach",
         "approach_ordinal",
-        _variant(F.col("query"), change).alias("generated"),
-        F.col("query").alias("reference"),
+        _variant(F.col("reference"), change).alias("generated"),
+        *[x for x in c.columns if x not in ("sample_id", "complexity")],
     )
 
 
