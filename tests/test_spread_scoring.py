@@ -5,6 +5,7 @@ import pytest
 from tests.conftest import SMALL
 from verity.operators import sqlbench as B
 from verity.operators.partitioning import tasks
+from verity.plans import q_sqlbench as Q
 from verity.sources import fixtures as X
 
 
@@ -16,6 +17,11 @@ def many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_prompts_are_made_in_many_tasks(spark, many_partitions):
+    assert tasks(spark) >= many_partitions
+    assert Q.sql_prompts(spark, SMALL).rdd.getNumPartitions() >= many_partitions
+
+
 def test_scoring_tasks_are_not_merged_by_their_bytes(spark, many_partitions):
     samples = X.corpus(spark, SMALL).select("sample_id", "complexity", "query")
     pairs = B.responses_with_reference(samples, X.sql_responses(spark, SMALL), prepare=True)

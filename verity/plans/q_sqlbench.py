@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verity.functions import sqltext as S
 from verity.operators import sqlbench as B
+from verity.operators.partitioning import spread
 from verity.plans import oracle as O
 from verity.plans.catalog import register
 from verity.sources import fixtures as X
@@ -284,7 +285,7 @@ def sql_prompts(spark, sf_dir):
     block is a one-row table (three examples), broadcast against the corpus."""
     c = X.corpus(spark, sf_dir)
     block = PR.few_shot_block(AN.few_shot_examples(c))
-    j = c.withColumn("op", S.infer_operation("query")).crossJoin(F.broadcast(block))
+    j = spread(c.select("sample_id", "table_info", "question", "query")).withColumn("op", S.infer_operation("query")).crossJoin(F.broadcast(block))
     prompts = F.array(*[F.struct(
         F.lit(a).alias("approach"),
         PR.sql_prompt(a, F.col("table_info"), F.col("question"), F.col("op"), F.col("examples")).alias("prompt"))
