@@ -94,6 +94,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def apart(col) -> Column:
+    """The same column through a higher-order function. A projection that has one is not
+    fused with its neighbours, and its columns get methods of their own: fused, the scoring
+    makes one method of more than 8,000 bytes, which the JVM leaves uncompiled
+    (unless ``spark.sql.codegen.hugeMethodLimit`` says otherwise)."""
+    return F.transform(F.array(_c(col)), lambda x: x)[0]
+
+
 def strip(col) -> Column:
     """Python ``str.strip()``: drop leading and trailing whitespace."""
     return F.trim(_c(col), F.lit(WHITE))
@@ -123,7 +131,8 @@ def plain_form(col) -> Column:
     """What both normal forms begin with: lower case, runs of white space as one blank, trimmed."""
     c = _c(col)
     low = F.lower(c)
-    return strip(F.when(_is_ascii(c), F.regexp_replace(low, _ASCII_RUNS, " ")).otherwise(single_spaced(low)))
+    ascii_form = F.trim(F.regexp_replace(low, _ASCII_RUNS, " "))  # only blanks are left at its ends
+    return F.when(_is_ascii(c), ascii_form).otherwise(strip(single_spaced(low)))
 
 
 # --- H1 ---------------------------------------------------------------------
@@ -162,22 +171,49 @@ def normalize_advanced(col) -> Column:
     return advanced_of(plain_form(col))
 
 
+# The steps of H6 after ``plain_form``, each with texts one of which occurs wherever the
+# step changes anything (none: not known). Only blanks are left of white space. A pattern
+# begins with what is rare and looks back from there; words one blank apart are squeezed already.
+# The steps are few: a filter on a form is pushed below them with a copy for each naming.
+ADVANCED_STEPS = (
+    ((), ((";$", ""),)),
+    (("`", '"'), (("`([^`]*)`", "$1"), ('"([^"]*)"', "$1"))),
+    (("inner", "  ", " as ", " ("), (
+        (U + r"inner(?<=\binner) +join\b", "join"),
+        (U + r" (?<=\b(?:left|right|full) ) +join\b", " join"),
+        (U + r" (?<=\b(?:group|order) ) +by\b", " by"),
+        # A word that the alias before has taken is not taken again.
+        (U + r"(?!\G) (?<=\w ) *as +(\w+)", " $1"),
+        (U + r" (?<=\b(?:count|sum|avg|max|min) ) *\(", "("))),
+)
+
+
 def advanced_of(plain) -> Column:
     """H6 of a ``plain_form`` ('' for null)."""
-    q = F.regexp_replace(_c(plain), ";$", "")
-    q = F.regexp_replace(q, "`([^`]*)`", "$1")
-    q = F.regexp_replace(q, '"([^"]*)"', "$1")
-    # Only blanks are left of white space. A pattern begins with what is rare and looks back
-    # from there; words one blank apart are squeezed already.
-    q = F.regexp_replace(q, U + r"inner(?<=\binner) +join\b", "join")
-    q = F.regexp_replace(q, U + r" (?<=\b(?:left|right|full) ) +join\b", " join")
-    q = F.regexp_replace(q, U + r" (?<=\b(?:group|order) ) +by\b", " by")
-    # A word that the alias before has taken is not taken again.
-    q = F.regexp_replace(q, U + r"(?!\G) (?<=\w ) *as +(\w+)", " $1")
-    q = F.regexp_replace(q, U + r" (?<=\b(?:count|sum|avg|max|min) ) *\(", "(")
+    q = _c(plain)
+    for _, rules in ADVANCED_STEPS:
+        q = _replaced(q, rules)
     return F.coalesce(q, F.lit(""))
 
 
+def _replaced(q: Column, rules) -> Column:
+    for pattern, to in rules:
+        q = F.regexp_replace(q, pattern, to)
+    return q
+
+
+def advanced_step(q, step) -> Column:
+    """One of ``ADVANCED_STEPS``, taken only where it may change the text. Pass a column:
+    it is named several times."""
+    c, (marks, rules) = _c(q), step
+    if not marks:
+        return _replaced(c, rules)
+    may = c.contains(marks[0])
+    for m in marks[1:]:
+        may = may | c.contains(m)
+    return F.when(may, _replaced(c, rules)).otherwise(c)
+
+
 # --- H2 / H3 ------------------------------------------------------------------
 def exact_match_basic(gen, ref) -> Column:
     """H2: equality of the basic normal forms, as 1.0 / 0.0."""
@@ -204,24 +240,45 @@ def token_efficiency(token_count) -> Column:
 
 
 # --- H7 ---------------------------------------------------------------------
+def _factored(pattern: str) -> str:
+    """A clause pattern whose ends ``\\s+word`` share their white space, tried once a place."""
+    head, _, ends = pattern.partition("(?:")
+    words = [e.removeprefix(r"\s+") for e in ends.removesuffix("|$)").split("|")]
+    return f"{head}(?:\\s+(?:{'|'.join(words)})|$)" if ends else pattern
+
+
 def clause_text(norm, pattern: str) -> Column:
+    """A clause of an advanced normal form, which is in lower case; '' where there is none.
+    A pattern is tried where its first word occurs."""
     c = _c(norm)
-    return strip(F.when(_is_ascii(c), F.regexp_extract(c, "(?i)" + pattern, 1)).otherwise(F.regexp_extract(c, "(?iU)" + pattern, 1)))
+    plain = F.when(c.contains(pattern.split("\\")[0]), F.trim(F.regexp_extract(c, _factored(pattern), 1))).otherwise(F.lit(""))
+    return F.when(_is_ascii(c), plain).otherwise(strip(F.regexp_extract(c, "(?iU)" + pattern, 1)))
+
+
+def clause_words(clause) -> Column:
+    """The distinct words of a clause text. Clause texts are stripped slices of the
+    single-spaced normal form, so a plain split on blanks gives Python's ``split()`` tokens."""
+    return F.array_distinct(single_spaced_words(clause))
+
+
+def clause_columns(clause) -> Column:
+    """The distinct comma-separated items of a clause text."""
+    return F.array_distinct(F.split(_c(clause), ", *"))
 
 
-def clause_score(name: str, g: Column, r: Column) -> Column:
-    """Overlap of one clause with the reference clause (reference present).
-    Clause texts are stripped slices of the single-spaced normal form, so a
-    plain split on blanks gives Python's ``split()`` tokens."""
-    tok_g, tok_r = F.array_distinct(single_spaced_words(g)), F.array_distinct(single_spaced_words(r))
-    tok = F.size(F.array_intersect(tok_g, tok_r)) / F.size(tok_r)
+def clause_score(name: str, g: Column, r: Column, r_words: Column | None = None, r_columns: Column | None = None) -> Column:
+    """Overlap of one clause with the reference clause (reference present). Equal texts
+    share all, without a split. ``r_words``, ``r_columns``: ``clause_words`` and
+    ``clause_columns`` of ``r``, where these are at hand."""
+    words_r = clause_words(r) if r_words is None else r_words
+    same = F.when(g == r, F.lit(1.0))
+    # array_intersect drops what its first array repeats.
+    tok = F.size(F.array_intersect(single_spaced_words(g), words_r)) / F.size(words_r)
     if name != "select_cols":
-        return tok
-    cols_g = F.array_distinct(F.split(g, U + r",\s*"))
-    cols_r = F.array_distinct(F.split(r, U + r",\s*"))
-    col_score = F.size(F.array_intersect(cols_g, cols_r)) / F.size(cols_r)
-    star = F.concat(g, r).contains("*")
-    return F.when(star, tok).otherwise(col_score)
+        return same.otherwise(tok)
+    columns_r = clause_columns(r) if r_columns is None else r_columns
+    col_score = F.size(F.array_intersect(F.split(g, ", *"), columns_r)) / F.size(columns_r)
+    return same.when(F.concat(g, r).contains("*"), tok).otherwise(col_score)
 
 
 def clause_scores(gen_norm, ref_norm) -> Column:
@@ -270,11 +327,13 @@ def structural_similarity(gen_norm, ref_norm) -> Column:
 
 def structure_flags(norm) -> Column:
     """The 16 structural flags of a form as the bits of one number. A pattern is tried
-    where its word occurs."""
+    where its word occurs, but not as it mostly does: between blanks, or after one and before ``(``."""
     c, flags = _c(norm), F.lit(0)
     for i, pat in enumerate(STRUCTURES):
-        has = c.contains(pat[2:].split("\\")[0])
-        flags = flags + F.when(has & F.when(_is_ascii(c), c.rlike(pat)).otherwise(c.rlike(U + pat)), F.lit(1 << i)).otherwise(F.when(c.isNotNull(), F.lit(0)))
+        usual = pat[2:].replace(r"\s*\(", "(").replace(r"\s+", " ").replace(r"\b", " ")
+        has = c.contains(pat[2:].split("\\")[0]) & (
+            c.startswith(usual) | c.contains(" " + usual) | F.when(_is_ascii(c), c.rlike(pat)).otherwise(c.rlike(U + pat)))
+        flags = flags + F.when(has, F.lit(1 << i)).otherwise(F.when(c.isNotNull(), F.lit(0)))
     return flags
 
 

@@ -24,7 +24,21 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` over ``tasks`` tasks, which Spark does not merge again by their
-    bytes: what follows is heavier than the bytes it reads. For keys that are not hot."""
-    return df.repartition(tasks(df.sparkSession), *keys)
+# A task of heavy work takes the rows of this much of its source as stored; beyond
+# MOST_TASKS tasks, ``spark.sql.shuffle.partitions`` alone asks for more.
+HEAVY_TASK_BYTES = 256 * 1024
+MOST_TASKS = 20_000
+
+
+def heavy_tasks(source: DataFrame) -> int:
+    """``tasks``, and enough of them that a task's share does not grow with ``source`` where
+    the shuffle partitions are fixed. ``source`` is a scan-side plan, whose size the planner
+    takes from its files without running anything."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(tasks(source.sparkSession), min(MOST_TASKS, -(-size // HEAVY_TASK_BYTES)))
+
+
+def dealt(df: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``count`` tasks (default: ``tasks``), which Spark does not merge
+    again by their bytes: what follows is heavier than the bytes it reads. For keys that are not hot."""
+    return df.repartition(count or tasks(df.sparkSession), *keys)

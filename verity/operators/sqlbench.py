@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verity.functions import sqltext as S
-from verity.operators.partitioning import dealt, spread
+from verity.operators.partitioning import dealt, heavy_tasks
 from verity.sources.fixtures import APPROACHES, COMPLEXITY_LEVELS
 
 SCORE_COLUMNS = ("exact_match", "execution_match", "component_match", "token_efficiency", "semantic_similarity")
@@ -50,22 +50,28 @@ def _side_forms(df: DataFrame, query: str, side: str) -> DataFrame:
     norm = {"g": "gen_norm", "r": "ref_norm"}[side]
     plain = f"_{side}p"
     a = df.withColumn(plain, S.plain_form(query))
-    a = a.withColumns({norm: S.advanced_of(plain), f"_{side}b": S.basic_of(plain),
-                       f"_{side}n": F.size(S.single_spaced_words(plain)).cast("bigint")}).drop(plain)
+    a = a.withColumns({f"_{side}b": S.basic_of(plain), f"_{side}n": F.size(S.single_spaced_words(plain)).cast("bigint")})
+    a = a.withColumnRenamed(plain, norm)
+    for step in S.ADVANCED_STEPS:
+        a = a.withColumn(norm, S.advanced_step(norm, step))
+    a = a.withColumn(norm, F.coalesce(norm, F.lit("")))
     a = a.withColumns({f"_{side}t": S.single_spaced_words(f"_{side}b")}).drop(f"_{side}b")
     a = a.withColumns({f"_{side}h1": S.word_numbers(f"_{side}t")})
     for n in range(2, S.BLEU_MAX_N + 1):
         a = a.withColumns({f"_{side}h{n}": S.longer_ngrams(f"_{side}h{n - 1}", f"_{side}h1", n)})
     rng = range(1, S.BLEU_MAX_N + 1)
     a = a.withColumns({f"_{side}s{n}": S.sorted_if_repeating(f"_{side}h{n}") for n in rng})
-    return a.withColumns({f"_{side}_flags": S.structure_flags(norm),
-                          **{f"_{side}_{name}": S.clause_text(norm, pat) for name, pat, _ in S.CLAUSES}})
+    texts = {f"_{side}_{name}": S.clause_text(norm, pat) for name, pat, _ in S.CLAUSES}
+    texts[f"_{side}_limit"] = S.apart(texts[f"_{side}_limit"])
+    return a.withColumns({f"_{side}_flags": S.structure_flags(norm), **texts})
 
 
 def reference_forms(samples: DataFrame, reference: str = "reference") -> DataFrame:
     """``samples`` with what ``score_pairs`` needs of their reference queries, so that a
     reference with many responses is read once (``prepared=True``)."""
-    return _side_forms(samples, reference, "r")
+    a = _side_forms(samples, reference, "r")
+    return a.withColumns({"_r_columns": S.clause_columns("_r_select_cols"),
+                          **{f"_rw_{name}": S.clause_words(f"_r_{name}") for name, _, _ in S.CLAUSES}})
 
 
 def score_pairs(
@@ -92,11 +98,13 @@ def score_pairs(
     base = [c for c in df.columns if not prepared or (c != "ref_norm" and not c.startswith("_r"))]
     a = df if prepared else reference_forms(df, reference)
     b = _side_forms(a, generated, "g").withColumn("_ntok", tokens)
+    scores = {f"_s_{name}": F.when(F.col(f"_r_{name}") != "", S.clause_score(
+        name, F.col(f"_g_{name}"), F.col(f"_r_{name}"), F.col(f"_rw_{name}"), F.col("_r_columns"))) for name, _, _ in S.CLAUSES}
+    scores["_s_limit"] = S.apart(scores["_s_limit"])
     c = b.select(
         "*",
         *[S.clipped_matches(f"_gh{n}", f"_rh{n}", f"_gs{n}", f"_rs{n}").alias(f"_m{n}") for n in rng],
-        *[F.when(F.col(f"_r_{name}") != "", S.clause_score(name, F.col(f"_g_{name}"), F.col(f"_r_{name}")))
-          .alias(f"_s_{name}") for name, _, _ in S.CLAUSES],
+        *[s.alias(name) for name, s in scores.items()],
     )
     if similarity == "bleu":
         sim = S.bleu_from_counts(
@@ -213,9 +221,12 @@ def responses_with_reference(samples: DataFrame, responses: DataFrame, prepare:
 
 def with_reference_forms(responses: DataFrame, samples: DataFrame) -> DataFrame:
     """``responses`` next to their sample's columns and its ``reference``'s forms: made once a
-    sample, never broadcast, being wide. Both sides are dealt over as many tasks as the data
-    has shuffle partitions, as scoring takes far longer than its bytes say."""
-    return dealt(responses, "sample_id").join(dealt(reference_forms(spread(samples)), "sample_id").hint("merge"), "sample_id")
+    sample, after the samples are dealt, so that no forms are shuffled; never broadcast, being
+    wide. Both sides are dealt over tasks by the samples' size, as scoring takes far longer
+    than its bytes say."""
+    n = heavy_tasks(samples)
+    return dealt(responses, "sample_id", count=n).join(
+        reference_forms(dealt(samples, "sample_id", count=n)).hint("merge"), "sample_id")
 
 
 def run_sql_benchmark(
