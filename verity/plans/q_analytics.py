@@ -152,8 +152,11 @@ def w2_running_retry_count(spark, sf_dir):
 
 
 # --- SQL benchmark derivations ------------------------------------------------
-def _scored(spark, sf_dir, detail=False):
+def _scored(spark, sf_dir, detail=False, domains=None):
+    """Every answered response with its scores, of all samples or those of ``domains``."""
     corpus = X.corpus(spark, sf_dir)
+    if domains is not None:
+        corpus = corpus.join(F.broadcast(domains), "domain", "left_semi")
     dims = corpus.select("sample_id", "complexity", "task_type", "domain", "original_complexity",
                          F.col("query").alias("reference"))
     pairs = B.with_reference_forms(X.sql_responses(spark, sf_dir).filter(F.col("error").isNull()), dims)
@@ -259,10 +262,10 @@ top AS (SELECT DISTINCT domain FROM corpus ORDER BY domain LIMIT 10)
 {_by_dim_sql('domain', 'WHERE domain IN (SELECT domain FROM top)')}""")
 def a17_report_by_domain(spark, sf_dir):
     """A17 restricted to the first 10 domains alphabetically (T3); the
-    10-row side is bounded by its limit, so it is broadcast."""
+    10-row side is bounded by its limit, so it is broadcast. The samples are
+    chosen before their responses are scored."""
     top = X.corpus(spark, sf_dir).select("domain").distinct().orderBy("domain").limit(10)
-    s = _scored(spark, sf_dir).join(F.broadcast(top), "domain", "left_semi")
-    return _by_dim(s, "domain")
+    return _by_dim(_scored(spark, sf_dir, domains=top), "domain")
 
 
 @register("a18_report_by_original_complexity", f"{_SC}\n{_by_dim_sql('original_complexity')}")
